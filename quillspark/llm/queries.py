@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontamination import op8_prefix_join
 from quillspark.llm.language import op7_nearest_centroid
+from quillspark.llm.mpeg import op10_mpeg_audio
 from quillspark.llm.sharding import op3_virtual_slots
+from quillspark.llm.simhash import op4_pigeonhole_simhash
+from quillspark.llm.toxicity import op6_nn_pu
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_pigeonhole_simhash": op4_pigeonhole_simhash,
+    "op6_nn_pu": op6_nn_pu,
     "op7_nearest_centroid": op7_nearest_centroid,
     "op8_prefix_join": op8_prefix_join,
+    "op10_mpeg_audio": op10_mpeg_audio,
 }
 
 ORACLE_SQL: dict[str, str] = {}
