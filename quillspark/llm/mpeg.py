@@ -199,17 +199,20 @@ def parse(data: bytes | None) -> Stream:
     if not data:
         return s
     pos, end = 0, len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        s.tags["ID3v1"] = data[end - 128 :]
-        end -= 128
+    # the same bytes within a frame are no tag, so this is only looked at where a frame or junk ends
+    last_tag = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else -1
     while (past := _id3v2(data, pos, s.tags)) > pos:
         pos = past
     locked = False
     while pos + 4 <= end:
+        if pos == last_tag:
+            s.tags["ID3v1"] = data[pos:]
+            pos = end
+            break
         h = header_of(data[pos : pos + 4])
         if h is None or h.size < 4 or pos + h.size > end or (s.header and not h.follows(s.header)):
             good = False
-        elif locked or pos + h.size == end:
+        elif locked or pos + h.size in (end, last_tag):
             good = True
         else:
             after = header_of(data[pos + h.size : pos + h.size + 4])
@@ -221,6 +224,7 @@ def parse(data: bytes | None) -> Stream:
                 continue
             found = data.find(b"\xff", pos + 1, end)
             found = end if found < 0 else found
+            found = last_tag if pos < last_tag < found else found
             s.skipped += found - pos
             pos = found
             continue
