@@ -29,7 +29,7 @@ from quillspark.llm.common import held_out, read_table
 DIM = 1 << 18
 PREFIXES = range(4, 10)
 #: The classifier is fitted on at most so many positive and unlabelled texts, in order of their hash.
-FIT_POSITIVE, FIT_UNLABELLED = 3000, 6000
+FIT_POSITIVE, FIT_UNLABELLED = 2000, 4000
 #: A feature is used if so many sampled texts, and so many positives, have it.
 LEAST_TEXTS, LEAST_POSITIVES = 10, 5
 THRESHOLD = 0.3
@@ -84,7 +84,7 @@ class _Rows:
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
         self.ends = np.concatenate(([0], np.cumsum([len(i) for i, _ in rows]))).astype(np.int64)
-        self.ids = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
+        self.ids = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.uint32)
         self.values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
 
     def __len__(self) -> int:
@@ -177,7 +177,7 @@ def _sampled(texts: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         .collect()
     )
     rows.sort(key=lambda r: r["h"])
-    return [(np.frombuffer(r["ids"], np.uint32).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(float)) for r in rows]
+    return [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["v"], np.float32)) for r in rows]
 
 
 def fit(
