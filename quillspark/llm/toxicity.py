@@ -201,9 +201,10 @@ def fit(
         prior = known.agg(F.avg("y")).first()[0]
         prior = 0.5 if prior is None else float(prior)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    toxic = known.filter("y = 1").select(F.col(id_col).alias("__id"))
+    # ids of the sample's candidates, so at most that many are broadcast and no text is shuffled to find them
+    toxic = known.filter("y = 1").select(F.col(id_col).alias("__id")).orderBy(F.xxhash64("__id")).limit(2 * n_positive)
     return train(
-        _sampled(texts.join(toxic, "__id", "left_semi").select("text"), n_positive),
+        _sampled(texts.join(F.broadcast(toxic), "__id", "left_semi").select("text"), n_positive),
         _sampled(texts.select("text"), n_unlabelled),
         prior,
     )
