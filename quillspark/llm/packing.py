@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialize, read_table
-from quillspark.llm.tokens import tokenizer
+from quillspark.llm.tokens import slices, tokenizer
 
 CAPACITY = 2048
 #: Pieces of a block, islands of a block, epochs between migrations, generations of an epoch, chromosomes of an island.
@@ -123,19 +123,19 @@ def mutate(sizes, bins, capacity: int, rng: random.Random):
 def evolve(sizes, start, capacity: int, bound: int, seed: int, generations: int, population: int):
     """The fittest chromosome after some generations; ends early at the lower bound. ``start`` has elites."""
     rng = random.Random(seed)
-    pool = list(start)
-    while len(pool) < population:
+    ranked = lambda c: (fitness(sizes, c, capacity), c)
+    pool = [ranked(c) for c in start]
+    while len(pool) < population and max(pool)[0][0] < -bound:
         noise = sorted(range(len(sizes)), key=lambda i: -sizes[i] * rng.uniform(0.7, 1.3))
-        pool.append(best_fit(sizes, noise, capacity))
-    rank = lambda c: fitness(sizes, c, capacity)
-    pool.sort(key=rank, reverse=True)
+        pool.append(ranked(best_fit(sizes, noise, capacity)))
+    pool.sort(key=lambda x: x[0], reverse=True)
     for _ in range(generations):
-        if len(pool[0]) <= bound:
+        if len(pool[0][1]) <= bound:
             break
-        one, two = rng.sample(pool[: max(2, population // 2)], 2)
+        (_, one), (_, two) = rng.sample(pool[: max(2, population // 2)], 2)
         child = mutate(sizes, crossover(sizes, one, two, capacity, rng), capacity, rng)
-        pool = sorted([*pool[: population - 1], child], key=rank, reverse=True)
-    return pool[0]
+        pool = sorted([*pool[: population - 1], ranked(child)], key=lambda x: x[0], reverse=True)
+    return pool[0][1]
 
 
 def _genome(bins: list[list[int]], n: int) -> list[int]:
@@ -196,7 +196,8 @@ def _pack_level(pieces: DataFrame, n: int, capacity: int, block: int, level: int
                         r |= {"genome": _genome(bins, len(r["sizes"])), "bins": len(bins)}
                         yield _batch([r], ["block", "island", "keys", "sizes", "genome", "bins", "bound"])
 
-            dealt = islands.repartition("block", "island")
+            # by number, so that small rows with much work are not put together again
+            dealt = islands.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "island")
             islands = materialize(dealt.mapInArrow(run, "block long, island int, " + _BLOCKS.split(", ", 1)[1]), "islands")
             if epoch + 1 < EPOCHS:
                 elite = islands.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("genome").alias("migrant"))
@@ -251,8 +252,9 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
         t = tokenizer(vocabulary, False)
         for b in batches:
             cols: list[list[int]] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(t.ids(text.as_py()), np.uint16(end_id)).astype("<u4")
+            each = (ids for texts in slices(b.column(1)) for ids in t.ids_of(texts))
+            for doc, got in zip(b.column(0).to_pylist(), each, strict=True):
+                ids = np.append(got, np.uint16(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     for c, v in zip(cols, (doc, k, at, len(part), zlib.crc32(part.tobytes())), strict=True):

@@ -2,19 +2,19 @@
 
 Both vocabularies cut a text at white space before they merge, so the ids of a
 text are those of its white-space chunks, one after the other. A worker encodes
-each chunk once and remembers its ids as bytes; when the cache is full it is
-emptied. The tokenizer file is a parameter and is read where the task runs.
+each chunk once and remembers its ids as bytes, as long as it is in use. The tokenizer file is a parameter and is read where the task runs.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Chunks which a worker remembers.
-CACHE = 500_000
+#: Chunks of a generation; a worker remembers two generations.
+CACHE = 600_000
 
 # White_Space of Unicode.
 _W = "\t-\r \x85\xa0  -     　"
@@ -34,25 +34,48 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.split = (_WITH_BLANK if keeps_blanks else _WITHOUT).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text as uint16; null and empty texts have none."""
-        if not text:
-            return np.zeros(0, np.uint16)
-        chunks = self.split(text)
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(chunks))
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, np.uint16).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.uint16)
+    def _learn(self, chunks: set[str]) -> None:
+        """Have the ids of all these chunks at hand."""
+        if len(self.known) + len(chunks) > CACHE:  # the older half goes, but what is still used moves up
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = []
+        for c in chunks - known.keys():
+            if (got := before.get(c)) is not None:
+                known[c] = got
+            else:
+                new.append(c)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[c] = array("H", e.ids).tobytes()
+
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text as uint16; null and empty texts have none. New chunks are encoded in one call."""
+        each = [self.split(t) if t else [] for t in texts]
+        new: set[str] = set()
+        for chunks in each:
+            new.update(chunks)
+        self._learn(new)
+        at = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(at, chunks)), np.uint16) for chunks in each]
+
+
+def slices(column, rows: int = 1000, size: int = 4 << 20):
+    """Texts of an Arrow column in lists of bounded rows and characters."""
+    held, n = [], 0
+    for x in column:
+        held.append(x.as_py())
+        n += len(held[-1] or "")
+        if len(held) >= rows or n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 _open: dict[tuple[str, bool], ChunkTokenizer] = {}
