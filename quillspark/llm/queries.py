@@ -11,12 +11,14 @@ from quillspark.llm.language import op7_nearest_centroid
 from quillspark.llm.mpeg import op10_mpeg_audio
 from quillspark.llm.ngram import op1_bloom_ngram
 from quillspark.llm.packing import op9_island_packing
+from quillspark.llm.secrets import op2_random_forest
 from quillspark.llm.sharding import op3_virtual_slots
 from quillspark.llm.simhash import op4_pigeonhole_simhash
 from quillspark.llm.toxicity import op6_nn_pu
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_ngram": op1_bloom_ngram,
+    "op2_random_forest": op2_random_forest,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_pigeonhole_simhash": op4_pigeonhole_simhash,
     "op6_nn_pu": op6_nn_pu,
