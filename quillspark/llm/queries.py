@@ -14,6 +14,7 @@ from quillspark.llm.packing import op9_island_packing
 from quillspark.llm.secrets import op2_random_forest
 from quillspark.llm.sharding import op3_virtual_slots
 from quillspark.llm.simhash import op4_pigeonhole_simhash
+from quillspark.llm.tokenfile import op5_context_mixing
 from quillspark.llm.toxicity import op6_nn_pu
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_random_forest": op2_random_forest,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_pigeonhole_simhash": op4_pigeonhole_simhash,
+    "op5_context_mixing": op5_context_mixing,
     "op6_nn_pu": op6_nn_pu,
     "op7_nearest_centroid": op7_nearest_centroid,
     "op8_prefix_join": op8_prefix_join,
