@@ -14,7 +14,7 @@ from array import array
 import numpy as np
 
 #: Chunks of a generation; a worker remembers two generations.
-CACHE = 600_000
+CACHE = 250_000
 
 # White_Space of Unicode.
 _W = "\t-\r \x85\xa0  -     　"
