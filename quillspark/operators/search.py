@@ -75,7 +75,7 @@ def search(pages: DataFrame, query: str, limit: int = 12, space_id: str | None =
     scored = scored.join(pages.select("space_id", "path", "title"), ["space_id", "path"])
     if space_id is not None:
         scored = scored.filter(F.col("space_id") == space_id)
-    # the pattern's own wildcards count, as in the reference's LIKE
+    # wildcards of the query count as such
     match = F.coalesce(F.lower("title").like(f"%{query.strip().lower()}%"), F.lit(False))
     top = scored.withColumn("title_match", match).orderBy(F.col("title_match").desc(), "score", "path", "space_id").limit(0 if empty else min(limit, MOST))
     return top.filter(~paths.is_reserved(F.col("path"))).select("space_id", "path", "title", "title_match", "score")
