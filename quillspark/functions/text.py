@@ -36,14 +36,14 @@ def field(text: Column, key: str) -> Column:
 
 def index_title(text: Column) -> Column:
     """The first ``title:`` of the front matter, else the first line which, trimmed, starts with ``# ``."""
-    headings = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x.startswith("# "))
+    headings = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("# "))
     heading = F.trim(F.substr(F.try_element_at(headings, F.lit(1)), F.lit(3)))
     named = field(text, "title")
     return F.when(named != "", named).otherwise(heading)
 
 
 def first_content_line(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     kept = F.filter(lines, lambda x: (x != "") & (x != "---") & ~x.startswith("title:"))
     return F.trim(F.regexp_replace(F.try_element_at(kept, F.lit(1)), "^#+", ""))
 

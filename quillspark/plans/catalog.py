@@ -1,10 +1,301 @@
-"""All queries over the reference's semantics, by name, and their DuckDB SQL."""
+"""All queries over the knowledge-base semantics, by name, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import links, paths, text
+from quillspark.operators import graph, search, vector, versions
+from quillspark.plans.shared_sql import SHARED
+from quillspark.plans.views import view, with_views
+from quillspark.sources import formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    import re
+
+    used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return lambda spark, sf_dir: spark.sql(sql, **{n: view(spark, sf_dir, n) for n in used})
+
+
+for _name, _sql in SHARED.items():
+    QUERIES[_name] = _shared(_sql)
+    ORACLE_SQL[_name] = with_views(_sql)
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under a name, with its DuckDB SQL."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = with_views(sql)
+        return f
+
+    return keep
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "kb_page").withColumn("title", F.split("body", "\n")[0])
+
+
+SEARCH = "from thon"
+_TOKENS = "list_filter(string_split_regex(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+_SEARCH_SQL = f"""
+    with tok as (select space_id, path, title, {_TOKENS.format('title')} as tt, {_TOKENS.format('body')} as bt
+                 from (select space_id, path, body, string_split(body, chr(10))[1] as title from {{kb_page}}) p),
+    st as (select count(*) as n_docs, avg(len(tt) + len(bt)) as avg_tokens from tok),
+    q as (select unnest(['from', 'thon']) as term),
+    hit as (select space_id, path, title, term, len(tt) + len(bt) as d,
+                   8.0 * len(list_filter(tt, lambda t: t = term)) + len(list_filter(bt, lambda t: t = term)) as tf from tok, q),
+    df as (select term, count(*) as n from hit where tf > 0 group by term),
+    sc as (select h.space_id, h.path, h.title, sum(-greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / avg_tokens))) as score, count(*) as k
+           from hit h join df using (term), st where tf > 0 group by h.space_id, h.path, h.title)
+    select space_id, path, title, contains(lower(title), 'from thon') as title_match, round(score, 6) as score
+    from sc where k = 2 order by contains(lower(title), 'from thon') desc, sc.score, path, space_id limit 12"""
+
+
+@query("search_pages", _SEARCH_SQL)
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_titled(spark, sf_dir), SEARCH).withColumn("score", F.round("score", 6))
+
+
+@query("a9_corpus_statistics", f"select count(*) as n_docs, round(avg(len({_TOKENS.format('body')})), 6) as avg_tokens from {{kb_page}}")
+def corpus_statistics(spark, sf_dir):
+    n = F.size(text.tokens(F.col("body")))
+    return view(spark, sf_dir, "kb_page").agg(F.count("*").alias("n_docs"), F.round(F.avg(n), 6).alias("avg_tokens"))
+
+
+@query("x2_tokens", f"select path, len({_TOKENS.format('body')}) as n, list_aggregate(list_distinct({_TOKENS.format('body')}), 'max') as last_token from {{kb_page}}")
+def token_counts(spark, sf_dir):
+    t = text.tokens(F.col("body"))
+    return view(spark, sf_dir, "kb_page").select("path", F.size(t).cast("long").alias("n"), F.array_max(t).alias("last_token"))
+
+
+@query("postings_df", f"select term, count(distinct path) as df, count(*) as tf from (select path, unnest({_TOKENS.format('body')}) as term from {{kb_page}}) x group by term")
+def postings_df(spark, sf_dir):
+    p = search.postings(view(spark, sf_dir, "kb_page").withColumn("title", F.lit("")))
+    return p.groupBy("term").agg(F.countDistinct("path").alias("df"), F.sum("tf").alias("tf"))
+
+
+_EDGES = """
+    select distinct space_id, path as source_path, unnest([
+        concat('src', cast((7 * doc_id) % 20 as varchar), '/', cast((7 * doc_id) % 1200 as varchar), '.md'),
+        concat('src', cast(doc_id % 20 as varchar), '/', cast((3 * doc_id) % 1300 as varchar), '.md')]) as target from {kb_page}"""
+
+
+@query("x9_link_edges", _EDGES)
+def link_edges(spark, sf_dir):
+    return graph.edges(view(spark, sf_dir, "kb_page_linked"))
+
+
+def _linked(spark, sf_dir):
+    pages = view(spark, sf_dir, "kb_page_linked")
+    return pages, graph.edges(pages)
+
+
+_NAMED = f"select e.space_id, e.source_path, concat('Page ', cast(p.doc_id as varchar)) as source_title, e.target from ({_EDGES}) e join {{kb_page}} p on p.space_id = e.space_id and p.path = e.source_path"
+
+
+@query("j2_backlinks", f"select space_id, target, source_path, source_title from ({_NAMED}) n")
+def backlinks(spark, sf_dir):
+    return graph.backlinks(*_linked(spark, sf_dir))
+
+
+_LIVE = "select space_id, path as target from {kb_page} union select space_id, source as target from {kb_page}"
+_BROKEN = f"select * from ({_NAMED}) n where not exists (select 1 from ({_LIVE}) l where l.space_id = n.space_id and l.target = n.target)"
+
+
+@query("s3_live_targets", _LIVE)
+def live_targets(spark, sf_dir):
+    return graph.live_targets(view(spark, sf_dir, "kb_page"))
+
+
+@query("j3_broken_links", _BROKEN)
+def broken_links(spark, sf_dir):
+    return graph.broken_links(*_linked(spark, sf_dir))
+
+
+@query("a3_broken_by_source", f"select space_id, source_path, string_agg(target, ',' order by target) as targets, count(*) as n from ({_BROKEN}) b group by space_id, source_path")
+def broken_by_source(spark, sf_dir):
+    return graph.grouped_by_source(graph.broken_links(*_linked(spark, sf_dir)))
+
+
+@query("f1_titles", "select path, concat('Page ', cast(doc_id as varchar)) as title, 'Note' as type, concat('[s', cast(doc_id % 5 as varchar), '.md]') as sources, concat('Heading ', cast(doc_id as varchar)) as heading from {kb_page}")
+def titles(spark, sf_dir):
+    body = F.col("body")
+    return view(spark, sf_dir, "kb_page_linked").select(
+        "path", text.index_title(body).alias("title"), text.field(body, "type").alias("type"), text.field(body, "sources").alias("sources"),
+        text.index_title(text.content(body)).alias("heading"),
+    )
+
+
+@query("f5_first_content_line", "select path, trim(string_split(body, chr(10))[1]) as line from {kb_page}")
+def first_line(spark, sf_dir):
+    return view(spark, sf_dir, "kb_page").select("path", text.first_content_line(F.col("body")).alias("line"))
+
+
+@query("f9_document_kinds", """
+    with x as (select case doc_id % 6 when 0 then concat(source, '/index.md') when 1 then concat(source, '/log.md') when 2 then concat(source, '/.h/x.md')
+        when 3 then concat(source, '/a.html') else path end as path from {kb_page})
+    select path, case when path like '%/index.md' then 'index' when path like '%/log.md' then 'log' when path like '%.md' then 'concept' else 'other' end as kind,
+        path like '%/.%' as hidden, path like '%/index.md' or path like '%/log.md' as reserved, regexp_replace(path, '\\.md$', '') as slug from x""")
+def kinds(spark, sf_dir):
+    m = F.col("doc_id") % 6
+    name = F.when(m == 0, "/index.md").when(m == 1, "/log.md").when(m == 2, "/.h/x.md").when(m == 3, "/a.html")
+    p = view(spark, sf_dir, "kb_page").select(F.when(name.isNotNull(), F.concat("source", name)).otherwise(F.col("path")).alias("path"))
+    c = F.col("path")
+    return p.select("path", paths.kind(c).alias("kind"), paths.is_hidden(c).alias("hidden"), paths.is_reserved(c).alias("reserved"), paths.slug(c).alias("slug"))
+
+
+@query("x7_resolved_targets", """
+    select path, source as root_target, concat(source, '/b c.md') as decoded, cast(null as varchar) as escaped from {kb_page}""")
+def resolved(spark, sf_dir):
+    p = F.col("path")
+    return view(spark, sf_dir, "kb_page").select(
+        "path",
+        links.resolve_markdown(p, F.concat(F.lit("/x/../"), F.col("source"), F.lit("#top"))).alias("root_target"),
+        links.resolve_markdown(p, F.lit("./b%20c.md?x=1")).alias("decoded"),
+        links.resolve_markdown(p, F.lit("../../out.md")).alias("escaped"),
+    )
+
+
+@query("x12_content_hash", "select path, sha256(body) as sha256 from {kb_page}")
+def hashes(spark, sf_dir):
+    return view(spark, sf_dir, "kb_page").select("path", versions.digest(F.col("body")).alias("sha256"))
+
+
+@query("x28_slugs", "select path, regexp_replace(regexp_replace(lower(t), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g') as strict, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as collapsed from (select path, string_split(body, chr(10))[1] as t from {kb_page}) x")
+def slugs(spark, sf_dir):
+    t = F.split("body", "\n")[0]
+    return view(spark, sf_dir, "kb_page").select("path", text.slug_strict(t).alias("strict"), text.slug_collapsed(t).alias("collapsed"))
+
+
+@query("d1_exact_duplicates", "select sha, source, min(doc_id) as kept, count(*) as copies from (select sha256(body) as sha, source, doc_id from {kb_page}) x group by sha, source")
+def duplicates(spark, sf_dir):
+    p = view(spark, sf_dir, "kb_page").select(versions.digest(F.col("body")).alias("sha"), "source", "doc_id")
+    return p.groupBy("sha", "source").agg(F.min("doc_id").alias("kept"), F.count("*").alias("copies"))
+
+
+_NEAREST = """
+    select query_id, vec_id, round(s, 6) as similarity from (
+        select query_id, vec_id, s, row_number() over (partition by query_id order by s desc, vec_id) as k from (
+            select q.vec_id as query_id, v.vec_id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as s
+            from {{kb_vec}} q, {{kb_vec}} v where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id and v.branch = 'main') a where s > {0}) b where k <= {1}"""
+
+
+@query("d5_near_vectors", _NEAREST.format(0.3, 3))
+def near_vectors(spark, sf_dir):
+    """The best three on the main branch for every query vector (each id divisible by 50)."""
+    v = view(spark, sf_dir, "kb_vec")
+    return vector.nearest(v.filter("vec_id % 50 = 0"), v.filter("branch = 'main'"), 3, 0.3)
+
+
+@query("d6_semantic_search", _NEAREST.format(0.1, 10))
+def semantic_search(spark, sf_dir):
+    v = view(spark, sf_dir, "kb_vec")
+    return vector.nearest(v.filter("vec_id % 50 = 0"), v.filter("branch = 'main'"), 10, 0.1)
+
+
+_CHANGES = """
+    select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'deleted' else 'modified' end as status,
+        sha256(a.body) as old_sha, sha256(b.body) as new_sha
+    from {kb_base} a full join {kb_draft} b on a.path = b.path where a.path is null or b.path is null or a.body <> b.body"""
+
+
+@query("g1_working_diff", _CHANGES)
+def working_diff(spark, sf_dir):
+    return versions.changes(view(spark, sf_dir, "kb_base"), view(spark, sf_dir, "kb_draft"))
+
+
+@query("g3_three_way_merge", """
+    select coalesce(b.path, d.path, a.path) as path, case
+        when d.body is not distinct from b.body and a.body is not distinct from b.body then 'unchanged' when d.body is not distinct from a.body then 'same'
+        when d.body is not distinct from b.body then 'take_agent' when a.body is not distinct from b.body then 'keep_draft' else 'conflict' end as state
+    from {kb_base} b full join {kb_draft} d on b.path = d.path full join {kb_agent} a on a.path = coalesce(b.path, d.path)""")
+def three_way(spark, sf_dir):
+    return versions.merge_states(*(view(spark, sf_dir, n) for n in ("kb_base", "kb_draft", "kb_agent")))
+
+
+@query("x14_line_diffs")
+def line_diffs(spark, sf_dir):
+    return versions.file_diffs(view(spark, sf_dir, "kb_base"), view(spark, sf_dir, "kb_draft")).drop("lines")
+
+
+@query("r1_reconcile", """
+    with i as (select space_id, path, modified_ns from {kb_page} where doc_id % 3 <> 0),
+         s as (select space_id, path, case when doc_id % 5 = 0 then modified_ns + 1 else modified_ns end as modified_ns from {kb_page} where doc_id % 7 <> 0)
+    select coalesce(i.space_id, s.space_id) as space_id, coalesce(i.path, s.path) as path, case when s.path is null then 'delete' else 'upsert' end as action
+    from i full join s on i.space_id = s.space_id and i.path = s.path where s.path is null or i.path is null or i.modified_ns <> s.modified_ns""")
+def reconcile(spark, sf_dir):
+    p = view(spark, sf_dir, "kb_page")
+    seen = p.filter("doc_id % 7 <> 0").withColumn("modified_ns", F.when(F.col("doc_id") % 5 == 0, F.col("modified_ns") + 1).otherwise(F.col("modified_ns")))
+    return versions.reconcile(p.filter("doc_id % 3 <> 0"), seen)
+
+
+@query("s7_format_dispatch", """
+    select ext, case when ext in ('md','markdown','txt','csv','json','yaml','yml','toml','xml','html','htm') then 'text' when ext in ('docx','xlsx','pptx','ods','odt','odp') then 'archive' end as reader, count(*) as n
+    from (select case doc_id % 5 when 0 then 'md' when 1 then 'docx' when 2 then 'doc' when 3 then 'html' else 'pdf' end as ext from {kb_page}) x group by ext""")
+def dispatch(spark, sf_dir):
+    m = F.col("doc_id") % 5
+    ext = F.when(m == 0, "md").when(m == 1, "docx").when(m == 2, "doc").when(m == 3, "html").otherwise("pdf")
+    return view(spark, sf_dir, "kb_page").select(ext.alias("ext")).groupBy("ext").agg(F.count("*").alias("n")).select("ext", formats.reader(F.col("ext")).alias("reader"), "n")
+
+
+@query("s14_html_snapshots")
+def html_snapshots(spark, sf_dir):
+    return formats.snapshots(view(spark, sf_dir, "pages"))
+
+
+@query("s14_html_titles", "select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as n_links from {pages}")
+def html_titles(spark, sf_dir):
+    links_ = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return view(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(links_).cast("long").alias("n_links"))
+
+
+@query("s15_url_hosts", "select page_id, regexp_extract(url, '^(https?)://', 1) as protocol, regexp_extract(url, '^https?://([^/?#:]+)', 1) as host, regexp_matches(url, '^https?://[^/@]+(/|$)') as ok from {pages}")
+def url_hosts(spark, sf_dir):
+    part = lambda n: F.try_parse_url("url", F.lit(n))
+    ok = part("PROTOCOL").isin("http", "https") & part("HOST").isNotNull() & part("USERINFO").isNull()
+    return view(spark, sf_dir, "pages").select("page_id", part("PROTOCOL").alias("protocol"), part("HOST").alias("host"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+@query("x30_tool_results", "select path, concat('{\"path\":\"', path, '\",\"title_match\":false}') as result from {kb_page}")
+def tool_results(spark, sf_dir):
+    return view(spark, sf_dir, "kb_page").select("path", F.to_json(F.struct("path", F.lit(False).alias("title_match"))).alias("result"))
+
+
+@query("x18_excerpts")
+def excerpts(spark, sf_dir):
+    return view(spark, sf_dir, "kb_page").select("path", text.excerpt(F.col("body")).alias("excerpt"))
+
+
+@query("k9_directory_index", """
+    select source as dir, concat('# ', source, chr(10), string_agg(concat('- [', path, '](', path, ')'), chr(10) order by lower(path), path)) as body from {kb_page} group by source""")
+def directory_index(spark, sf_dir):
+    entry = F.concat(F.lit("- ["), "path", F.lit("]("), "path", F.lit(")"))
+    listed = F.array_sort(F.collect_list(F.struct(F.lower("path").alias("k"), F.col("path").alias("p"), entry.alias("e"))))
+    grouped = view(spark, sf_dir, "kb_page").groupBy(F.col("source").alias("dir")).agg(listed.alias("x"))
+    return grouped.select("dir", F.concat(F.lit("# "), "dir", F.lit("\n"), F.array_join("x.e", "\n")).alias("body"))
+
+
+@query("k10_source_names", """
+    select name, case when name like '%.md' and name not in ('index.md', 'log.md') then name else concat('_encoded/', sha256(name), '.md') end as stored
+    from (select case doc_id % 3 when 0 then 'index.md' when 1 then concat(cast(doc_id as varchar), '.md') else concat(cast(doc_id as varchar), '.txt') end as name from {kb_page}) x""")
+def source_names(spark, sf_dir):
+    m, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    name = F.when(m == 0, "index.md").when(m == 1, F.concat(n, F.lit(".md"))).otherwise(F.concat(n, F.lit(".txt")))
+    return view(spark, sf_dir, "kb_page").select(name.alias("name")).select("name", paths.stored_source_name(F.col("name")).alias("stored"))
+
+
+@query("k11_tree_hash", "select source, sha256(string_agg(concat(path, ':', sha256(body)), chr(10) order by path)) as tree from {kb_page} group by source")
+def tree_hash(spark, sf_dir):
+    entry = F.concat("path", F.lit(":"), versions.digest(F.col("body")))
+    grouped = view(spark, sf_dir, "kb_page").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))).alias("x"))
+    return grouped.select("source", F.sha2(F.array_join("x.e", "\n"), 256).alias("tree"))
