@@ -1,0 +1,91 @@
+"""Held-out accuracy and odd rows of the trained operators."""
+
+import numpy as np
+
+from quillspark.llm import language, secrets, toxicity
+from quillspark.llm.common import held_out
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.filter(~held_out("doc_id", 5, 0)))
+    out = language.identify(docs.filter(held_out("doc_id", 5, 0)), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.98
+    assert np.mean([r["rejected"] for r in out]) < 0.01
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
+def test_language_rejects_and_odd_rows(odd_docs, no_docs, sample):
+    model = language.fit(sample)
+    rows = language.identify(odd_docs, model).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r["lang_pred"] == "und" and r["rejected"] for r in rows if r["doc_id"] in (3, 4, 5))
+    assert model.predict("1234 5678 !!")[0] == "und"
+    assert model.predict("漢字仮名交じり文の例です。これは遠い。" * 20)[3]
+    assert language.identify(no_docs, model).count() == 0
+    assert language.fit(no_docs).predict("hello")[0] == "und"
+
+
+def test_long_texts_are_counted_in_chunks(monkeypatch):
+    text = "Größe und Länge, " * 200
+    whole = language.counts_of(text)
+    monkeypatch.setattr(language, "CHUNK", 97)
+    assert (language.counts_of(text) == whole).all()
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    seen = ~held_out("doc_id", 4, 2)
+    model = toxicity.fit(docs.filter(seen), labels.filter(seen))
+    held = docs.join(labels.filter(~seen), "doc_id").select("doc_id", "text", "toxic")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(held, model).collect()}
+    y = {r["doc_id"]: r["toxic"] for r in held.select("doc_id", "toxic").collect()}
+    hit = [d for d in y if got[d] >= toxicity.THRESHOLD]
+    assert np.mean([y[d] for d in hit]) > 0.8
+    assert sum(y[d] for d in hit) / sum(y.values()) > 0.7
+
+
+def test_non_negative_risk_does_not_overfit_to_all_negative():
+    rng = np.random.default_rng(0)
+    row = lambda ids: (np.array(sorted(ids)), np.full(len(ids), 1 / np.sqrt(len(ids))))
+    pos = [row({1, 2, int(rng.integers(10, 50))}) for _ in range(60)]
+    unl = [row({1, 2, int(rng.integers(10, 50))}) if rng.random() < 0.2 else row({5, 6, int(rng.integers(10, 50))}) for _ in range(400)]
+    m = toxicity.train(pos, unl, 0.2)
+    z = lambda r: m.weights[r[0]] @ r[1] + m.bias
+    assert min(z(r) for r in pos) > max(z(r) for r in unl if 5 in r[0])
+
+
+def test_toxicity_odd_rows(spark, odd_docs, no_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(odd_docs, none)
+    rows = toxicity.score(odd_docs, model).collect()
+    assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    some = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert toxicity.score(no_docs, toxicity.fit(odd_docs, some)).count() == 0
+
+
+def test_forest_on_unseen_findings(spark):
+    forest = secrets.fit(secrets.example_findings(1000, seed=5))
+    fresh = secrets.example_findings(400, seed=99)
+    x = np.array([secrets.features(v, b, a, p, s) for v, b, a, p, s, _ in fresh])
+    y = np.array([label for *_, label in fresh])
+    assert ((forest.predict(x) >= 0.5) == y).mean() > 0.95
+    table = spark.createDataFrame([*fresh, (None, "", "", None, True, 1), ("x" * 9, None, None, None, None, None)], secrets._SCHEMA)
+    assert len(secrets.fit(table).trees) == secrets.TREES
+
+
+def test_secrets_in_texts(odd_docs, no_docs, spark):
+    forest = secrets.fit(secrets.example_findings(1000))
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    docs = spark.createDataFrame(
+        [(1, f'the token = "{key}" and on', "src1"), (2, "mail a.5@mail1.example.com id: 2669109448945250", None), (3, None, "x"), (4, f"{key}" * 400, "x")],
+        "doc_id long, text string, source string",
+    )
+    found = secrets.scan(docs, forest).filter("is_secret").collect()
+    assert [(r["doc_id"], r["last"] - r["first"]) for r in found if r["doc_id"] < 4] == [(1, 40)]
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs, forest).collect()}
+    assert masked[1] == f'the token = "{secrets.MASK}" and on' and masked[3] is None
+    assert secrets.scan(odd_docs, forest).filter("is_secret").count() == 0
+    assert secrets.masked(odd_docs, forest).count() == odd_docs.count()
+    assert secrets.scan(no_docs, forest).count() == 0
