@@ -53,7 +53,8 @@ def search(pages: DataFrame, query: str, limit: int = 12, space_id: str | None =
     for k, phrase in enumerate(parts or [["-"]]):
         found = None
         for i, term in enumerate(phrase or ["-"]):
-            at = index.filter(F.col("term") == term).select("space_id", "path", "field", F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+            start = F.expr(f"transform(positions, p -> p - {i})")  # where the phrase would begin
+            at = index.filter(F.col("term") == term).select("space_id", "path", "field", start.alias(f"p{i}"))
             found = at if found is None else found.join(at, ["space_id", "path", "field"])
         together = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(1, max(1, len(phrase)))], F.col("p0"))
         weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
