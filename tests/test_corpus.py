@@ -151,3 +151,31 @@ def test_stream_keeps_newest(spark, tmp_path):
         q.awaitTermination()
     now = reconcile.newest(spark.read.parquet(str(tmp_path / "index")))
     assert {(r["path"], r["body"]) for r in now.collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_tools(space):
+    from quillspark.api import Corpus
+
+    c = Corpus(files.pages(space))
+    assert c.context().first()["n_pages"] == c.pages.count()
+    assert c.page("wiki/overview.md").first()["content"].startswith("The network")
+    assert [r["source_path"] for r in c.backlinks("wiki/overview").collect()] == ["wiki/body.md"]
+    assert [r["target"] for r in c.broken_links("s").collect()] == ["wiki/Title.md", "wiki/gone.md"]
+    with pytest.raises(ValueError, match="limit"):
+        c.search_pages("x", 101)
+
+
+def test_conformance(spark):
+    from quillspark.functions import conformance
+
+    logs = [
+        "# Log\n\n## 2026-02-03\n- a\n  more\n\n## 2026-01-31\n* b\n", "# Log\n## 2026-01-01\n- a\n## 2026-01-02\n- b\n", "# Log\n## 2026-02-30\n- a\n",
+        "# Log\n## 2026-02-03\n## 2026-02-01\n- a\n", "# Log\n- a\n## 2026-02-03\n- b\n", "no\n## 2026-02-03\n- b\n", "# Log\n## 2026-02-03\n- a\ntext\n", "# Log\n## 2026-02-03\n",
+    ]
+    df = spark.createDataFrame(list(enumerate(logs)), "k int, b string")
+    assert [r["ok"] for r in df.select("k", conformance.log(F.col("b")).alias("ok")).orderBy("k").collect()] == [True] + [False] * 7
+    pages = spark.createDataFrame([("---\ntype: Note\n---\nx",), ("---\ntype: Note\nkind: concept\n---\n",), ("x",), ("---\ntype: ''\n---\n",)], "b string")
+    assert [r["ok"] for r in pages.select(conformance.concept(F.col("b")).alias("ok")).collect()] == [True, False, False, False]
+    idx = spark.createDataFrame([("# I\n",), ("---\nformat: 1\n---\n# I\n",), ("---\na: 1\n---\n# I\n",), ("x",)], "b string")
+    got = idx.select(conformance.index(F.col("b")).alias("n"), conformance.index(F.col("b"), ("format",)).alias("r")).collect()
+    assert [r["n"] for r in got] == [True, False, False, False] and [r["r"] for r in got] == [True, True, False, False]
