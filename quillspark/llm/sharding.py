@@ -135,7 +135,7 @@ def _smoothed(shards: list[int], weights: dict[int, int], n: int) -> list[int]:
 def slotted(df: DataFrame, id_col: str, text_col: str, n_slots: int = N_SLOTS) -> DataFrame:
     """id, size (UTF-8 bytes and 16), text_crc32 and virtual slot of each record.
 
-    Null ids all hash to one slot; null texts have 16 bytes and a null crc32.
+    Null ids all hash to one slot; null texts have size 16 and the crc32 of an empty text, 0.
     A repeated row is a record of its own and shares the slot of its id.
     """
     return df.select(
