@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import paths, text
@@ -86,3 +86,26 @@ def top_per_query(scored: DataFrame, k: int) -> DataFrame:
     """The best ``k`` rows of every query_id of a batch."""
     w = Window.partitionBy("query_id").orderBy(F.col("title_match").desc(), "score", "path")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def snippet(body: Column, terms: list[str], n: int = 24) -> Column:
+    """``n`` tokens around the first occurrences of folded ``terms``, with an ellipsis where text is left out.
+
+    The text's beginning if the occurrences fit into it, or there is none; else
+    they are in the middle, as far as the text's end allows. All occurrences
+    within ``n`` tokens of the first count. Line breaks become blanks. That a
+    window begins with a sentence, where one is near, is left out.
+    """
+    units = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
+    token = lambda unit: text.folded(F.regexp_extract(unit, r"^[\p{L}\p{N}]+", 0))
+    marked = F.transform(units, lambda u, i: F.when(token(u).isin(*terms), i))
+    hits = F.filter(marked, lambda i: i.isNotNull())
+    first = F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0))
+    last = F.coalesce(F.array_max(F.filter(hits, lambda i: i < first + n)), F.lit(0))
+    middle = F.floor((first + last) / 2).cast("int") - (n // 2 - 1)
+    start = F.when(last < n, 0).otherwise(F.greatest(F.lit(0), F.least(F.size(units) - n, middle)))
+    cut = start + n < F.size(units)
+    shown = F.array_join(F.slice(units, start + 1, F.lit(n)), "")
+    ended = F.when(cut, F.concat(F.regexp_replace(shown, r"[^\p{L}\p{N}]+$", ""), F.lit(" … "))).otherwise(shown)
+    begun = F.concat(F.when(start > 0, " … ").otherwise(F.regexp_extract(body, r"^[^\p{L}\p{N}]+", 0)), ended)
+    return F.translate(begun, "\n", " ")

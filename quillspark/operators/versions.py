@@ -91,3 +91,39 @@ def merge_text(base: str, draft: str, agent: str) -> str | None:
         out += lines[at:start] + list(new)
         at = stop
     return "".join(out + lines[at:])
+
+
+def surviving(old: str, new: str) -> list[int]:
+    """For each line of ``old`` its number in ``new``, 0 if it did not survive."""
+    a, b = old.split("\n"), new.split("\n")
+    out = [0] * len(a)
+    for i, j, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+        out[i : i + n] = range(j + 1, j + n + 1)
+    return out
+
+
+def remap_anchors(comments: DataFrame, snapshots: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, page_slug, state, start_line, end_line): where the commented lines are in the current page.
+
+    ``comments`` (id, page_slug, content_hash, start_line, end_line),
+    ``snapshots`` (page_slug, content_hash, source), ``pages`` (page_slug,
+    body). Every distinct snapshot is compared once, for all its comments, and
+    only if it differs from the page. A comment is ``outdated``, without lines,
+    if one of its lines, its snapshot or its page is gone, and if its lines are
+    null or not within the snapshot.
+    """
+
+    @F.pandas_udf("array<int>")
+    def lines(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([surviving(x, y) for x, y in zip(a, b, strict=True)])
+
+    distinct = snapshots.select("page_slug", "content_hash", "source").dropDuplicates(["page_slug", "content_hash"])
+    both = distinct.join(pages.select("page_slug", "body"), "page_slug").filter("source is not null and body is not null")
+    same = both.filter("source = body").select("page_slug", "content_hash", F.sequence(F.lit(1), F.size(F.split("source", "\n"))).alias("lines"))
+    moved = both.filter("source <> body").select("page_slug", "content_hash", lines("source", "body").alias("lines"))
+    joined = comments.select("id", "page_slug", "content_hash", "start_line", "end_line").join(same.unionByName(moved), ["page_slug", "content_hash"], "left")
+    first, last = F.col("start_line"), F.col("end_line")
+    within = (first >= 1) & (first <= last) & (last <= F.size("lines"))
+    kept = F.when(within, F.forall(F.slice("lines", first, last - first + 1), lambda n: n > 0)).otherwise(False)
+    at = lambda line: F.when(kept, F.try_element_at(F.col("lines"), line.cast("int")))
+    return joined.select("id", "page_slug", F.when(kept, "anchored").otherwise("outdated").alias("state"), at(first).alias("start_line"), at(last).alias("end_line"))

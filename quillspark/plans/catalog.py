@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import links, paths, text
+from quillspark.functions import links, metadata, paths, text
 from quillspark.operators import graph, search, vector, versions
 from quillspark.plans.shared_sql import SHARED
 from quillspark.plans.views import view, with_views
@@ -299,3 +299,52 @@ def tree_hash(spark, sf_dir):
     entry = F.concat("path", F.lit(":"), versions.digest(F.col("body")))
     grouped = view(spark, sf_dir, "kb_page").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))).alias("x"))
     return grouped.select("source", F.sha2(F.array_join("x.e", "\n"), 256).alias("tree"))
+
+
+@query("x19_lineage", "select path, concat('.kb/sources/s', cast(doc_id % 5 as varchar), '.md') as source from {kb_page}")
+def lineage(spark, sf_dir):
+    return view(spark, sf_dir, "kb_page_linked").select("path", F.explode(metadata.sources(F.col("body"))).alias("source"))
+
+
+@query("x20_source_addresses", "select page_id, case when regexp_matches(url, '^https?://[^/@]+(/|$)') then url end as address from {pages}")
+def source_addresses(spark, sf_dir):
+    document = F.concat(F.lit('---\nsource_url: "'), "url", F.lit('"\n---\nText'))
+    return view(spark, sf_dir, "pages").select("page_id", metadata.source_address(document).alias("address"))
+
+
+@query("f14_normalised_concepts", """
+    select path, sha256(concat('---', chr(10), 'type: Note', chr(10), 'title: "', cast(doc_id as varchar), '"', chr(10), '---', chr(10), chr(10), ltrim(body, concat(chr(13), chr(10))))) as sha from {kb_page}""")
+def normalised_concepts(spark, sf_dir):
+    made = metadata.normalised_concept(F.col("body"), F.col("doc_id").cast("string"), F.lit("Note"))
+    return view(spark, sf_dir, "kb_page").select("path", versions.digest(made).alias("sha"))
+
+
+_ANCHORED = "select path, doc_id, len(string_split(body, chr(10))) as n from {kb_page}"
+
+
+@query("x17_anchor_remap", f"""
+    select path as id, case when doc_id % 13 = 0 or (doc_id % 7 = 0 and doc_id % n = n - 1) then 'outdated' else 'anchored' end as state,
+           case when doc_id % 13 = 0 or (doc_id % 7 = 0 and doc_id % n = n - 1) then null else cast(doc_id % n + 1 as integer) end as line
+    from ({_ANCHORED}) a""")
+def anchor_remap(spark, sf_dir):
+    pages = view(spark, sf_dir, "kb_page")
+    line = (F.col("doc_id") % F.size(F.split("body", "\n")) + 1).cast("int")
+    snapshots = pages.select(F.col("path").alias("page_slug"), versions.digest(F.col("body")).alias("content_hash"), F.col("body").alias("source"))
+    comments = pages.select(F.col("path").alias("id"), F.col("path").alias("page_slug"), versions.digest(F.col("body")).alias("content_hash"), line.alias("start_line"), line.alias("end_line"))
+    now = view(spark, sf_dir, "kb_draft").withColumnRenamed("path", "page_slug")
+    return versions.remap_anchors(comments, snapshots, now).select("id", "state", F.col("start_line").alias("line"))
+
+
+_UNIT = "[\\p{L}\\p{N}]+[^\\p{L}\\p{N}]*"
+
+
+@query("x4_snippets", f"""
+    with t as (select path, body, regexp_extract_all(body, '{_UNIT}') as u from {{kb_page}}),
+    h as (select path, body, u, list_filter(range(0, len(u)), lambda i: list_contains(['from', 'thon'], strip_accents(lower(regexp_extract(u[i + 1], '^[\\p{{L}}\\p{{N}}]+'))))) as p from t),
+    f as (select path, body, u, coalesce(p[1], 0) as a, coalesce(list_max(list_filter(p, lambda i: i < p[1] + 24)), 0) as z from h),
+    w as (select path, body, u, case when z < 24 then 0 else greatest(0, least(len(u) - 24, (a + z) // 2 - 11)) end as s from f)
+    select path, replace(concat(case when s > 0 then ' … ' else regexp_extract(body, '^[^\\p{{L}}\\p{{N}}]+') end,
+        case when s + 24 < len(u) then concat(regexp_replace(list_aggregate(u[s + 1 : s + 24], 'string_agg', ''), '[^\\p{{L}}\\p{{N}}]+$', ''), ' … ')
+             else coalesce(list_aggregate(u[s + 1 : s + 24], 'string_agg', ''), '') end), chr(10), ' ') as snippet from w""")
+def snippets(spark, sf_dir):
+    return view(spark, sf_dir, "kb_page").select("path", search.snippet(F.col("body"), ["from", "thon"]).alias("snippet"))

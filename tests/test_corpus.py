@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import links, paths, text
+from quillspark.functions import links, metadata, paths, text
 from quillspark.operators import graph, search, versions
 from quillspark.sources import files, formats
 from quillspark.streaming import reconcile
@@ -179,3 +179,68 @@ def test_conformance(spark):
     idx = spark.createDataFrame([("# I\n",), ("---\nformat: 1\n---\n# I\n",), ("---\na: 1\n---\n# I\n",), ("x",)], "b string")
     got = idx.select(conformance.index(F.col("b")).alias("n"), conformance.index(F.col("b"), ("format",)).alias("r")).collect()
     assert [r["n"] for r in got] == [True, False, False, False] and [r["r"] for r in got] == [True, True, False, False]
+
+
+def _one(spark, value, column):
+    return spark.createDataFrame([(value,)], "x string").select(column(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(
+    ("front", "want"),
+    [
+        ("sources: [a.md, 'b/c.md', a.md]", ["a.md", "b/c.md"]),
+        ("sources: sources/a.md", ["a.md"]),
+        ("sources:\n  - .kb/sources/a.md\n  - x.txt\n  - b.md\ntype: Note\n  - no.md", ["a.md", "b.md"]),
+        ("sources: [../a.md, .hidden.md, b//c.md, A.MD]", ["A.MD"]),
+        ("type: Note", []),
+    ],
+)
+def test_sources(spark, front, want):
+    assert _one(spark, f"---\n{front}\n---\nText", metadata.sources) == [f".kb/sources/{x}" for x in want]
+
+
+def test_sources_without_front_matter(spark):
+    for document in (None, "", "sources: [a.md]", "---\nsources: [a.md]\n"):
+        assert _one(spark, document, metadata.sources) == []
+
+
+def test_source_address(spark):
+    for url, ok in (("https://x.org/a?b=c", True), ("http://x.org", True), ("ftp://x.org/a", False), ("https://me:pw@x.org/", False), ("no url", False)):
+        assert _one(spark, f'---\nsource_url: "{url}"\n---\n', metadata.source_address) == (url if ok else None)
+    assert _one(spark, None, metadata.source_address) is None
+
+
+def test_normalised_concept(spark):
+    made = lambda x: _one(spark, x, lambda c: metadata.normalised_concept(c, F.lit('A "b"'), F.lit("Note")))
+    fine = "---\ntype: Source\nother: 1\n---\nText"
+    assert made(fine) == fine and made(None) is None
+    assert made("Text\n") == '---\ntype: Note\ntitle: "A \\"b\\""\n---\n\nText\n'
+    assert made("") == '---\ntype: Note\ntitle: "A \\"b\\""\n---\n\n'
+    old = "---\nkind: concept\ntitle: T\nsummary: short\ntags:\n  - a\n---\n\n\nText"
+    assert made(old) == "---\ntitle: T\nsummary: short\ntags:\n  - a\ntype: Note\ndescription: short\n---\n\nText"
+    assert made(made(old)) == made(old)
+
+
+def test_anchor_remap(spark):
+    snapshots = spark.createDataFrame([("p", "h1", "a\nb\nc"), ("p", "h1", "a\nb\nc"), ("p", "h2", "x\na\nc"), ("q", "h1", "a")], "page_slug string, content_hash string, source string")
+    pages = spark.createDataFrame([("p", "x\na\nc")], "page_slug string, body string")
+    rows = [(1, "p", "h1", 1, 1), (2, "p", "h1", 2, 2), (3, "p", "h1", 3, 3), (4, "p", "h1", 1, 3), (5, "p", "h2", 2, 3), (6, "q", "h1", 1, 1), (7, "p", "gone", 1, 1), (8, "p", "h2", 3, 9), (9, "p", "h1", None, None)]
+    comments = spark.createDataFrame(rows, "id int, page_slug string, content_hash string, start_line int, end_line int")
+    got = {r["id"]: (r["state"], r["start_line"], r["end_line"]) for r in versions.remap_anchors(comments, snapshots, pages).collect()}
+    gone = ("outdated", None, None)
+    assert got == {1: ("anchored", 2, 2), 2: gone, 3: ("anchored", 3, 3), 4: gone, 5: ("anchored", 2, 3), 6: gone, 7: gone, 8: gone, 9: gone}
+    assert versions.remap_anchors(comments.limit(0), snapshots.limit(0), pages.limit(0)).count() == 0
+
+
+def test_snippets_equal_fts5(spark):
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(body)")
+    words = [f"w{i}" for i in range(60)]
+    for n, hits in ((10, [3]), (60, [5]), (60, [30]), (60, [58]), (60, [30, 40])):
+        body = " ".join("Hit" if i in hits else w for i, w in enumerate(words[:n]))
+        db.execute("delete from f")
+        db.execute("insert into f values (?)", (body,))
+        (want,) = db.execute("select snippet(f, 0, '', '', ' … ', 24) from f where f match 'hit'").fetchone()
+        assert _one(spark, body, lambda c: search.snippet(c, ["hit"])) == want
+    assert _one(spark, "", lambda c: search.snippet(c, ["hit"])) == ""
+    assert _one(spark, None, lambda c: search.snippet(c, ["hit"])) is None
