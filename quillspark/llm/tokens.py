@@ -1,8 +1,11 @@
-"""Token ids of whole texts with a public vocabulary, through a bounded cache of chunks.
+"""Token ids of whole texts with a public vocabulary, through a bounded cache of pieces.
 
 Both vocabularies cut a text at white space before they merge, so the ids of a
-text are those of its white-space chunks, one after the other. A worker encodes
-each chunk once and remembers its ids as bytes, as long as it is in use. The tokenizer file is a parameter and is read where the task runs.
+text are those of its white-space chunks, one after the other. Texts of ASCII
+and Latin-1 letters are cut further, where the vocabulary's own pattern cuts
+them, which leaves fewer distinct pieces. A worker has the tokenizer encode
+each piece once and remembers its ids as bytes, as long as it is in use. The
+tokenizer file is a parameter and is read where the task runs.
 """
 
 from __future__ import annotations
@@ -13,18 +16,35 @@ from array import array
 
 import numpy as np
 
-#: Chunks of a generation; a worker remembers two generations.
+#: Pieces of a generation; a worker remembers two generations.
 CACHE = 250_000
+#: Pieces which are encoded as one text.
+JOINED = 500
 
 # White_Space of Unicode.
 _W = "\t-\r \x85\xa0  -     　"
 #: A word keeps the blank before it; of more white space the last character is apart.
-_WITH_BLANK = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
-_WITHOUT = re.compile(f"[^{_W}]+")
+_WITH_BLANK = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+").findall
+_WITHOUT = re.compile(f"[^{_W}]+").findall
+#: str.split also cuts at these, which are no White_Space.
+_SEPARATORS = re.compile("[\x1c-\x1f]").search
+
+# Letters of ASCII and Latin-1 have no other form and do not combine with each other.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[\t\n\r -~{_L}]*").fullmatch
+_ENDING = "'(?:s|t|re|ve|m|ll|d)"
+_PIECES_WITH_BLANK = re.compile(rf"{_ENDING}| ?[{_L}]+| ?[0-9]+| ?[^{_L}0-9\s]+|\s+(?!\S)|\s+").findall
+_PIECES_WITHOUT = re.compile(rf"{_ENDING}|[{_L}]+|[0-9]|[^{_L}0-9\s]+").findall
+#: A piece which can be encoded beside others of its kind: no white space, but for the blank before it.
+_CLOSED = re.compile(r" ?\S+").fullmatch
+
+
+def _words(text: str) -> list[str]:
+    return _WITHOUT(text) if _SEPARATORS(text) else text.split()
 
 
 class ChunkTokenizer:
-    """``keeps_blanks``: the vocabulary has tokens for white space (byte-level BPE); else it drops it."""
+    """``keeps_blanks``: the vocabulary has tokens for white space (byte-level BPE); else it drops it and lower-cases."""
 
     def __init__(self, path: str, keeps_blanks: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,37 +52,73 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = (_WITH_BLANK if keeps_blanks else _WITHOUT).findall
+        self.keeps_blanks = keeps_blanks
+        self.split = _WITH_BLANK if keeps_blanks else _words
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Have the ids of all these chunks at hand."""
-        if len(self.known) + len(chunks) > CACHE:  # the older half goes, but what is still used moves up
+        #: Whether an id begins (with its blank) or ends (with its mark) a piece.
+        self.edge = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("Ġ") if keeps_blanks else token.endswith("</w>")
+
+    def pieces(self, text: str) -> list[str]:
+        """Parts of a text which the vocabulary encodes apart: its chunks, those of plain letters cut further."""
+        if _PLAIN(text):
+            return _PIECES_WITH_BLANK(text) if self.keeps_blanks else _PIECES_WITHOUT(text.lower())
+        out: list[str] = []
+        for c in self.split(text):
+            out += self.pieces(c) if _PLAIN(c) else [c]
+        return out
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_joined(self, group: list[str]) -> list[bytes] | None:
+        """Ids of each piece from those of all in one text; none if the edges are not as many as the pieces."""
+        (got,) = self._encode([("" if self.keeps_blanks else " ").join(group)])
+        ids = np.array(got, np.uint16)
+        cuts = np.flatnonzero(self.edge[ids]) + (0 if self.keeps_blanks else 1)
+        if len(cuts) != len(group):
+            return None
+        ends = (cuts * 2).tolist()
+        begins, ends = (ends, [*ends[1:], 2 * len(ids)]) if self.keeps_blanks else ([0, *ends[:-1]], ends)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(begins, ends, strict=True)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Have the ids of all these pieces at hand."""
+        if len(self.known) + len(pieces) > CACHE:  # the older half goes, but what is still used moves up
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = []
-        for c in chunks - known.keys():
-            if (got := before.get(c)) is not None:
-                known[c] = got
+        joined, alone = [], []
+        for p in pieces - known.keys():
+            if (got := before.get(p)) is not None:
+                known[p] = got
+            elif _PLAIN(p) and _CLOSED(p) and (p[0] == " ") == self.keeps_blanks:
+                joined.append(p)
+            else:
+                alone.append(p)
+        for at in range(0, len(joined), JOINED):
+            group = joined[at : at + JOINED]
+            if (got := self._encode_joined(group)) is None:
+                alone += group
             else:
-                new.append(c)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = array("H", e.ids).tobytes()
+                known.update(zip(group, got, strict=True))
+        for at in range(0, len(alone), 20_000):
+            group = alone[at : at + 20_000]
+            known.update((p, array("H", ids).tobytes()) for p, ids in zip(group, self._encode(group), strict=True))
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text as uint16; null and empty texts have none. New chunks are encoded in one call."""
-        each = [self.split(t) if t else [] for t in texts]
+        """Ids of each whole text as uint16; null and empty texts have none. New pieces of all texts are encoded together."""
+        each = [self.pieces(t) if t else [] for t in texts]
         new: set[str] = set()
-        for chunks in each:
-            new.update(chunks)
+        for x in each:
+            new.update(x)
         self._learn(new)
         at = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(at, chunks)), np.uint16) for chunks in each]
+        return [np.frombuffer(b"".join(map(at, x)), np.uint16) for x in each]
 
 
 def slices(column, rows: int = 1000, size: int = 4 << 20):
