@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import packing, tokenfile
+from quillspark.llm import packing, tokenfile, tokens
 from quillspark.llm.tokens import ChunkTokenizer
 
 ODD = ["a  b\n\nc\t d   e", "  ", "\n", "I'm don't    q", "<|endoftext|> hi", "é́ Σας ΟΔΟΣ", "x\x1cy\x85z 　 w", "İ ﬀ Å", "", None, "a" * 5000]
@@ -23,6 +23,19 @@ def test_ids_are_those_of_the_whole_text(sample, name, blanks):
     assert [g.tolist() for g in got] == want
 
 
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_of_random_texts_in_a_small_cache(name, blanks, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    monkeypatch.setattr(tokens, "JOINED", 7)
+    r = random.Random(3)
+    parts = [*"abTSsdlmrve'  \n\t.,-_<|>/0129éÈñßİΣς中÷ªº²×ÿ", "’", "\x1c", "\x85", "\xa0", "\u0301", "\u200d", "<|endoftext|>", "</w>", "'s", "'LL", " 's", "Ġ", " don't"]
+    chunk = ChunkTokenizer(public_tokenizers.path(name), blanks)
+    for _ in range(20):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 50))) for _ in range(100)]
+        want = [chunk.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [g.tolist() for g in chunk.ids_of(texts)] == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_evolution_keeps_every_piece(seed):
     r = random.Random(seed)
