@@ -12,8 +12,9 @@ level counts as its least count and never as more than its words' counts, so
 false positives aside the probabilities of a history sum to one at most.
 
 Words are known by their 64-bit hash. Filter and vocabulary grow with the
-corpus, so their size is checked before the broadcast; beyond
-``max_broadcast`` bytes the same quantised counts are joined by shuffle instead.
+corpus, so they are broadcast in blocks of segments of ``max_broadcast`` bytes
+at most. Each block takes a pass over the texts, which looks up the tokens that
+fall into it; what is found goes along with the text to the next pass.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, materialize, read_table
+from quillspark.llm.common import discard, held_out, materialize, read_table
 
 ORDER = 2
 MU = 200.0
@@ -186,7 +187,11 @@ def count_ngrams(texts: DataFrame, order: int, segments: int) -> DataFrame:
 
 @dataclass
 class NgramModel:
-    """bits: the segments' filters, one after the other; words, counts: the vocabulary in order of its hashes."""
+    """bits: the held segments' filters, one after the other; words, counts: the held vocabulary in order of its hashes.
+
+    By default all is held. A block holds the words of the segments in
+    ``word_range`` and the filters of those in ``filter_range``.
+    """
 
     order: int
     segments: int
@@ -197,6 +202,15 @@ class NgramModel:
     counts: np.ndarray
     total: int
     mu: float
+    vocabulary: int | None = None
+    word_range: tuple[int, int] | None = None
+    filter_range: tuple[int, int] | None = None
+
+    def _held(self, h: np.ndarray, part: tuple[int, int] | None) -> np.ndarray:
+        if part is None or part == (0, self.segments):
+            return np.ones(len(h), bool)
+        s = segment_of(h, self.segments)
+        return (s >= part[0]) & (s < part[1])
 
     def word_counts(self, h: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -205,10 +219,10 @@ class NgramModel:
         at = np.minimum(np.searchsorted(self.words, u), len(self.words) - 1)
         return np.where(self.words[at] == u, self.counts[at], 0).astype(np.int64)[back]
 
-    def ngram_counts(self, h: np.ndarray) -> np.ndarray:
-        """The least count of each n-gram's level, by probes until one fails; 0 if it is not held."""
-        level = np.zeros(len(h), np.int64)
-        base = segment_of(h, self.segments) * self.segment_bits
+    def ngram_levels(self, h: np.ndarray) -> np.ndarray:
+        """The level of each n-gram of the held segments, by probes until one fails; 0 if it is not held."""
+        level = np.zeros(len(h), np.uint8)
+        base = (segment_of(h, self.segments) - (self.filter_range or (0,))[0]) * self.segment_bits
         alive = np.arange(len(h)) if len(self.bits) else np.zeros(0, np.int64)
         for j in range(1, len(self.levels) + 1):
             m = member(h[alive], j)
@@ -219,29 +233,58 @@ class NgramModel:
             if not len(alive):
                 break
             level[alive] = j
-        return np.where(level > 0, self.levels[np.maximum(level, 1) - 1], 0)
-
-    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base and model log10 probability of each text."""
-        flat = np.concatenate(texts)
-        first = np.cumsum([0] + [len(x) for x in texts[:-1]])
-        c = self.word_counts(flat)
-        p = (c + 0.5) / (self.total + 0.5 * (len(self.words) + 1))
-        base, most = np.log10(p), c
+        return level
+
+    def _least(self, level: np.ndarray) -> np.ndarray:
+        return np.where(level > 0, self.levels[np.maximum(level, 1) - 1], 0) if len(self.levels) else np.zeros(len(level), np.int64)
+
+    def ngram_counts(self, h: np.ndarray) -> np.ndarray:
+        """The least count of each n-gram's level; 0 if it is not held."""
+        return self._least(self.ngram_levels(h))
+
+    def look_up(self, flat: np.ndarray, first: np.ndarray, c: np.ndarray, levels: list[np.ndarray]) -> None:
+        """Fill in what this block holds: the tokens' counts, and the levels of their n-grams and, for n > 2, of the histories."""
+        ok = np.flatnonzero(self._held(flat, self.word_range))
+        c[ok] = np.maximum(c[ok], self.word_counts(flat[ok]))
+        if not len(self.bits):
+            return
+        # words come in the first blocks, so all are known here
         for n, history in enumerate(histories(flat, first, self.order), 2):
+            for to, h in zip(levels[max(0, 2 * n - 5) : 2 * n - 3], (history, extend(history, flat))[-1 if n == 2 else 0 :], strict=True):
+                ok = np.flatnonzero((c > 0) & self._held(h, self.filter_range))
+                to[ok] = self.ngram_levels(h[ok])
+
+    def score(self, flat: np.ndarray, first: np.ndarray, c: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base and model log10 probability of each text, from what all blocks filled in."""
+        p = (c + 0.5) / (self.total + 0.5 * ((len(self.words) if self.vocabulary is None else self.vocabulary) + 1))
+        base, most = np.log10(p), c
+        for n in range(2, self.order + 1):
             if n == 2:
                 seen = np.empty_like(c)
                 seen[1:] = c[:-1]
                 seen[first] = c[-1]  # the last token is an end, which also stands before a text
             else:
-                seen = np.where(most > 0, self.ngram_counts(history), 0)
+                seen = np.where(most > 0, self._least(levels[2 * n - 5]), 0)
             together = np.zeros(len(flat), np.int64)
             ok = np.flatnonzero((most > 0) & (seen > 0))
-            together[ok] = np.minimum(self.ngram_counts(extend(history[ok], flat[ok])), np.minimum(most[ok], seen[ok]))
+            together[ok] = np.minimum(self._least(levels[2 * n - 4][ok]), np.minimum(most[ok], seen[ok]))
             p = (together + self.mu * p) / (seen + self.mu)
             most = together
         add = lambda x: np.add.reduceat(x, first)
-        return np.array([len(x) for x in texts]), add((c > 0).astype(np.int64)), add(base), add(np.log10(p))
+        return np.diff(np.append(first, len(flat))), add((c > 0).astype(np.int64)), add(base), add(np.log10(p))
+
+
+def blocks_of(word_bytes: list[int], filter_bytes: int, bound: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(segments of words, segments of filters) of each block, words first: as many as fit ``bound`` bytes, one at least."""
+    n = len(word_bytes)
+    out, begin, held = [], 0, 0
+    for i, size in enumerate([*word_bytes, *[filter_bytes] * n]):
+        if i > begin and held + size > bound:
+            out.append((begin, i))
+            begin, held = i, 0
+        held += size
+    out.append((begin, 2 * n))
+    return [((min(a, n), min(b, n)), (max(a - n, 0), max(b - n, 0))) for a, b in out]
 
 
 def _bit_filters(grams: DataFrame, segment_bits: int, levels: np.ndarray) -> DataFrame:
@@ -278,7 +321,9 @@ def language_model_scores(
     Null and empty texts are the end token alone. Repeated rows are scored (and
     counted in training) each. With an empty training table every token is
     unknown. All n-grams of ``train`` are counted, none is dropped. Other
-    columns are ignored.
+    columns are ignored. The method is the same at every size: what exceeds
+    ``max_broadcast`` takes more passes. Only a caller who allows no broadcast
+    at all (0) has the counts joined by shuffle, for order 2.
     """
     texts = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -293,40 +338,77 @@ def language_model_scores(
     fullest = grams.filter("n > 1").groupBy("segment").agg(F.sum("entries").alias("e")).agg(F.max("e")).first()[0] or 0
     segment_bits = max(64, -(-int(fullest * BITS_PER_ENTRY) // 8) * 8)
     levels = thresholds(largest)
-    if segments * segment_bits // 8 + 16 * words > max_broadcast:
+    if max_broadcast == 0:
         return scores_by_join(docs, grams, total, words, order, mu, id_col, text_col)
-    bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    if entries:
-        for r in _bit_filters(grams.filter("n > 1"), segment_bits, levels).toLocalIterator():
-            bits[r["segment"] * (segment_bits // 8) :][: segment_bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    known, counts, at = np.zeros(words, np.uint64), np.zeros(words, np.int64), 0
-    for r in grams.filter("n = 1").select("hashes", "counts").toLocalIterator():
-        h = np.frombuffer(r["hashes"], np.uint64)
-        known[at : at + len(h)], counts[at : at + len(h)] = h, np.frombuffer(r["counts"], np.int64)
-        at += len(h)
-    by = known.argsort()
-    model = NgramModel(order, segments, segment_bits, bits, levels, known[by], counts[by], total, mu)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    filters = _bit_filters(grams.filter("n > 1"), segment_bits, levels) if entries else None
+    ones = grams.filter("n = 1").select("segment", "hashes", "counts", "distinct")
+    distinct = {r["segment"]: r["distinct"] for r in ones.select("segment", "distinct").collect()}
+    blocks = blocks_of([16 * distinct.get(s, 0) for s in range(segments)], segment_bits // 8, max_broadcast)
+
+    def block(held: tuple[int, int], filtered: tuple[int, int]) -> NgramModel:
+        within = lambda df, part: df.filter(F.col("segment").between(part[0], part[1] - 1)).toLocalIterator()
+        bits = np.zeros((filtered[1] - filtered[0]) * (segment_bits // 8) if entries else 0, np.uint8)
+        if len(bits):
+            for r in within(filters, filtered):
+                bits[(r["segment"] - filtered[0]) * (segment_bits // 8) :][: segment_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+        size = sum(distinct.get(s, 0) for s in range(*held))
+        known, counts, at = np.zeros(size, np.uint64), np.zeros(size, np.int64), 0
+        for r in within(ones, held) if size else ():
+            h = np.frombuffer(r["hashes"], np.uint64)
+            known[at : at + len(h)], counts[at : at + len(h)] = h, np.frombuffer(r["counts"], np.int64)
+            at += len(h)
+        by = known.argsort()
+        return NgramModel(order, segments, segment_bits, bits, levels, known[by], counts[by], total, mu, words, held, filtered)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    for i, parts in enumerate(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(block(*parts))
+        if i == len(blocks) - 1:
+            return rows.mapInArrow(_pass(shared, True), _SCORES)
+        before, rows = rows, materialize(rows.mapInArrow(_pass(shared, False), _PASSED), "passed")
+        shared.destroy()
+        if i:
+            discard(before)
+
+
+_PASSED = "doc_id long, text string, found binary"
+
+
+def _pass(shared, last: bool):
+    """A pass over the texts with one block: adds what it holds to ``found``; the last one gives the scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        kinds = 2 * m.order - 3
         for whole in batches:
             at = 0
             while at < whole.num_rows:
                 part, size, start = [], 0, at
-                while at < whole.num_rows and size < 1 << 18:  # texts scored at once
+                while at < whole.num_rows and size < 1 << 18:  # texts looked up at once
                     part.append(tokens(whole.column(1)[at].as_py()))
                     size += len(part[-1])
                     at += 1
-                n, k, base, score = m.score(part)
-                yield pa.RecordBatch.from_arrays(
-                    [whole.column(0).slice(start, at - start), pa.array(n, pa.int64()), pa.array(k, pa.int64()),
-                     pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base), pa.array(score)],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, _SCORES)
+                flat = np.concatenate(part)
+                first = np.cumsum([0] + [len(x) for x in part[:-1]])
+                c, levels = np.zeros(size, np.int64), [np.zeros(size, np.uint8) for _ in range(kinds)]
+                if whole.num_columns == 3:
+                    for a, x, held in zip(first.tolist(), part, whole.column(2).slice(start, at - start), strict=True):
+                        held, n = np.frombuffer(held.as_py(), np.uint8), len(x)
+                        c[a : a + n] = held[: 8 * n].view(np.int64)
+                        for k in range(kinds):
+                            levels[k][a : a + n] = held[(8 + k) * n : (9 + k) * n]
+                m.look_up(flat, first, c, levels)
+                doc_id = whole.column(0).slice(start, at - start)
+                if last:
+                    n, k, base, score = m.score(flat, first, c, levels)
+                    cols = [doc_id, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(np.full(len(n), m.total), pa.int64()), pa.array(base), pa.array(score)]
+                else:
+                    ends = (first + [len(x) for x in part]).tolist()
+                    found = [c[a:b].tobytes() + b"".join(x[a:b].tobytes() for x in levels) for a, b in zip(first.tolist(), ends, strict=True)]
+                    cols = [doc_id, whole.column(1).slice(start, at - start), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in (_SCORES if last else _PASSED).split(", ")])
+
+    return run
 
 
 def _as_rows(grams: DataFrame) -> DataFrame:
@@ -344,10 +426,10 @@ def _as_rows(grams: DataFrame) -> DataFrame:
 def scores_by_join(docs: DataFrame, grams: DataFrame, total: int, words: int, order: int, mu: float, id_col: str, text_col: str) -> DataFrame:
     """The same scores without a broadcast: each text's distinct n-grams joined with the quantised counts.
 
-    Free of the filter's false positives. For orders up to 2.
+    Free of the filter's false positives. For order 2, and only where no broadcast is allowed at all.
     """
     if order != 2:
-        raise ValueError("beyond the broadcast bound only order 2 is scored")
+        raise ValueError("without a broadcast only order 2 is scored")
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "numbered")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,3 +75,21 @@ def test_odd_rows(odd_docs, no_docs):
 def test_longer_ngrams_help_repeated_text(sample):
     two, three = (ngram.language_model_scores(sample, sample, order=n).agg({"score": "sum"}).first()[0] for n in (2, 3))
     assert three > two
+
+
+@pytest.mark.parametrize(("order", "limit"), [(2, 1), (3, 60_000)])
+def test_passes_over_blocks_give_the_same_scores(sample, odd_docs, order, limit):
+    docs = sample.select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
+    key = lambda r: tuple(x is not None and x for x in r)
+    one, many = (sorted(ngram.language_model_scores(docs, docs, order=order, max_broadcast=b).collect(), key=key) for b in (ngram.MAX_BROADCAST, limit))
+    assert one == many
+
+
+@pytest.mark.parametrize("bound", [1, 25, 70, 1000])
+def test_blocks_hold_every_segment_once_and_words_first(bound):
+    sizes = [10, 0, 30, 20]
+    blocks = ngram.blocks_of(sizes, 15, bound)
+    for side in (0, 1):
+        assert [s for b in blocks for s in range(*b[side])] == list(range(4))
+    assert all(b[0][1] == 4 for b in blocks if b[1][0] < b[1][1])
+    assert all(sum(sizes[slice(*w)]) + 15 * (f[1] - f[0]) <= max(bound, 30) for w, f in blocks)
