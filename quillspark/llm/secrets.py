@@ -29,8 +29,8 @@ TREES, DEPTH, SEED = 32, 8, 11
 FIT_FINDINGS = 20_000
 THRESHOLD = 0.5
 
-_ASSIGNED = re.compile(r"""[:=]\s{0,4}["'`]?([^\s"'`,;<>(){}\[\]|]{8,512})""")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9])")
+_ASSIGNED = re.compile(r"""[:=]\s{0,4}["'`]?([^\s"'`,;<>(){}\[\]|]{8,})""")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9])")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 
 # Fixed word lists: what is near or in the path of secrets and of their look-alikes, and common words.

@@ -1,5 +1,7 @@
 """Held-out accuracy and odd rows of the trained operators."""
 
+import random
+
 import numpy as np
 
 from quillspark.llm import language, secrets, toxicity
@@ -89,3 +91,14 @@ def test_secrets_in_texts(odd_docs, no_docs, spark):
     assert secrets.scan(odd_docs, forest).filter("is_secret").count() == 0
     assert secrets.masked(odd_docs, forest).count() == odd_docs.count()
     assert secrets.scan(no_docs, forest).count() == 0
+
+
+def test_secrets_of_more_than_512_characters(spark):
+    forest = secrets.fit(secrets.example_findings(1000))
+    r = random.Random(2)
+    value = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=900))
+    texts = {1: f'the token = "{value}" and on', 2: f"Authorization Bearer {value} and on"}
+    docs = spark.createDataFrame([(d, t, "src1") for d, t in texts.items()], "doc_id long, text string, source string")
+    found = {r["doc_id"]: (r["last"] - r["first"], r["is_secret"]) for r in secrets.scan(docs, forest).collect()}
+    assert found == {1: (900, True), 2: (900, True)}
+    assert {r["doc_id"]: r["text"] for r in secrets.masked(docs, forest).collect()} == {d: t.replace(value, secrets.MASK) for d, t in texts.items()}
