@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a value that is assigned to something, or a long run of key
-characters. The forest looks at its length, its character transitions (how
+A candidate is a value that is assigned to something, also inside another
+value, or a long run of key characters, dotted ones as a whole. The forest looks at its length, its character transitions (how
 often the class changes, and how likely its letter pairs are in prose), how
 much of it dictionary words cover, the path it comes from, and the words
 beside it. It is trained here, in numpy, from labelled findings.
@@ -30,7 +30,10 @@ FIT_FINDINGS = 20_000
 THRESHOLD = 0.5
 
 _ASSIGNED = re.compile(r"""[:=]\s{0,4}["'`]?([^\s"'`,;<>(){}\[\]|]{8,})""")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9])")
+#: What is assigned once more inside an assigned value, as in query strings; the name before a further = is none.
+_INNER = re.compile(r"[?&=]([^?&=]{8,}+(?:=+(?=[?&]|$))?)(?!=)")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=.-]{16,}")
+_DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 
 # Fixed word lists: what is near or in the path of secrets and of their look-alikes, and common words.
@@ -228,21 +231,45 @@ def fit(findings: DataFrame | list[tuple]) -> Forest:
 
 
 def candidates(text: str | None) -> list[tuple[int, int, bool]]:
-    """(first, past the last, assigned) of every candidate, without overlaps; assigned values come first."""
+    """(first, past the last, assigned) of every candidate, in order.
+
+    Values assigned inside an assigned value lie within it; each is a candidate
+    of its own. Of a run, what assigned values leave is a candidate.
+    """
     if not text:
         return []
-    found = [(*m.span(1), True) for m in _ASSIGNED.finditer(text)]
-    taken = [(a, b) for a, b, _ in found]
+    taken = [m.span(1) for m in _ASSIGNED.finditer(text)]
+    found = [(a, b, True) for a, b in taken]
+    for a, b in taken:
+        found += [(a + m.start(1), a + m.end(1), True) for m in _INNER.finditer(text[a:b])]
     k = 0
     for m in _RUN.finditer(text):
         a, b = m.span()
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if k == len(taken) or taken[k][0] >= b:
-            found.append((a, b, False))
+        i = k
+        while a < b:
+            end, then = taken[i] if i < len(taken) and taken[i][0] < b else (b, b)
+            part = text[a:end] if a < end else ""
+            first = a + len(part) - len(part.lstrip("."))
+            last = first + len(part.strip("."))
+            if last - first >= 16 and _DIGIT.search(text, first, last):
+                found.append((first, last, False))
+            a, i = then, i + 1
     return sorted(found)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans without overlaps, which cover the same characters."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 _FOUND = "doc_id long, first int, last int, assigned boolean, probability double, is_secret boolean, value_sha256 string"
 
 
@@ -290,9 +317,9 @@ def masked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
             out = []
             for text, path in zip(b.column(text_col), b.column(path_col), strict=True):
                 text = text.as_py()
-                for first, last, _, p in reversed(_judged(text, path.as_py(), known.value)):
-                    if p >= threshold:
-                        text = text[:first] + MASK + text[last:]
+                secret = [(first, last) for first, last, _, p in _judged(text, path.as_py(), known.value) if p >= threshold]
+                for first, last in reversed(_merged(secret)):
+                    text = text[:first] + MASK + text[last:]
                 out.append(text)
             yield b.set_column(b.schema.get_field_index(text_col), b.schema.field(text_col), pa.array(out, b.schema.field(text_col).type))
 

@@ -102,3 +102,30 @@ def test_secrets_of_more_than_512_characters(spark):
     found = {r["doc_id"]: (r["last"] - r["first"], r["is_secret"]) for r in secrets.scan(docs, forest).collect()}
     assert found == {1: (900, True), 2: (900, True)}
     assert {r["doc_id"]: r["text"] for r in secrets.masked(docs, forest).collect()} == {d: t.replace(value, secrets.MASK) for d, t in texts.items()}
+
+
+def test_secrets_inside_values_and_dotted_runs(spark):
+    forest = secrets.fit(secrets.example_findings(1000))
+    r = random.Random(4)
+    mixed = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", k=k))
+    key, dotted = "04dbebab91ab85687d33eeaaf9ac699e", f"eyJ{mixed(33)}.eyJ{mixed(60)}.x{mixed(42)}"
+    texts = {
+        1: (f"see https://api.example.org/v1/items?token={key} and on", key),
+        2: (f"see https://api.example.org/v1/items?page=2&access_token={key}&sort=name and on", key),
+        3: (f"Authorization: Bearer {dotted} and on", dotted),
+        4: (f"Authorization: Bearer {dotted}. And on", dotted),
+    }
+    docs = spark.createDataFrame([(d, t, "src1") for d, (t, _) in texts.items()], "doc_id long, text string, source string")
+    found = {(r["doc_id"], r["first"], r["last"]) for r in secrets.scan(docs, forest).filter("is_secret").collect()}
+    assert found >= {(d, t.index(v), t.index(v) + len(v)) for d, (t, v) in texts.items()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.masked(docs, forest).collect()}
+    assert all(v not in masked[d] and masked[d].count(secrets.MASK) == 1 for d, (_, v) in texts.items())
+    assert masked[3] == f"Authorization: Bearer {secrets.MASK} and on"
+
+
+def test_candidates_of_runs_beside_values():
+    key = "04dbebab91ab85687d33eeaaf9ac699e"
+    of = lambda t: [t[a:b] for a, b, _ in secrets.candidates(t)]
+    assert of(f"{key}.next=some_value_1 x") == [f"{key}.next=", "some_value_1"]
+    assert of("x=?" + "a" * 9 + "=" + "b" * 8 + "==&c") == ["?" + "a" * 9 + "=" + "b" * 8 + "==&c", "b" * 8 + "=="]
+    assert secrets._merged([(0, 9), (2, 4), (8, 12), (12, 13)]) == [(0, 12), (12, 13)]
