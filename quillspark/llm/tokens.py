@@ -4,8 +4,10 @@ Both vocabularies cut a text at white space before they merge, so the ids of a
 text are those of its white-space chunks, one after the other. Texts of ASCII
 and Latin-1 letters are cut further, where the vocabulary's own pattern cuts
 them, which leaves fewer distinct pieces. A worker has the tokenizer encode
-each piece once and remembers its ids as bytes, as long as it is in use. The
-tokenizer file is a parameter and is read where the task runs.
+each piece once and remembers its ids as bytes, as long as it is in use. Texts
+with an added token of the file (``<|endoftext|>``) are encoded whole, as the
+library does by default, so the token has its own id. The tokenizer file is a
+parameter and is read where the task runs.
 """
 
 from __future__ import annotations
@@ -44,14 +46,20 @@ def _words(text: str) -> list[str]:
 
 
 class ChunkTokenizer:
-    """``keeps_blanks``: the vocabulary has tokens for white space (byte-level BPE); else it drops it and lower-cases."""
+    """``keeps_blanks``: the vocabulary has tokens for white space (byte-level BPE); else it drops it and lower-cases.
 
-    def __init__(self, path: str, keeps_blanks: bool):
+    ``added``: the file's added tokens have their own ids; else they are text as any other.
+    """
+
+    def __init__(self, path: str, keeps_blanks: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added_begin = {re.match(r"\W*", n)[0] for n in names}
+        self.added = re.compile("|".join(map(re.escape, names)), re.IGNORECASE).search
         self.keeps_blanks = keeps_blanks
         self.split = _WITH_BLANK if keeps_blanks else _words
         self.known: dict[str, bytes] = {}
@@ -75,6 +83,18 @@ class ChunkTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def has_added(self, text: str) -> bool:
+        """Whether a text may have an added token, in any case, as normalisation may lower-case."""
+        return any(b in text for b in self.added_begin) and self.added(text) is not None
+
+    def _encode_whole(self, text: str) -> np.ndarray:
+        """Ids of a text as the library gives them by default."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self._encode([text])[0], np.uint16)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _encode_joined(self, group: list[str]) -> list[bytes] | None:
         """Ids of each piece from those of all in one text; none if the edges are not as many as the pieces."""
         (got,) = self._encode([("" if self.keeps_blanks else " ").join(group)])
@@ -112,13 +132,14 @@ class ChunkTokenizer:
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text as uint16; null and empty texts have none. New pieces of all texts are encoded together."""
-        each = [self.pieces(t) if t else [] for t in texts]
+        whole = {i: self._encode_whole(t) for i, t in enumerate(texts) if t and self.has_added(t)}
+        each = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         new: set[str] = set()
         for x in each:
             new.update(x)
         self._learn(new)
         at = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(at, x)), np.uint16) for x in each]
+        return [whole[i] if i in whole else np.frombuffer(b"".join(map(at, x)), np.uint16) for i, x in enumerate(each)]
 
 
 def slices(column, rows: int = 1000, size: int = 4 << 20):
@@ -140,5 +161,5 @@ _open: dict[tuple[str, bool], ChunkTokenizer] = {}
 def tokenizer(path: str, keeps_blanks: bool) -> ChunkTokenizer:
     """The worker's tokenizer for a file; opened once."""
     if (path, keeps_blanks) not in _open:
-        _open[path, keeps_blanks] = ChunkTokenizer(path, keeps_blanks)
+        _open[path, keeps_blanks] = ChunkTokenizer(path, keeps_blanks, added=True)
     return _open[path, keeps_blanks]

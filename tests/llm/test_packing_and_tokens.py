@@ -109,3 +109,14 @@ def test_token_files(spark, sample, odd_docs, no_docs, tmp_path):
     assert tokenfile.read_tokens(spark, str(tmp_path / "b")).count() == odd_docs.count()
     tokenfile.write_tokens(no_docs, str(tmp_path / "c"), tokenfile.byte_vocabulary())
     assert tokenfile.read_tokens(spark, str(tmp_path / "c")).count() == 0
+
+
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_queries_encode_as_the_unmodified_library(name, blanks):
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    r = random.Random(8)
+    parts = [*"abT \n.<|>1é\u0338", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", " don't"]
+    texts = [*ODD, "<|endoftext|>", *("".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(300))]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [g.tolist() for g in tokens.tokenizer(path, blanks).ids_of(texts)] == want
