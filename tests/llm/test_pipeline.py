@@ -57,3 +57,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted(set(i for i in ids if i is not None)) and None in ids
     for stage in (pipeline.drop_near_copies, pipeline.decontaminate, pipeline.mask_secrets, pipeline.pack):
         assert stage(spark, no_docs.select(pipeline.COLUMNS), SF).count() == 0
+
+
+def test_contaminated_rows_without_an_id_go(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("text is not null").first()["text"]
+    rows = [(None, leak), (None, "one two"), (1, f"before {leak} after"), (1, "three"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "src0", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.decontaminate(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "one two"), (1, "three")]
