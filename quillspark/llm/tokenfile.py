@@ -1,16 +1,11 @@
-"""Token-ID files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
-
-A segment holds consecutive documents: a header (magic, number of documents,
-their ids and lengths) and blocks of ``BLOCK`` ids. Each block starts from a
-fresh model and has the CRC-32 of its ids, so one block can be read, or be
-found damaged, without the others. The blocks of a segment are coded in step,
-a numpy lane for each.
-
-Model: for each id, order 2 (two ids before) and order 1 (one id before) each
-name one id and a confidence. Both confidences, and whether the two agree,
-select adaptive frequencies which mix them into the probabilities of order 2's
-id, order 1's id, and any other. Another id is coded by its order-0 frequency
-so far, from a Fenwick tree. All of it drives one range coder.
+"""Token-ID files: documents' ids in independently coded segments of checksummed blocks.
+
+A segment holds consecutive ids: a header (magic, the documents which they
+belong to and how many ids of each), the segment's alphabet, and blocks of
+``BLOCK`` ids by :mod:`quillspark.llm.idcoder`. Each block starts from a fresh
+model and has the CRC-32 of its ids, so one block can be read, or be found
+damaged, without the others. A document which does not fit into what is left
+of a segment goes on in the next one.
 """
 
 from __future__ import annotations
@@ -20,248 +15,74 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read_table, shared_dir
+from quillspark.llm import idcoder
+from quillspark.llm.common import materialize, read_table, shared_dir
 from quillspark.llm.tokens import slices, tokenizer
 
-MAGIC = b"QTOK1\n"
-BLOCK = 4096
-#: Blocks coded in step; a segment has at most so many, the last document's length aside.
-LANES = 384
+MAGIC = b"QTOK2\n"
+BLOCK = idcoder.BLOCK
+#: Blocks of a segment at most, which bounds the memory of a task.
+LANES = 4096
 #: Bytes of text which make a file of the table.
 FILE_BYTES = 24 << 20
+#: Files whose totals are added up in one task.
+_GROUP = 1024
 
-_U = np.uint64
-_MASK, _TOP, _BOT = _U((1 << 48) - 1), _U(1 << 40), _U(1 << 24)
-_SLOTS = 1 << 12
-_ALPHABET = 1 << 16
-_STEP = 32  # what one occurrence adds to an id's order-0 frequency of 1
-_CONF = 8
-
-
-class _Model:
-    """The state of all lanes of a segment."""
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.guess = [np.zeros(lanes * _SLOTS, np.uint16) for _ in range(2)]
-        self.conf = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
-        # frequencies of (order 2 right, order 1 right, other) by both confidences and agreement
-        self.mix = np.ones((lanes * _CONF * _CONF * 2, 3), np.int32)
-        self.mix[:, 2] = 2
-        self.tree = np.zeros(lanes * (_ALPHABET + 2), np.uint16)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.row = np.arange(lanes)
-
-    def predict(self, m: int) -> tuple[np.ndarray, ...]:
-        """Slots, guesses and mixing context of the first ``m`` lanes."""
-        one, two = self.last[0, :m], self.last[1, :m]
-        base = self.row[:m] * _SLOTS
-        s1 = base + (one * 40503 >> 4) % _SLOTS
-        s2 = base + (one * 40503 + two * 30011 >> 3) % _SLOTS
-        g1, g2 = self.guess[0][s1].astype(np.int64), self.guess[1][s2].astype(np.int64)
-        c1, c2 = self.conf[0][s1].astype(np.int64), self.conf[1][s2].astype(np.int64)
-        ctx = ((self.row[:m] * _CONF + c2) * _CONF + c1) * 2 + (g1 == g2)
-        return s1, s2, g1, g2, ctx
-
-    def learn(self, m: int, ids: np.ndarray, s1, s2, g1, g2, ctx, outcome) -> None:
-        f = self.mix
-        f[ctx, outcome] += 24
-        big = ctx[f[ctx].sum(1) > 4000]
-        f[big] = (f[big] + 1) >> 1
-        for k, (s, g) in enumerate(((s1, g1), (s2, g2))):
-            hit = g == ids
-            c = self.conf[k][s]
-            self.conf[k][s] = np.where(hit, np.minimum(c + 1, _CONF - 1), c >> 1)
-            self.guess[k][s] = np.where(hit | (c > 1), g, ids).astype(np.uint16)
-        self.last[1, :m] = self.last[0, :m]
-        self.last[0, :m] = ids
-        i = ids + 1
-        base = self.row[:m] * (_ALPHABET + 2)
-        for _ in range(17):
-            self.tree[base + i] += 1
-            i = np.minimum(i + (i & -i), _ALPHABET + 1)
-        self.tree[base + _ALPHABET + 1] = 0
-
-    def below(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Order-0 frequency of all smaller ids."""
-        base, i, n = lanes * (_ALPHABET + 2), ids.copy(), np.zeros(len(ids), np.int64)
-        while i.any():
-            n += self.tree[base + i]  # tree[0] is never counted up
-            i &= i - 1
-        return ids + _STEP * n
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The id whose order-0 range holds ``value``, and where the range begins."""
-        base, at, rest = lanes * (_ALPHABET + 2), np.zeros(len(lanes), np.int64), value.copy()
-        for k in range(15, -1, -1):
-            n = (1 << k) + _STEP * self.tree[base + at + (1 << k)].astype(np.int64)
-            go = n <= rest
-            at += go << k
-            rest -= np.where(go, n, 0)
-        return at, value - rest
-
-
-class _Encoder:
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _MASK)
-        self.out, self.size = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
-
-    def put(self, at: np.ndarray, begin: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        low, r = self.low[at], self.range[at] // total.astype(_U)
-        low, r = (low + r * begin.astype(_U)), r * width.astype(_U)
-        todo = np.arange(len(at))
-        while len(todo):
-            lo, ra = low[todo], r[todo]
-            settled = (lo ^ (lo + ra)) < _TOP
-            small = ~settled & (ra < _BOT)
-            ra = np.where(small, (~lo + _U(1)) & (_BOT - _U(1)), ra)
-            go = settled | small
-            todo, lo, ra = todo[go], lo[go], ra[go]
-            lanes = at[todo]
-            self.out[lanes, self.size[lanes]] = (lo >> _U(40)).astype(np.uint8)
-            self.size[lanes] += 1
-            low[todo], r[todo] = (lo << _U(8)) & _MASK, ra << _U(8)
-        self.low[at], self.range[at] = low, r
-
-    def end(self) -> list[bytes]:
-        tail = [int(x).to_bytes(6, "big") for x in self.low]
-        return [self.out[k, : self.size[k]].tobytes() + t for k, t in enumerate(tail)]
-
-
-class _Decoder:
-    def __init__(self, parts: list[bytes]):
-        most = max(map(len, parts)) + 16
-        self.data = np.stack([np.frombuffer(p.ljust(most, b"\0"), np.uint8) for p in parts])
-        self.low, self.range = np.zeros(len(parts), _U), np.full(len(parts), _MASK)
-        self.code, self.pos = np.zeros(len(parts), _U), np.full(len(parts), 6)
-        for k in range(6):
-            self.code = self.code << _U(8) | self.data[:, k].astype(_U)
-
-    def value(self, at: np.ndarray, total: np.ndarray) -> np.ndarray:
-        r = self.range[at] // total.astype(_U)
-        return np.minimum(((self.code[at] - self.low[at]) & _MASK) // r, total.astype(_U) - _U(1)).astype(np.int64)
-
-    def take(self, at: np.ndarray, begin: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        low, r = self.low[at], self.range[at] // total.astype(_U)
-        low, r, code = (low + r * begin.astype(_U)), r * width.astype(_U), self.code[at]
-        todo = np.arange(len(at))
-        while len(todo):
-            lo, ra = low[todo], r[todo]
-            settled = (lo ^ (lo + ra)) < _TOP
-            small = ~settled & (ra < _BOT)
-            ra = np.where(small, (~lo + _U(1)) & (_BOT - _U(1)), ra)
-            go = settled | small
-            todo, lo, ra = todo[go], lo[go], ra[go]
-            lanes = at[todo]
-            code[todo] = (code[todo] << _U(8) | self.data[lanes, np.minimum(self.pos[lanes], self.data.shape[1] - 1)].astype(_U)) & _MASK
-            self.pos[lanes] += 1
-            low[todo], r[todo] = (lo << _U(8)) & _MASK, ra << _U(8)
-        self.low[at], self.range[at], self.code[at] = low, r, code
-
-
-def _cuts(n: int) -> list[int]:
-    return [min(BLOCK, n - a) for a in range(0, n, BLOCK)]
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The blocks of ``ids`` (uint16), coded in step."""
-    sizes = _cuts(len(ids))
-    lanes = len(sizes)
-    if not lanes:
-        return []
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    grid.reshape(-1)[: len(ids)] = ids
-    model, coder = _Model(lanes), _Encoder(lanes, BLOCK * 5 + 64)
-    for t in range(sizes[0]):
-        m = lanes if t < sizes[-1] else lanes - 1  # only the last block is shorter
-        x, every = grid[:m, t], model.row[:m]
-        s1, s2, g1, g2, ctx = model.predict(m)
-        outcome = np.where(x == g2, 0, np.where(x == g1, 1, 2))
-        f = model.mix[ctx].astype(np.int64)
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, f[:, 0], f[:, 0] + f[:, 1]))
-        coder.put(every, begin, f[every, outcome], f.sum(1))
-        other = np.flatnonzero(outcome == 2)
-        if len(other):
-            a = model.below(other, x[other])
-            b = model.below(other, x[other] + 1)
-            coder.put(other, a, b - a, np.full(len(other), _ALPHABET + _STEP * t))
-        model.learn(m, x, s1, s2, g1, g2, ctx, outcome)
-    return coder.end()
-
-
-def decode_blocks(parts: list[bytes], n: int) -> np.ndarray:
-    """The ``n`` ids of a segment's blocks."""
-    sizes = _cuts(n)
-    lanes = len(sizes)
-    if not lanes:
-        return np.zeros(0, np.uint16)
-    grid = np.zeros((lanes, BLOCK), np.int64)
-    model, coder = _Model(lanes), _Decoder(parts)
-    for t in range(sizes[0]):
-        m = lanes if t < sizes[-1] else lanes - 1
-        every = model.row[:m]
-        s1, s2, g1, g2, ctx = model.predict(m)
-        f = model.mix[ctx].astype(np.int64)
-        total = f.sum(1)
-        v = coder.value(every, total)
-        outcome = (v >= f[:, 0]).astype(np.int64) + (v >= f[:, 0] + f[:, 1])
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, f[:, 0], f[:, 0] + f[:, 1]))
-        coder.take(every, begin, f[every, outcome], total)
-        x = np.where(outcome == 0, g2, g1)
-        other = np.flatnonzero(outcome == 2)
-        if len(other):
-            total = np.full(len(other), _ALPHABET + _STEP * t)
-            found, a = model.find(other, coder.value(other, total))
-            coder.take(other, a, model.below(other, found + 1) - a, total)
-            x[other] = found
-        grid[:m, t] = x
-        model.learn(m, x, s1, s2, g1, g2, ctx, outcome)
-    return grid.reshape(-1)[:n].astype(np.uint16)
-
-
-def write_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    """One segment. A null document id is written as a flag and zero."""
-    parts = encode_blocks(ids)
-    head = [MAGIC, struct.pack("<IIQ", len(doc_ids), len(parts), len(ids))]
+
+def write_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, first: int = 0, begun: bool = False, goes_on: bool = False) -> bytes:
+    """One segment, of documents number ``first`` and on of a file. A null document id is written as a flag and zero.
+
+    ``begun``: the first document has ids in the segment before; ``goes_on``: the last one has more in the next.
+    """
+    alphabet, parts = idcoder.encode(ids, BLOCK)
+    head = [MAGIC, struct.pack("<IIQQ??", len(doc_ids), len(parts), len(ids), first, begun, goes_on)]
     head.append(np.array([d is None for d in doc_ids], np.uint8).tobytes())
     head.append(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     head.append(np.array(lengths, "<u4").tobytes())
+    head.append(alphabet)
     for k, p in enumerate(parts):
         head.append(struct.pack("<II", len(p), zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u2").tobytes())))
     return b"".join(head + parts)
 
 
-def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, lengths and all ids; raises if the magic or a block's checksum does not hold."""
+def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray, int, bool, bool]:
+    """Document ids, lengths, all ids, the first document's number, whether it had begun and whether the last one goes on.
+
+    Raises if the magic or a block's checksum does not hold.
+    """
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token segment")
     at = len(MAGIC)
-    docs, blocks, n = struct.unpack_from("<IIQ", data, at)
-    at += 16
+    docs, blocks, n, first, begun, goes_on = struct.unpack_from("<IIQQ??", data, at)
+    at += 26
     null = np.frombuffer(data, np.uint8, docs, at)
     numbers = np.frombuffer(data, "<i8", docs, at + docs)
     lengths = np.frombuffer(data, "<u4", docs, at + 9 * docs)
-    at += 13 * docs
+    alphabet, at = idcoder.Alphabet.from_bytes(data, at + 13 * docs)
     table = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(-1, 2)
     at += 8 * blocks
     ends = at + np.cumsum(table[:, 0].astype(np.int64))
     parts = [data[e - int(s) : e] for e, s in zip(ends.tolist(), table[:, 0], strict=True)]
-    ids = decode_blocks(parts, n)
+    ids = idcoder.decode(alphabet, parts, n, BLOCK)
     for k in range(blocks):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u2").tobytes()) != table[k, 1]:
             raise ValueError(f"block {k} is damaged")
-    return [None if z else int(d) for z, d in zip(null, numbers, strict=True)], lengths.astype(np.int64), ids
+    return [None if z else int(d) for z, d in zip(null, numbers, strict=True)], lengths.astype(np.int64), ids, first, begun, goes_on
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all rows in ascending order of their id (nulls first) as a table of segments.
 
-    A file holds a range of ids. Its segments are cut when ``LANES`` blocks
-    are full, so a task holds one segment at a time, whatever the table's size.
+    Null and empty texts are the end id alone; repeated rows are written each;
+    an empty table makes a table of no segments. A file holds a range of ids.
+    Its segments are cut when ``LANES`` blocks are full, within a document too,
+    so a task holds one segment and one text at a time, whatever their number
+    and length.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -269,12 +90,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary, True)
+        most = LANES * BLOCK
         numbers: list[int | None] = []
         held: list[np.ndarray] = []
-        n = segment = 0
+        n, segment, number, begun = 0, 0, -1, False
 
-        def cut():
-            data = write_segment(numbers, [len(x) for x in held], np.concatenate(held))
+        def cut(goes_on: bool):
+            data = write_segment(numbers, [len(x) for x in held], np.concatenate(held), number - len(numbers) + 1, begun, goes_on)
             return pa.RecordBatch.from_arrays(
                 [pa.array([segment], pa.int32()), pa.array([len(numbers)], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())],
                 ["segment", "docs", "ids", "data"],
@@ -283,15 +105,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
         for b in batches:
             each = (ids for texts in slices(b.column(1)) for ids in t.ids_of(texts))
             for doc, got in zip(b.column(0).to_pylist(), each, strict=True):
-                numbers.append(doc)
-                held.append(np.append(got, np.uint16(end_id)))
-                n += len(held[-1])
-                if n >= LANES * BLOCK:
-                    yield cut()
-                    numbers, held, n = [], [], 0
-                    segment += 1
+                rest = np.append(got, np.uint16(end_id))
+                number += 1
+                while len(rest):
+                    part, rest = rest[: most - n], rest[most - n :]
+                    numbers.append(doc)
+                    held.append(part)
+                    n += len(part)
+                    if n == most:
+                        yield cut(len(rest) > 0)
+                        begun = len(rest) > 0
+                        numbers, held, n = [], [], 0
+                        segment += 1
         if held:
-            yield cut()
+            yield cut(False)
 
     (
         ranged.mapInArrow(run, "segment int, docs long, ids long, data binary")
@@ -301,48 +128,91 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
     )
 
 
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over GF(2) modulo the CRC-32 polynomial, lowest power in the highest bit."""
+    out = 0
+    while a:
+        if a & 1 << 31:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def crc32_joined(first: int, second: int, length: int) -> int:
+    """CRC-32 of two byte strings in a row from their own ones and the second's length."""
+    power, square, n = 1 << 31, 1 << 23, length  # x to the 0, x to the 8
+    while n:
+        if n & 1:
+            power = _times(power, square)
+        square = _times(square, square)
+        n >>= 1
+    return _times(first, power) ^ second
+
+
+def _starts(totals: DataFrame) -> DataFrame:
+    """(file, segment, start): how many ids stand before each segment.
+
+    Files are added up by groups of ``_GROUP``; the driver sees one row for each
+    group (some gigabytes of text), and no window holds all segments.
+    """
+    spark = totals.sparkSession
+    files = totals.groupBy("file").agg(F.sum("ids").alias("n")).withColumn("group", F.floor(F.col("file") / _GROUP))
+    groups = {r["group"]: r["n"] for r in files.groupBy("group").agg(F.sum("n").alias("n")).collect()}
+    at, before = 0, []
+    for g in sorted(groups):
+        before.append((g, at))
+        at += groups[g]
+    of_group = spark.createDataFrame(before, "group long, group_start long")
+    earlier = lambda *by: Window.partitionBy(by[0]).orderBy(by[1]).rowsBetween(Window.unboundedPreceding, -1)
+    of_file = files.withColumn("in_group", F.coalesce(F.sum("n").over(earlier("group", "file")), F.lit(0))).join(F.broadcast(of_group), "group")
+    of_file = of_file.select("file", (F.col("group_start") + F.col("in_group")).alias("file_start"))
+    inner = totals.withColumn("inner", F.coalesce(F.sum("ids").over(earlier("file", "segment")), F.lit(0)))
+    return inner.join(of_file, "file").select("file", "segment", (F.col("file_start") + F.col("inner")).alias("start"))
+
+
+_PARTS = "file int, segment int, number long, doc_id long, offset long, n long, crc long, whole boolean"
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the stored segments.
 
-    ``start`` counts the ids of all documents before it in the files. Segment
-    totals (one row for each of up to 1.5 million ids) are summed by file
-    first and then within a file, so no task sorts all of them by a window.
+    ``start`` counts the ids of all documents before it in the files. The parts
+    of a document that goes over segments are put together by their numbers.
     """
     table = spark.read.parquet(path)
-    totals = table.select("file", "segment", "ids")
-    files = totals.groupBy("file").agg(F.sum("ids").alias("n")).collect()  # one row for each file
-    at, before = 0, []
-    for r in sorted(files, key=lambda r: r["file"]):
-        before.append((r["file"], at))
-        at += r["n"]
-    starts = spark.createDataFrame(before, "file int, file_start long")
-    within = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        totals.withColumn("inner", F.coalesce(F.sum("ids").over(within), F.lit(0)))
-        .join(F.broadcast(starts), "file")
-        .select("file", "segment", (F.col("file_start") + F.col("inner")).alias("start"))
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, segment, data in zip(*(b.column(i) for i in range(3)), strict=True):
-                numbers, lengths, ids = read_segment(data.as_py())
+                docs, lengths, ids, first, begun, goes_on = read_segment(data.as_py())
                 ends = np.cumsum(lengths)
                 wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                k = len(numbers)
+                crc = [zlib.crc32(wide[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+                k = len(docs)
+                whole = np.ones(k, bool)
+                whole[0] &= not begun
+                whole[-1] &= not goes_on
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file.as_py()] * k, pa.int32()), pa.array([segment.as_py()] * k, pa.int32()), pa.array(numbers, pa.int64()),
-                     pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
-                    ["file", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"],
+                    [pa.array([file.as_py()] * k, pa.int32()), pa.array([segment.as_py()] * k, pa.int32()), pa.array(np.arange(first, first + k)),
+                     pa.array(docs, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(whole)],
+                    [f.split()[0] for f in _PARTS.split(", ")],
                 )
 
-    decoded = table.select("file", "segment", "data").mapInArrow(
-        run, "file int, segment int, doc_id long, offset long, n_tokens long, ids_crc32 long"
-    )
-    return decoded.join(placed, ["file", "segment"]).select(
-        "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    decoded = materialize(table.select("file", "segment", "data").mapInArrow(run, _PARTS), "decoded")
+    placed = decoded.join(_starts(table.select("file", "segment", "ids")), ["file", "segment"]).withColumn("start", F.col("start") + F.col("offset"))
+
+    def join_parts(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("segment")
+        crc = 0
+        for c, n in zip(part["crc"].tolist(), part["n"].tolist(), strict=True):
+            crc = crc32_joined(crc, c, 4 * n)
+        first = part.iloc[:1]
+        return first[["doc_id", "start"]].assign(n_tokens=part["n"].sum(), ids_crc32=crc)
+
+    cut = placed.filter("not whole").groupBy("file", "number").applyInPandas(join_parts, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    whole = placed.filter("whole").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return whole.unionByName(cut)
 
 
 def byte_vocabulary() -> str:

@@ -22,6 +22,8 @@ import numpy as np
 CACHE = 250_000
 #: Pieces which are encoded as one text.
 JOINED = 500
+#: Characters of a text which are cut into pieces at once.
+PART = 1 << 20
 
 # White_Space of Unicode.
 _W = "\t-\r \x85\xa0  -     　"
@@ -41,6 +43,19 @@ _PIECES_WITHOUT = re.compile(rf"{_ENDING}|[{_L}]+|[0-9]|[^{_L}0-9\s]+").findall
 _CLOSED = re.compile(r" ?\S+").fullmatch
 
 
+#: Both vocabularies cut before a blank between two letters, whatever stands around them.
+_CUT = re.compile("(?<=[a-z]) (?=[a-z])").search
+
+
+def parts(text: str, size: int = PART) -> list[str]:
+    """The text in parts of about ``size`` characters which are encoded apart; a stretch without such a place stays whole."""
+    out, at = [], 0
+    while len(text) - at > size and (cut := _CUT(text, at + size)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 def _words(text: str) -> list[str]:
     return _WITHOUT(text) if _SEPARATORS(text) else text.split()
 
@@ -131,7 +146,15 @@ class ChunkTokenizer:
             known.update((p, array("H", ids).tobytes()) for p, ids in zip(group, self._encode(group), strict=True))
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text as uint16; null and empty texts have none. New pieces of all texts are encoded together."""
+        """Ids of each whole text as uint16; null and empty texts have none. New pieces of all texts are encoded together.
+
+        A very long text is taken part by part, so that its pieces are never held all at once.
+        """
+        if any(t and len(t) > 2 * PART for t in texts):
+            return [np.concatenate([self._ids_of([p])[0] for p in parts(t)]) if t else np.zeros(0, np.uint16) for t in texts]
+        return self._ids_of(texts)
+
+    def _ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = {i: self._encode_whole(t) for i, t in enumerate(texts) if t and self.has_added(t)}
         each = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         new: set[str] = set()

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quillspark.llm import packing, tokenfile, tokens
+from quillspark.llm import idcoder, packing, tokenfile, tokens
 from quillspark.llm.tokens import ChunkTokenizer
 
 ODD = ["a  b\n\nc\t d   e", "  ", "\n", "I'm don't    q", "<|endoftext|> hi", "é́ Σας ΟΔΟΣ", "x\x1cy\x85z 　 w", "İ ﬀ Å", "", None, "a" * 5000]
@@ -76,27 +76,83 @@ def test_packing_covers_every_document(sample, odd_docs, no_docs, monkeypatch):
     assert packing.pack_documents(no_docs, packing.word_vocabulary()).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 13000])
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 13000, 70000])
 def test_segments_round_trip(n):
     rng = np.random.default_rng(n)
-    ids = (rng.zipf(1.4, n) % 65536).astype(np.uint16)
-    docs, lengths, got = tokenfile.read_segment(tokenfile.write_segment([5, None], [n - n // 2, n // 2], ids))
+    ids = (rng.zipf(1.4, n) % 65536).astype(np.uint16) if n < 70000 else rng.permutation(n).astype(np.uint16)
+    data = tokenfile.write_segment([5, None], [n - n // 2, n // 2], ids, 3, True, False)
+    docs, lengths, got, first, begun, goes_on = tokenfile.read_segment(data)
     assert docs == [5, None] and lengths.tolist() == [n - n // 2, n // 2] and (got == ids).all()
+    assert (first, begun, goes_on) == (3, True, False)
+
+
+def test_each_block_is_coded_by_itself():
+    rng = np.random.default_rng(5)
+    ids = (rng.zipf(1.3, 5 * idcoder.BLOCK) % 900).astype(np.uint16)
+    packed, codes = idcoder.encode(ids)
+    alphabet, _ = idcoder.Alphabet.from_bytes(packed, 0)
+    for k, code in enumerate(codes):
+        part = ids[k * idcoder.BLOCK : (k + 1) * idcoder.BLOCK]
+        assert (idcoder.decode(alphabet, [code], len(part)) == part).all()
 
 
 def test_repetition_compresses_and_damage_is_found():
     ids = np.tile(np.arange(50, dtype=np.uint16) * 997, 400)
     data = tokenfile.write_segment([1], [len(ids)], ids)
-    assert len(data) < len(ids) / 2
+    assert len(data) < len(ids) / 8
     with pytest.raises(ValueError, match="damaged"):
         tokenfile.read_segment(data[:-40] + bytes([data[-40] ^ 255]) + data[-39:])
     with pytest.raises(ValueError, match="segment"):
         tokenfile.read_segment(b"other" + data)
 
 
+def test_mixing_beats_order_0_and_zlib(sample):
+    t = tokens.tokenizer(tokenfile.byte_vocabulary(), True)
+    ids = np.concatenate(t.ids_of([r["text"] for r in sample.collect()]))[:245_760]
+    n = np.bincount(ids)
+    n = n[n > 0]
+    order0 = -(n * np.log2(n / len(ids))).sum() / 8  # without any table
+    size = len(tokenfile.write_segment([1], [len(ids)], ids))
+    assert size < 0.95 * order0 and size < 0.95 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
+@pytest.mark.parametrize("length", [0, 1, 7, 100, 70000])
+def test_joined_checksums(length):
+    r = random.Random(length)
+    a, b = r.randbytes(33), r.randbytes(length)
+    assert tokenfile.crc32_joined(zlib.crc32(a), zlib.crc32(b), length) == zlib.crc32(a + b)
+    assert tokenfile.crc32_joined(0, zlib.crc32(b), length) == zlib.crc32(b)
+
+
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_long_texts_in_parts_have_the_same_ids(name, blanks, sample, monkeypatch):
+    monkeypatch.setattr(tokens, "PART", 60)
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    texts = [*ODD, "a b<|endoftext|>c d " * 40, "x" * 500, *(r["text"] for r in sample.limit(30).collect())]
+    assert all("".join(tokens.parts(x or "", 60)) == (x or "") for x in texts)
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [g.tolist() for g in ChunkTokenizer(path, blanks, added=True).ids_of(texts)] == want
+
+
+def test_documents_longer_than_segments(spark, sample, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "LANES", 1)
+    t = Tokenizer.from_file(tokenfile.byte_vocabulary())
+    texts = ["one two", " ".join(r["text"] for r in sample.limit(40).collect()), None, "three", "four five " * 9000, ""]
+    docs = spark.createDataFrame([(9, t) if i == 3 else (i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tokenfile.write_tokens(docs, str(tmp_path / "a"), tokenfile.byte_vocabulary())
+    assert spark.read.parquet(str(tmp_path / "a")).agg({"ids": "max"}).first()[0] == 4096
+    got = sorted(map(tuple, tokenfile.read_tokens(spark, str(tmp_path / "a")).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    at, want = 0, []
+    for i, x in sorted((9 if i == 3 else i, x) for i, x in enumerate(texts)):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
 def test_token_files(spark, sample, odd_docs, no_docs, tmp_path):
     t = Tokenizer.from_file(tokenfile.byte_vocabulary())
-    t.encode_special_tokens = True
     docs = sample.limit(40)
     tokenfile.write_tokens(docs, str(tmp_path / "a"), tokenfile.byte_vocabulary())
     got = sorted(tokenfile.read_tokens(spark, str(tmp_path / "a")).collect(), key=lambda r: r["doc_id"])
