@@ -1,4 +1,4 @@
-"""Links of Markdown pages as columns: scan, code masking, target resolution."""
+"""Target resolution of links as columns; :mod:`quillspark.functions.commonmark` finds them."""
 
 from __future__ import annotations
 
@@ -8,22 +8,6 @@ from pyspark.sql import functions as F
 from quillspark.functions import paths
 
 
-def without_code(body: Column) -> Column:
-    """Fenced blocks and inline code are blanked, as links in them are none."""
-    return F.regexp_replace(F.regexp_replace(body, "```[^`]*```", ""), "`[^`\n]*`", "")
-
-
-def wikilinks(body: Column) -> Column:
-    """Targets of ``[[target|label]]``, in order."""
-    raw = F.regexp_extract_all(body, F.lit(r"\[\[([^\n\[\]]*)\]\]"), F.lit(1))
-    return F.transform(raw, lambda x: F.trim(F.element_at(F.split(x, r"\|"), 1)))
-
-
-def markdown_links(body: Column) -> Column:
-    """Targets of inline links, images excluded."""
-    return F.regexp_extract_all(body, F.lit(r"(?<![!\[])\[[^\]\n\[]*\]\(([^)\s]+)[^)]*\)"), F.lit(1))
-
-
 def local_target(target: Column) -> Column:
     """The path part of a local link; null for anchors, queries, absolute URLs and schemes."""
     t = F.trim(target)

@@ -2,21 +2,43 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Combining marks which are dropped wherever they stand.
+_MARKS = "".join(map(chr, range(0x300, 0x332)))
+
+
+def _letters() -> tuple[str, str]:
+    """Letters which decompose into one letter and combining marks, and those letters; from the Unicode tables."""
+    whole, base = [], []
+    for c in map(chr, range(0xC0, 0x2000)):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c and c.isalpha() and c == c.lower():
+            whole.append(c)
+            base.append(plain.lower())
+    return "".join(whole), "".join(base)
+
+
+_ACCENTED, _PLAIN = _letters()
+_FOLD = str.maketrans(_ACCENTED, _PLAIN, _MARKS)
 
 
 def folded(text: Column) -> Column:
-    """Lower case without the diacritics of Latin letters."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Lower case without diacritics: whole letters lose theirs, combining marks are dropped."""
+    return F.translate(F.lower(text), _ACCENTED + _MARKS, _PLAIN)
+
+
+def fold(text: str) -> str:
+    """The same for a query."""
+    return text.lower().translate(_FOLD)
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, folded."""
-    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
 
 
 def front_matter(text: Column) -> Column:

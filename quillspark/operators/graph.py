@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import links, paths, text
+from quillspark.functions import commonmark, links, paths, text
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """Distinct (space_id, source_path, target) of all wikilinks and Markdown links outside of code."""
-    body = links.without_code(F.col("body"))
-    wiki = F.transform(links.wikilinks(body), links.resolve_wikilink)
-    plain = F.transform(links.markdown_links(body), lambda t: links.resolve_markdown(F.col("path"), t))
-    targets = F.array_distinct(F.filter(F.concat(wiki, plain), lambda t: t.isNotNull()))
-    return pages.select("space_id", F.col("path").alias("source_path"), F.explode(targets).alias("target")).distinct()
+    """Distinct (space_id, source_path, target) of all wikilinks and Markdown links outside of code.
+
+    Pages without a bracket never reach Python.
+    """
+    found = pages.filter(F.col("body").contains("[")).select("space_id", "path", commonmark.link_targets(F.col("body")).alias("x"))
+    wiki = F.transform("x.wiki", links.resolve_wikilink)
+    plain = F.transform("x.plain", lambda t: links.resolve_markdown(F.col("path"), t))
+    targets = F.array_distinct(F.filter(F.concat(wiki, plain), lambda t: t.isNotNull() & (t != "")))
+    return found.select("space_id", F.col("path").alias("source_path"), F.explode(targets).alias("target")).dropDuplicates()
 
 
 def backlinks(pages: DataFrame, links_: DataFrame) -> DataFrame:
@@ -25,6 +28,14 @@ def backlinks(pages: DataFrame, links_: DataFrame) -> DataFrame:
     )
 
 
+def diagnostic(source: Column, target: Column) -> Column:
+    """Whether a broken link is reported: the source is visible and not reserved, the target visible or below the raw sources."""
+    parts = F.split(target, "/")
+    hidden = lambda p: F.exists(p, lambda c: c.startswith("."))
+    below = target.startswith(paths.SOURCES) & ~hidden(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))))
+    return ~hidden(F.split(source, "/")) & ~paths.is_reserved(source) & F.when(parts[0] == paths.HIDDEN_ROOT, below).otherwise(~hidden(parts))
+
+
 def live_targets(pages: DataFrame) -> DataFrame:
     """Every file and every directory above one, by space."""
     parts = F.split("path", "/")
@@ -32,9 +43,14 @@ def live_targets(pages: DataFrame) -> DataFrame:
     return pages.select("space_id", F.explode(prefixes).alias("target")).distinct()
 
 
-def broken_links(pages: DataFrame, links_: DataFrame) -> DataFrame:
-    """(space_id, source_path, source_title, target) whose target is neither a file nor a directory."""
-    return backlinks(pages, links_).join(live_targets(pages), ["space_id", "target"], "left_anti").select(
+def broken_links(pages: DataFrame, links_: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(space_id, source_path, source_title, target) whose target is neither a file nor a directory.
+
+    ``targets`` (space_id, path): all files, where there are others than pages.
+    """
+    found = backlinks(pages, links_).filter(diagnostic(F.col("source_path"), F.col("target")))
+    live = live_targets(pages if targets is None else targets)
+    return found.join(live, ["space_id", "target"], "left_anti").select(
         "space_id", "source_path", "source_title", "target"
     )
 

@@ -1,7 +1,8 @@
-"""Ranked full-text search over a positional index."""
+"""Ranked full-text search over positional postings."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,28 +14,38 @@ TITLE_WEIGHT, BODY_WEIGHT, K1, B = 8.0, 1.0, 1.2, 0.75
 MOST = 100
 
 
+def _runs(sorted_: Column, differs) -> Column:
+    """(start, length) of each run of equal elements of a sorted array, from 1 on."""
+    n = F.size(sorted_)
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | differs(F.get(sorted_, i - 1), F.get(sorted_, i - 2))))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
+    return F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("start"), (y - x).alias("n")))
+
+
 def postings(pages: DataFrame) -> DataFrame:
-    """(term, space_id, path, field, positions, tf): persist sorted by term, so a query reads few row groups."""
+    """(term, space_id, path, field, positions, tf) of every page, made within its row: nothing is shuffled."""
     both = F.array(
         F.struct(F.lit("title").alias("field"), text.tokens(F.coalesce("title", F.lit(""))).alias("tokens")),
-        F.struct(F.lit("body").alias("field"), text.tokens(F.col("body")).alias("tokens")),
+        F.struct(F.lit("body").alias("field"), text.tokens(F.coalesce("body", F.lit(""))).alias("tokens")),
     )
-    each = pages.select("space_id", "path", F.explode(both).alias("x")).select("space_id", "path", "x.field", F.posexplode("x.tokens").alias("pos", "term"))
-    return each.groupBy("term", "space_id", "path", "field").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+    each = pages.select("space_id", "path", F.explode(both).alias("x"))
+    placed = each.select("space_id", "path", "x.field", F.array_sort(F.transform("x.tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("p"))
+    runs = placed.withColumn("r", _runs(F.col("p"), lambda x, y: x["t"] != y["t"]))
+    entry = F.transform("r", lambda r: F.struct(F.get("p", r["start"] - 1)["t"].alias("term"), F.transform(F.slice("p", r["start"], r["n"]), lambda y: y["i"]).alias("positions"), r["n"].cast("long").alias("tf")))
+    return runs.select("space_id", "path", "field", F.explode(entry).alias("e")).select("e.term", "space_id", "path", "field", "e.positions", "e.tf")
 
 
-def lengths(pages: DataFrame) -> DataFrame:
-    n = F.size(text.tokens(F.coalesce("title", F.lit("")))) + F.size(text.tokens(F.col("body")))
-    return pages.select("space_id", "path", n.alias("n_tokens"))
+def term_counts(pages: DataFrame) -> DataFrame:
+    """(term, df, tf): counted within each row first, so what is shuffled is one partial sum a term and task."""
+    s = pages.select(F.array_sort(text.tokens(F.coalesce("body", F.lit("")))).alias("s")).withColumn("r", _runs(F.col("s"), lambda x, y: x != y))
+    each = s.select(F.explode(F.transform("r", lambda r: F.struct(F.get("s", r["start"] - 1).alias("term"), r["n"].alias("n")))).alias("e"))
+    return each.groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.n").alias("tf"))
 
 
 def query_phrases(query: str) -> list[list[str]]:
     """White space parts the query; a part's tokens are a phrase. A part without tokens matches nothing."""
-    import re
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFD", query.lower()) if not unicodedata.combining(c))
-    return [[t for t in re.split(r"[\W_]+", word.strip('"')) if t] for word in plain.split()]
+    return [[t for t in re.split(r"[\W_]+", word.strip('"')) if t] for word in text.fold(query).split()]
 
 
 def search(pages: DataFrame, query: str, limit: int = 12, space_id: str | None = None) -> DataFrame:
@@ -42,42 +53,49 @@ def search(pages: DataFrame, query: str, limit: int = 12, space_id: str | None =
 
     Statistics are those of all spaces, as the space is filtered afterwards.
     Reserved documents are dropped after the limit. An empty query, or a part
-    without tokens, gives no rows.
+    without tokens, gives no rows. Reads all pages; for many queries keep a
+    :class:`quillspark.operators.index.SearchIndex`.
     """
+    terms = sorted({t for p in query_phrases(query) for t in p})
+    n = F.size(text.tokens(F.coalesce("title", F.lit("")))) + F.size(text.tokens(F.coalesce("body", F.lit(""))))
+    size = pages.select("space_id", "path", "title", n.cast("long").alias("n_tokens"))
+    stats = size.agg(F.count("*"), F.sum("n_tokens")).first()
+    found = postings(pages).filter(F.col("term").isin(*terms)).join(size, ["space_id", "path"])
+    return ranked(found, query, stats[0], (stats[1] or 0) / max(1, stats[0]), limit, space_id)
+
+
+def _moved(positions: Column, by: int) -> Column:
+    """Where a phrase would begin whose word number ``by`` stands at these positions."""
+    return F.transform(positions, lambda p: p - by)
+
+
+def ranked(found: DataFrame, query: str, n_docs: int, avg_tokens: float, limit: int, space_id: str | None) -> DataFrame:
+    """Score and order pages from the postings of the query's terms, which carry title and n_tokens of their page."""
     parts = query_phrases(query)
     empty = not parts or any(not p for p in parts) or limit <= 0
-    index = postings(pages).filter(F.col("term").isin(sorted({t for p in parts for t in p})))
-    size = lengths(pages)
-    stats = size.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))
     hits = []
-    for k, phrase in enumerate(parts or [["-"]]):
-        found = None
-        for i, term in enumerate(phrase or ["-"]):
-            start = F.expr(f"transform(positions, p -> p - {i})")  # where the phrase would begin
-            at = index.filter(F.col("term") == term).select("space_id", "path", "field", start.alias(f"p{i}"))
-            found = at if found is None else found.join(at, ["space_id", "path", "field"])
-        together = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(1, max(1, len(phrase)))], F.col("p0"))
-        weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
-        hits.append(
-            found.withColumn("tf", F.size(together)).filter("tf > 0").groupBy("space_id", "path").agg(F.sum(F.col("tf") * weight).alias("tf")).withColumn("part", F.lit(k))
-        )
-    every = reduce(DataFrame.unionByName, hits)
-    df = every.groupBy("part").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    norm = K1 * (1 - B + B * F.col("n_tokens") / F.col("avg_tokens"))
-    scored = (
-        every.join(F.broadcast(df), "part")  # one row for each part of the query
-        .join(size, ["space_id", "path"])
-        .join(F.broadcast(stats))  # one row
-        .groupBy("space_id", "path")
-        .agg(F.sum(-idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"), F.count("*").alias("parts"))
-        .filter(F.col("parts") == len(parts))
-    )
-    scored = scored.join(pages.select("space_id", "path", "title"), ["space_id", "path"])
+    # phrases are put together within a page: one shuffle for all terms
+    held = F.map_from_entries(F.collect_list(F.struct("term", "positions")))
+    per_field = found.groupBy("space_id", "path", "title", "n_tokens", "field").agg(held.alias("at"))
+    for phrase in parts or [["-"]]:
+        places = [_moved(F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")), i) for i, t in enumerate(phrase or ["-"])]
+        hits.append(F.size(reduce(F.array_intersect, places[1:], places[0])))
+    weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
+    tf = F.array(*[h * weight for h in hits]).alias("tf")
+    per_page = per_field.select("space_id", "path", "title", "n_tokens", tf).groupBy("space_id", "path", "title", "n_tokens")
+    tfs = per_page.agg(*[F.sum(F.get("tf", F.lit(k))).alias(f"t{k}") for k in range(len(hits))])
+    df = tfs.agg(*[F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(hits))])
+    norm = K1 * (1 - B + B * F.col("n_tokens") / F.lit(avg_tokens or 1.0))
+    score = F.lit(0.0)
+    for k in range(len(hits)):
+        d, t = F.col(f"d{k}"), F.col(f"t{k}")
+        score = score - F.greatest(F.log((n_docs - d + 0.5) / (d + 0.5)), F.lit(1e-6)) * t * (K1 + 1) / (t + norm)
+    scored = tfs.filter(reduce(lambda x, y: x & y, [F.col(f"t{k}") > 0 for k in range(len(hits))])).join(F.broadcast(df)).withColumn("score", score)  # one row
     if space_id is not None:
         scored = scored.filter(F.col("space_id") == space_id)
-    # wildcards of the query count as such
-    match = F.coalesce(F.lower("title").like(f"%{query.strip().lower()}%"), F.lit(False))
+    # wildcards of the query count as such; the escape character is one that does not occur
+    pattern = "%" + query.strip().lower().replace("\1", "") + "%"
+    match = F.coalesce(F.like(F.lower("title"), F.lit(pattern), F.lit("\1")), F.lit(False))
     top = scored.withColumn("title_match", match).orderBy(F.col("title_match").desc(), "score", "path", "space_id").limit(0 if empty else min(limit, MOST))
     return top.filter(~paths.is_reserved(F.col("path"))).select("space_id", "path", "title", "title_match", "score")
 

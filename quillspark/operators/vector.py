@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bytes of the queries which are sent to the tasks at once.
+QUERY_BYTES = 64 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -14,17 +21,72 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, above: float, most_queries: int = 100_000) -> DataFrame:
+def _units(vectors: list[list[float]] | np.ndarray) -> np.ndarray:
+    x = np.asarray(vectors, np.float64)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, above: float, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, vec_id, similarity): the best ``k`` of ``rows`` above a similarity for a stated query set.
 
-    Queries are broadcast in blocks only up to ``most_queries`` rows; more are
-    refused, as all against all is no query set.
+    Any number of queries: they are dealt by hash into blocks of about
+    ``query_bytes``, each block meets all rows in one matrix product a batch,
+    and a task keeps the best ``k`` a query. Ties go to the lesser vec_id. Null
+    vectors and those of length zero are similar to none. A query does not
+    find its own id.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError("state a smaller query set, or split it")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    sim = cosine(F.col("query"), F.col("embedding"))
-    pairs = rows.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("similarity", sim).filter(F.col("similarity") > above)
+    spark = rows.sparkSession
+    usable = lambda df: df.filter("embedding is not null and exists(embedding, x -> x <> 0)").select("vec_id", "embedding")
+    q = usable(queries)
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks = max(1, -(-(size["n"] or 0) * (size["d"] or 1) * 8 // query_bytes))
+    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    partial = None
+    for b in range(blocks):
+        held = q.filter(F.col("block") == b).orderBy("vec_id").collect()  # one block, of bounded bytes
+        if not held:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in held]), _units([r["embedding"] for r in held])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, unit = shared.value
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            count = 0
+
+            def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                at, vec, s = (np.concatenate(x) for x in zip(*best, strict=True))
+                order = np.lexsort((vec, -s, at))
+                at, vec, s = at[order], vec[order], s[order]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                ok = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k
+                return at[ok], vec[ok], s[ok]
+
+            for batch in batches:
+                vec = batch.column(0).to_numpy(zero_copy_only=False)
+                lists = batch.column(1)
+                if not len(vec):
+                    continue
+                d = len(lists[0])
+                mine = _units(lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+                for a in range(0, len(vec), max(1, (4 << 20) // max(1, len(ids)))):
+                    part = slice(a, a + max(1, (4 << 20) // max(1, len(ids))))
+                    s = unit @ mine[part].T
+                    at, row = np.nonzero(s > above)
+                    other = ids[at] != vec[part][row]
+                    at, row = at[other], row[other]
+                    if len(at):
+                        best.append((at, vec[part][row], s[at, row]))
+                        count += len(at)
+                    if count > 1 << 20:
+                        best = [kept()]
+                        count = len(best[0][0])
+            if best:
+                at, vec, s = kept()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "similarity"])
+
+        part = usable(rows).mapInArrow(run, "query_id long, vec_id long, similarity double")
+        partial = part if partial is None else partial.unionByName(part)
+    if partial is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))

@@ -8,7 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import links, metadata, paths, text
+from quillspark.functions import commonmark, metadata, paths, text
 from quillspark.operators import graph, search, versions
 from quillspark.sources import files, formats
 from quillspark.streaming import reconcile
@@ -91,8 +91,8 @@ def test_path_and_text_columns(spark):
     t = F.col("t")
     rows = one.select(text.index_title(t).alias("i"), text.content(t).alias("c"), text.field(t, "k").alias("k")).collect()
     assert [r["i"] for r in rows] == ["A", "Late 0", None] and rows[0]["c"] == "# B 10\n" and rows[0]["k"] == "v"
-    w = spark.createDataFrame([("[[a|b]] [[c]] [[x\ny]]",)], "t string").select(links.wikilinks(F.col("t")).alias("w")).first()["w"]
-    assert w == ["a", "c"]
+    w = spark.createDataFrame([("[[a|b]] [[c]] [[x\ny]]",)], "t string").select(commonmark.link_targets(F.col("t")).alias("w")).first()["w"]
+    assert w["wiki"] == ["a", "c"]
 
 
 def test_versions(spark):
