@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.storage import materialize, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["discard", "held_out", "join_by_key", "materialize", "read_table", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder which driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` inner-joined with one row of ``facts`` a key, so that no key is one task's work.
 
-    Cuts the lineage and lets several readers use one computation; a lost
-    executor costs nothing, as the files are in shared storage.
+    ``facts.n`` says how many rows have the key. Keys with more than a 50,000th
+    of all ``total`` rows (at most 50,000 keys, whatever the input) are
+    broadcast; rows of the others are shuffled. ``rows`` is read twice.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    most = max(1000, total // 50_000)
+    hot = F.broadcast(facts.filter(F.col("n") > most).drop("n"))
+    cold = facts.filter(F.col("n") <= most).drop("n")
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
 
 
 def discard(df: DataFrame) -> None:

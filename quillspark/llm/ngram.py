@@ -322,8 +322,7 @@ def language_model_scores(
     counted in training) each. With an empty training table every token is
     unknown. All n-grams of ``train`` are counted, none is dropped. Other
     columns are ignored. The method is the same at every size: what exceeds
-    ``max_broadcast`` takes more passes. Only a caller who allows no broadcast
-    at all (0) has the counts joined by shuffle, for order 2.
+    ``max_broadcast`` takes more passes, of one segment each at least.
     """
     texts = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -338,8 +337,6 @@ def language_model_scores(
     fullest = grams.filter("n > 1").groupBy("segment").agg(F.sum("entries").alias("e")).agg(F.max("e")).first()[0] or 0
     segment_bits = max(64, -(-int(fullest * BITS_PER_ENTRY) // 8) * 8)
     levels = thresholds(largest)
-    if max_broadcast == 0:
-        return scores_by_join(docs, grams, total, words, order, mu, id_col, text_col)
     filters = _bit_filters(grams.filter("n > 1"), segment_bits, levels) if entries else None
     ones = grams.filter("n = 1").select("segment", "hashes", "counts", "distinct")
     distinct = {r["segment"]: r["distinct"] for r in ones.select("segment", "distinct").collect()}
@@ -411,64 +408,6 @@ def _pass(shared, last: bool):
     return run
 
 
-def _as_rows(grams: DataFrame) -> DataFrame:
-    """(n, h, c): one row for each n-gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for n, hs, cs in zip(*(b.column(i) for i in range(3)), strict=True):
-                h, c = np.frombuffer(hs.as_py(), np.int64), np.frombuffer(cs.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n.as_py()), pa.int32()), pa.array(h), pa.array(c)], ["n", "h", "c"])
-
-    return grams.select("n", "hashes", "counts").mapInArrow(run, "n int, h long, c long")
-
-
-def scores_by_join(docs: DataFrame, grams: DataFrame, total: int, words: int, order: int, mu: float, id_col: str, text_col: str) -> DataFrame:
-    """The same scores without a broadcast: each text's distinct n-grams joined with the quantised counts.
-
-    Free of the filter's false positives. For order 2, and only where no broadcast is allowed at all.
-    """
-    if order != 2:
-        raise ValueError("without a broadcast only order 2 is scored")
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "numbered")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, doc, text in zip(*(b.column(i) for i in range(3)), strict=True):
-                w = tokens(text.as_py())
-                v = histories(w, np.array([0]), 2)[0]
-                both, at, n = np.unique(extend(v, w), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row.as_py()] * len(n), pa.int64()), pa.array([doc.as_py()] * len(n), pa.int64()),
-                     *(pa.array(x.view(np.int64)) for x in (v[at], w[at], both)), pa.array(n.astype(np.int64))],
-                    ["row", "doc_id", "v", "w", "vw", "k"],
-                )
-
-    flat = _as_rows(grams)
-    ones, twos = flat.filter("n = 1").select("h", "c"), flat.filter("n = 2").select("h", "c")
-    steps = F.array(*[F.lit(int(t)) for t in thresholds(1 << 40)])
-    quantised = twos.select(F.col("h").alias("vw"), F.array_max(F.filter(steps, lambda t: t <= F.col("c"))).alias("c_vw"))
-    found = (
-        rows.mapInArrow(pairs, "row long, doc_id long, v long, w long, vw long, k long")
-        .join(ones.select(F.col("h").alias("w"), F.col("c").alias("c_w")), "w", "left")
-        .join(ones.select(F.col("h").alias("v"), F.col("c").alias("c_v")), "v", "left")
-        .join(quantised, "vw", "left")
-        .fillna(0, ["c_w", "c_v", "c_vw"])
-    )
-    p1 = (F.col("c_w") + 0.5) / F.lit(total + 0.5 * (words + 1))
-    p2 = (F.least("c_vw", "c_w", "c_v") + mu * p1) / (F.col("c_v") + mu)
-    return (
-        found.groupBy("row", "doc_id")
-        .agg(
-            F.sum("k").alias("n_tokens"),
-            F.sum(F.when(F.col("c_w") > 0, F.col("k")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("k") * F.log10(p1)).alias("base_score"),
-            F.sum(F.col("k") * F.log10(p2)).alias("score"),
-        )
-        .select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-    )
-
-
 def op1_bloom_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by the bigram model of those which are not held out."""
     docs = read_table(spark, sf_dir, "documents")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, read_table
+from quillspark.llm.common import join_by_key, materialize, read_table
 from quillspark.llm.graph import components
 
 BITS = 64
@@ -29,6 +29,9 @@ DISTANCE = 4
 BUCKET = 4096
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 15
+#: Near copies: bits by words for the blocks, and 256 bits by distinct word shingles; of each at most so many differ.
+WORD_DISTANCE = 5
+WIDE_WORDS, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 44
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -86,65 +89,82 @@ def block_keys(fp: Column, blocks: int, distance: int) -> Column:
     return F.array(*keys)
 
 
-def _forest(members: np.ndarray, distance: int) -> list[tuple[int, np.ndarray]]:
-    """(root, linked members) for each component of the members within ``distance``."""
-    rest, out = np.unique(members), []
+def _forest(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray | None, distance: int, wide_distance: int) -> list[tuple[int, np.ndarray]]:
+    """(root, linked nodes) for each component of the members which are near."""
+    _, at = np.unique(nodes, return_index=True)
+    nodes, fps = nodes[at], fps[at]
+    wide = None if wide is None else wide[at]
+    rest, out = np.arange(len(nodes)), []
     while len(rest):
         root, rest = rest[0], rest[1:]
         stack, linked = [root], []
         while stack and len(rest):
-            near = np.bitwise_count(rest ^ stack.pop()) <= distance
+            one = stack.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[one]) <= distance
+            if wide is not None and near.any():
+                k = np.flatnonzero(near)
+                near[k] = np.bitwise_count(wide[rest[k]] ^ wide[one]).sum(1) <= wide_distance
             if near.any():
                 found = rest[near]
                 linked.append(found)
                 stack.extend(found)
                 rest = rest[~near]
         if linked:
-            out.append((int(root), np.concatenate(linked)))
+            out.append((int(nodes[root]), nodes[np.concatenate(linked)]))
     return out
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) whose transitive closure is that of all pairs of ``fps.fp`` within ``distance``.
+def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks: int | None = None, wide_distance: int = WIDE_DISTANCE) -> DataFrame:
+    """Links (a, b) of nodes whose transitive closure is that of all near pairs of ``points`` (node, fp).
 
+    Near are fingerprints within ``distance``; where points also have ``wide``
+    (an array of further words of bits), those within ``wide_distance`` too.
     A bucket gives a spanning forest, never its pairs. Buckets beyond
     ``bucket`` members are cut into chunks by hash; every pair of chunks is one
-    group, so all pairs are still compared and no group outgrows a task.
+    group, so all pairs are still compared and no group outgrows a task. What
+    is known of a bucket reaches its members by :func:`join_by_key`, so a
+    frequent block is no hot key.
     """
-    spark = fps.sparkSession
-    blocks = blocks or n_blocks(fps.count(), distance)
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, distance)).alias("key")).select("key.choice", "key.bits", "fp")
-    shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    cut = F.ceil(F.col("n") / bucket)
+    n = points.count()
+    blocks = blocks or n_blocks(n, distance)
+    keys = block_keys(F.col("fp"), blocks, distance)
+    keyed = points.select("node", "fp", F.explode(keys).alias("key")).select("key.choice", "key.bits", "node", "fp")
+    shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cut", F.ceil(F.col("n") / bucket))
+    total = n * len(list(combinations(range(blocks), distance)))
+    held = join_by_key(keyed, shared, ["choice", "bits"], total)
+    columns = ["node", "fp"]
+    if "wide" in points.columns:
+        held, columns = held.join(points.select("node", "wide"), "node"), ["node", "fp", "wide"]
     members = (
-        keyed.join(shared, ["choice", "bits"])
-        .withColumn("cut", cut)
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("cut")))
+        held.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cut")))
         # each chunk meets every chunk, itself included, once
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
         .groupBy("choice", "bits", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-        .agg(F.collect_list("fp").alias("members"))
+        .agg(F.collect_list(F.struct(*columns)).alias("members"))
         .select("members")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
-            values, ends = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
-            a, b = [], []
+            first, last = lists.offsets[0].as_py(), lists.offsets[-1].as_py()
+            values, ends = lists.values.slice(first, last - first), np.asarray(lists.offsets) - first
+            node = np.asarray(values.field("node"))
+            fp = np.asarray(values.field("fp")).view(np.uint64)
+            wide = np.asarray(values.field("wide").flatten()).view(np.uint64).reshape(len(node), -1) if len(columns) > 2 and len(node) else None
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             size = np.diff(ends)
             two = ends[:-1][size == 2]
-            x, y = values[two], values[two + 1]
-            near = np.bitwise_count(x ^ y) <= distance
-            a.append(np.minimum(x, y)[near])
-            b.append(np.maximum(x, y)[near])
+            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance
+            if wide is not None:
+                near &= np.bitwise_count(wide[two] ^ wide[two + 1]).sum(1) <= wide_distance
+            a.append(np.minimum(node[two], node[two + 1])[near])
+            b.append(np.maximum(node[two], node[two + 1])[near])
             for s, e in zip(ends[:-1][size > 2], ends[1:][size > 2], strict=True):
-                for root, linked in _forest(values[s:e], distance):
-                    a.append(np.full(len(linked), root, np.uint64))
+                for root, linked in _forest(node[s:e], fp[s:e], None if wide is None else wide[s:e], distance, wide_distance):
+                    a.append(np.full(len(linked), root, np.int64))
                     b.append(linked)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).astype(np.uint64).view(np.int64)) for c in (a, b)], ["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], ["a", "b"])
 
     return members.mapInArrow(run, "a long, b long").distinct()
 
@@ -167,19 +187,89 @@ def near_duplicates(
     an empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    found = components(links(fps.select("fp"), distance, bucket))
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    found = components(links(fps.select(F.col("fp").alias("node"), "fp"), distance, bucket))
     named = (
         fps.join(found.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("component", F.coalesce("component", "fp"))
     )
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = materialize(named.join(least, "component").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select(
+    classes = materialize(named.join(least, "component").select("fp", "component_id", "n"), "classes")
+    return join_by_key(rows, classes, ["fp"], rows.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+class _Hashes(dict):
+    """64-bit hashes of words, of as many as are in use."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+_hashes = _Hashes()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), _STEP):
+        ones += np.unpackbits(h[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+
+
+def copy_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[int, list[int]]:
+    """Majority bits of the words, repeats included, and four times 64 of the distinct word shingles; no words: all 0.
+
+    Edits move few of the bits by words, so near copies meet in a block; the
+    bits by shingles tell how much of the texts agrees.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return 0, [0] * WIDE_WORDS
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - shingle + 1)
+    joined = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(h))):
+        joined = _mixed(joined * np.uint64(0xFF51AFD7ED558CCD) + h[k : k + n])
+    joined = np.unique(joined)
+    return _majority(h), [_majority(_mixed(joined + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) for k in range(WIDE_WORDS)]
+
+
+def near_copies(rows: DataFrame, distance: int = WORD_DISTANCE, wide_distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """(row) of those of ``rows`` (row, doc_id, text) which stay: one of each group of near copies.
+
+    Near are texts whose bits by words differ in at most ``distance`` and whose
+    256 bits by five-word shingles in at most ``wide_distance``: 44 stands for
+    a similarity of about 0.8 (0.85 and more: almost all pairs, 0.7: one in
+    six). The row with the least doc_id stays, then the least row; rows without
+    a doc_id are judged too and stay if their group has no other. Null, empty
+    and blank texts are one group. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [copy_fingerprint(x.as_py()) for x in b.column(2)]
+            fps = np.array([f for f, _ in got], np.uint64).view(np.int64)
+            wide = np.array([w for _, w in got], np.uint64).view(np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wide) + 1, WIDE_WORDS, dtype=np.int32)), pa.array(wide))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), lists], ["row", "doc_id", "fp", "wide"])
+
+    marked = materialize(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, fp long, wide array<long>"), "copy-fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    groups = materialize(marked.groupBy("fp", "wide").agg(best).withColumn("node", F.monotonically_increasing_id()), "groups")
+    found = components(links(groups.select("node", "fp", "wide"), distance, bucket, wide_distance=wide_distance))
+    named = groups.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
+    return named.groupBy("component").agg(F.min("best").alias("best")).select("best.row")
+
+
 def op4_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))

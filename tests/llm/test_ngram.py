@@ -43,8 +43,8 @@ def test_scores_equal_brute_force(spark, sample, limit):
         r = got[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, k, total)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        # a false positive of the filter can only raise a count; the join has none
-        assert r["score"] == pytest.approx(score, rel=1e-9 if not limit else 0.01)
+        # a false positive of the filter can only raise a count, with one block or with one for each segment
+        assert r["score"] == pytest.approx(score, rel=0.01) and r["score"] >= score - 1e-6
 
 
 def test_filter_has_no_false_negatives():

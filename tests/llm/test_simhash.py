@@ -42,7 +42,7 @@ def test_links_lose_nothing(spark, bucket):
                 f ^= 1 << b
             fps.add(f)
     fps |= set(rng.integers(0, 1 << 63, 50).tolist())
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(f, f) for f in fps], "node long, fp long")
     got = simhash.components(simhash.links(df, 4, bucket))
     found = {r["node"]: r["component"] for r in got.collect()}
     want = closure(sorted(fps), 4)
@@ -51,7 +51,7 @@ def test_links_lose_nothing(spark, bucket):
 
 @pytest.mark.parametrize("blocks", [6, 7, 9])
 def test_any_number_of_blocks_finds_the_same(spark, blocks):
-    df = spark.createDataFrame([(0,), (0b1111,), (0b11111 << 30,), (1 << 60 | 0b1111 << 40,)], "fp long")
+    df = spark.createDataFrame([(f, f) for f in (0, 0b1111, 0b11111 << 30, 1 << 60 | 0b1111 << 40)], "node long, fp long")
     edges = {(r["a"], r["b"]) for r in simhash.links(df, 4, blocks=blocks).collect()}
     assert edges == {(0, 0b1111)}
 
@@ -66,3 +66,40 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[3]["component_id"] == by[5]["component_id"] == 3
     assert by[1]["component_id"] == by[2]["component_id"] == 1
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def test_near_copies_follow_shingle_similarity(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    often = 1 / np.arange(2, 3002)
+    often /= often.sum()  # words are as frequent as in prose
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, alike = [], {}
+    for k in range(300):
+        text = rng.choice(vocabulary, 300, p=often).tolist()
+        copy = list(text)
+        for i in rng.integers(0, 300, rng.integers(1, 30)):
+            copy[i] = vocabulary[rng.integers(0, 3000)]
+        a, b = shingles(text), shingles(copy)
+        alike[2 * k + 1] = len(a & b) / len(a | b)
+        rows += [(2 * k, 2 * k, " ".join(text)), (2 * k + 1, 2 * k + 1, " ".join(copy))]
+    df = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    kept = {r["row"] for r in simhash.near_copies(df).collect()}
+    assert {2 * k for k in range(300)} <= kept  # originals are never dropped for a copy
+    close, far = [d for d, j in alike.items() if j >= 0.8], [d for d, j in alike.items() if j < 0.65]
+    assert len(close) > 50 and sum(d not in kept for d in close) >= 0.9 * len(close)
+    assert len(far) > 50 and sum(d in kept for d in far) >= 0.95 * len(far)
+
+
+def test_near_copies_of_odd_rows(spark, odd_docs, no_docs):
+    rows = [(0, 5, None), (1, 4, ""), (2, None, " "), (3, None, "one"), (4, None, "one"), (5, 7, "one two"), (6, 7, "three"), (7, 9, "three")]
+    got = simhash.near_copies(spark.createDataFrame(rows, "row long, doc_id long, text string"))
+    assert sorted(r["row"] for r in got.collect()) == [1, 3, 5, 6]
+    assert simhash.near_copies(spark.createDataFrame([], "row long, doc_id long, text string")).count() == 0
+
+
+def test_a_hub_and_a_chain(spark):
+    """One node with most of the links, beside a long chain."""
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5060)]
+    got = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5061)}
