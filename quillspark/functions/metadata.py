@@ -1,17 +1,58 @@
-"""Source lists, source addresses and normalised front matter of documents as columns.
+"""Display metadata, source lists, source addresses and normalised front matter of documents as columns.
 
-Front matter is read line by line as flat ``key: value`` fields; nested YAML
-under other keys is kept as it stands.
+Display metadata is read as YAML. Elsewhere front matter is read line by line
+as flat ``key: value`` fields; nested YAML under other keys is kept as it
+stands.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import conformance, paths, text
 
 
+def yaml_fields(block: str | None, keys: tuple[str, ...]) -> list[str | None]:
+    """Trimmed text values of a YAML mapping by key; null where it is absent, blank or no text, or the block is no mapping."""
+    if not block:
+        return [None] * len(keys)
+    try:
+        import yaml
+    except ImportError:  # flat fields only
+        found = dict(re.findall(r"""(?m)^(\w+):[ \t]*["']?(.*?)["']?[ \t\r]*$""", block))
+        return [found.get(k, "").strip() or None for k in keys]
+    try:
+        found = yaml.safe_load(block)
+    except (yaml.YAMLError, ValueError):
+        found = None
+    values = [found.get(k) if isinstance(found, dict) else None for k in keys]
+    return [v.strip() or None if isinstance(v, str) else None for v in values]
+
+
+def display_metadata(document: Column) -> Column:
+    """A struct of title and description.
+
+    The title is the YAML title, else the first line of the body which begins
+    with ``# `` unindented; the description is the YAML description, else the
+    summary. Only documents with front matter reach Python.
+    """
+
+    @F.pandas_udf("title string, description string")
+    def parsed(blocks: pd.Series) -> pd.DataFrame:
+        rows = [yaml_fields(b, ("title", "description", "summary")) for b in blocks]
+        return pd.DataFrame([(t, d or s) for t, d, s in rows], columns=["title", "description"])
+
+    block = F.when(document.startswith("---"), text.front_matter(document))
+    fields = parsed(block)
+    heading = F.regexp_extract(text.content(document), r"(?m)^# (.*)$", 1)
+    trimmed = F.trim(F.regexp_replace(heading, "\r", ""))
+    return F.struct(F.coalesce(fields["title"], F.when(trimmed != "", trimmed)).alias("title"), fields["description"].alias("description"))
+
+
 def _unquoted(value: Column) -> Column:
     return F.regexp_replace(F.trim(value), r"""^['"]|['"]$""", "")
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import links, metadata, paths, text
-from quillspark.operators import graph, search, vector, versions
+from quillspark.operators import graph, index, search, vector, versions
+from quillspark.plans import engine
+from quillspark.plans.registry import ORACLE_SQL, QUERIES, query
 from quillspark.plans.shared_sql import SHARED
 from quillspark.plans.views import view, with_views
 from quillspark.sources import formats
+from quillspark.storage import shared_dir
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
+__all__ = ["ORACLE_SQL", "QUERIES", "engine"]
 
 def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     import re
@@ -29,20 +31,21 @@ for _name, _sql in SHARED.items():
     ORACLE_SQL[_name] = with_views(_sql)
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under a name, with its DuckDB SQL."""
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "kb_page").withColumn("title", F.split("body", "\n")[0])
 
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = with_views(sql)
-        return f
 
-    return keep
+_indexes: dict[tuple[str, str], index.SearchIndex] = {}
 
 
-def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "kb_page").withColumn("title", F.split("body", "\n")[0])
+def stored_index(spark: SparkSession, sf_dir: str) -> index.SearchIndex:
+    """The search index of the pages view, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        made = index.SearchIndex(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}")
+        made.rebuild(_titled(spark, sf_dir))
+        _indexes[key] = made
+    return _indexes[key]
 
 
 SEARCH = "from thon"
@@ -63,9 +66,35 @@ _SEARCH_SQL = f"""
 
 @query("search_pages", _SEARCH_SQL)
 def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the stored index of these tables, which the first call in an application builds and later ones reuse."""
+    return stored_index(spark, sf_dir).search(SEARCH).withColumn("score", F.round("score", 6))
+
+
+@query("search_whole_corpus", _SEARCH_SQL)
+def search_whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index: every page is read."""
     return search.search(_titled(spark, sf_dir), SEARCH).withColumn("score", F.round("score", 6))
 
 
+@query("r1_refreshed_index", """
+    with s as (select space_id, path, case when doc_id % 5 = 0 then concat(body, ' from thon') else body end as body from {kb_page} where doc_id % 7 <> 0),
+    t as (select space_id, path, list_filter(string_split_regex(strip_accents(lower(body)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') as w from s)
+    select space_id, count(*) as n_pages, cast(sum(len(w)) as bigint) as n_tokens, count(*) filter (list_contains(w, 'thon')) as hits from t group by space_id""")
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of some pages brought up to date: new, changed and deleted ones, then asked for one word's pages."""
+    pages = view(spark, sf_dir, "kb_page").withColumn("title", F.lit(""))
+    kept = index.SearchIndex(spark, f"{shared_dir(spark)}/refreshed-{uuid.uuid4().hex}")
+    kept.rebuild(pages.filter("doc_id % 3 <> 0"))
+    five = F.col("doc_id") % 5 == 0
+    seen = pages.filter("doc_id % 7 <> 0").withColumn("modified_ns", F.when(five, F.col("modified_ns") + 1).otherwise(F.col("modified_ns")))
+    seen = seen.withColumn("body", F.when(five, F.concat("body", F.lit(" from thon"))).otherwise(F.col("body")))
+    # pages which are not divisible by five keep their time, and are not read again
+    kept.refresh(seen)
+    live, valid = kept.live(), kept._valid("postings")
+    hits = valid.filter("term = 'thon'").groupBy("space_id").agg(F.countDistinct("path").alias("hits"))
+    return live.groupBy("space_id").agg(F.count("*").alias("n_pages"), F.sum("n_tokens").alias("n_tokens")).join(hits, "space_id", "left").fillna(0, ["hits"])
+
+
 @query("a9_corpus_statistics", f"select count(*) as n_docs, round(avg(len({_TOKENS.format('body')})), 6) as avg_tokens from {{kb_page}}")
 def corpus_statistics(spark, sf_dir):
     n = F.size(text.tokens(F.col("body")))
@@ -78,10 +107,9 @@ def token_counts(spark, sf_dir):
     return view(spark, sf_dir, "kb_page").select("path", F.size(t).cast("long").alias("n"), F.array_max(t).alias("last_token"))
 
 
-@query("postings_df", f"select term, count(distinct path) as df, count(*) as tf from (select path, unnest({_TOKENS.format('body')}) as term from {{kb_page}}) x group by term")
+@query("postings_df", f"select term, count(distinct doc_id) as df, count(*) as tf from (select doc_id, unnest({_TOKENS.format('body')}) as term from {{kb_page}}) x group by term")
 def postings_df(spark, sf_dir):
-    p = search.postings(view(spark, sf_dir, "kb_page").withColumn("title", F.lit("")))
-    return p.groupBy("term").agg(F.countDistinct("path").alias("df"), F.sum("tf").alias("tf"))
+    return search.term_counts(view(spark, sf_dir, "kb_page"))
 
 
 _EDGES = """
@@ -223,7 +251,11 @@ def three_way(spark, sf_dir):
     return versions.merge_states(*(view(spark, sf_dir, n) for n in ("kb_base", "kb_draft", "kb_agent")))
 
 
-@query("x14_line_diffs")
+@query("x14_line_diffs", """
+    with c as (select coalesce(a.path, b.path) as path, a.body as o, b.body as n from {kb_base} a full join {kb_draft} b on a.path = b.path where a.path is null or b.path is null or a.body <> b.body)
+    select path, case when o is null then 'added' when n is null then 'deleted' else 'modified' end as status,
+        case when n is null then 0 when o is null then len(string_split(n, chr(10))) else 1 end as additions,
+        case when o is null then 0 when n is null then len(string_split(o, chr(10))) else 1 end as deletions from c""")
 def line_diffs(spark, sf_dir):
     return versions.file_diffs(view(spark, sf_dir, "kb_base"), view(spark, sf_dir, "kb_draft")).drop("lines")
 
@@ -271,7 +303,9 @@ def tool_results(spark, sf_dir):
     return view(spark, sf_dir, "kb_page").select("path", F.to_json(F.struct("path", F.lit(False).alias("title_match"))).alias("result"))
 
 
-@query("x18_excerpts")
+@query("x18_excerpts", """
+    with l as (select path, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, '^\\s*(?:[-*+>]|#+|\\d+\\.)\\s+', ''))), lambda x: x <> ''), ' ') as j from {kb_page})
+    select path, case when length(j) > 140 then concat(left(j, 140), '…') else j end as excerpt from l""")
 def excerpts(spark, sf_dir):
     return view(spark, sf_dir, "kb_page").select("path", text.excerpt(F.col("body")).alias("excerpt"))
 

@@ -3,8 +3,6 @@
 SHARED: dict[str, str] = {
     # aggregations
     "a1_pages_per_space": "select space_id, count(*) as n_pages from {kb_page} group by space_id",
-    "a2_members_by_last_name": """
-        select user_id, max(body) as last_body, count(*) as n from {kb_comment} group by user_id""",
     "a4_diff_totals": """
         select submission_id, sum(additions) as additions, sum(deletions) as deletions, count(*) as files
         from {kb_submission_file} group by submission_id""",
@@ -19,23 +17,10 @@ SHARED: dict[str, str] = {
     "a8_changed_files": """
         select sum(case when a.body is null or b.body is null or a.body <> b.body then 1 else 0 end) as changed, count(*) as files
         from {kb_base} a full join {kb_draft} b on a.path = b.path""",
-    "a11_thread_partition": """
-        select page_slug, case when resolved then 'resolved' when conv_id % 5 = 0 then 'outdated' else 'anchored' end as part,
-               count(*) as n from {kb_comment} where parent_id is null
-        group by page_slug, case when resolved then 'resolved' when conv_id % 5 = 0 then 'outdated' else 'anchored' end""",
-    "a12_ingest_outcome": """
-        select sum(case when ext in ('md', 'txt', 'html') then 0 else 1 end) as failed, count(*) as total
-        from (select case when doc_id % 9 = 0 then 'doc' when doc_id % 5 = 0 then 'html' else 'md' end as ext from {kb_page}) x""",
     # joins
-    "j4_comments_of_spaces": """
-        select s.name as space_name, count(*) as n_comments, count(distinct c.user_id) as n_users
-        from {kb_comment} c join {kb_space} s on c.conv_id % 25 = s.id group by s.name""",
     "j5_replies_with_parent": """
         select c.id from {kb_comment} c where c.parent_id is not null
         and exists (select 1 from {kb_comment} p where p.id = c.parent_id and p.page_slug = c.page_slug)""",
-    "j5_replies_without_parent": """
-        select c.id from {kb_comment} c where c.parent_id is not null
-        and not exists (select 1 from {kb_comment} p where p.id = c.parent_id and p.resolved)""",
     "j6_threads": """
         select r.id as root_id, r.page_slug, count(c.id) as replies, max(c.turn) as last_turn
         from {kb_comment} r left join {kb_comment} c on c.parent_id = r.id
@@ -43,65 +28,23 @@ SHARED: dict[str, str] = {
     "j7_member_names": """
         select s.id, coalesce(m.name, substr(cast(s.user_id as string), 1, 8)) as user_name
         from {kb_submission} s left join {kb_member} m on m.id = s.user_id + 1""",
-    "j8_comment_lines": """
-        select f.submission_id, f.path, case when f.flag = 'R' then f.deletions else f.additions end as line, count(*) as n
-        from {kb_submission_file} f join {kb_submission} s on s.id = f.submission_id and s.status = 'pending'
-        group by f.submission_id, f.path, case when f.flag = 'R' then f.deletions else f.additions end""",
     "j9_contributions_by_path": """
         select distinct a.submission_id from {kb_submission_file} a
         where a.flag = 'A' and exists (select 1 from {kb_submission_file} b where b.path = a.path and b.flag = 'R' and b.submission_id <> a.submission_id)""",
-    "j12_diff_with_patch": """
-        select d.path, d.additions, p.n as patches from (select path, sum(additions) as additions from {kb_submission_file} group by path) d
-        left join (select path, count(*) as n from {kb_submission_file} where flag = 'R' group by path) p on p.path = d.path""",
-    "j13_tree_parents": """
-        select p.path, coalesce(f.folder, '') as parent from {kb_page} p
-        left join (select distinct source as folder from {kb_page} where doc_id % 2 = 0) f on f.folder = p.source""",
     # windows and top-k
-    "w2_last_change": """
-        select path, ver as last_version from (
-            select path, ver, row_number() over (partition by path order by ver desc) as k from (
-                select path, ver, sha, lag(sha) over (partition by path order by ver) as before from (
-                    select path, 0 as ver, body as sha from {kb_base} union all
-                    select path, 1 as ver, body as sha from {kb_draft} union all
-                    select path, 2 as ver, body as sha from {kb_agent}) v) c
-            where before is null or before <> sha) r where k = 1""",
     "w4_first_thread_per_line": """
         select page_slug, line, id from (
             select page_slug, turn % 7 as line, id, row_number() over (partition by page_slug, turn % 7 order by conv_id, turn) as k
             from {kb_comment}) t where k = 1""",
-    "w5_asset_budget": """
-        select page_id, running <= 2000000 as kept from (
-            select page_id, sum(length(html)) over (order by page_id rows between unbounded preceding and current row) as running
-            from {pages}) x""",
-    "w6_collision_suffix": """
-        select path, source, case when k = 1 then source else concat(source, '-', cast(k as string)) end as name from (
-            select path, source, row_number() over (partition by source order by doc_id) as k from {kb_page}) x""",
     "w7_running_lines": """
         select submission_id, path, sum(additions) over (partition by submission_id order by deletions, path, additions, flag rows between unbounded preceding and current row) as upto
         from {kb_submission_file}""",
     "t1_newest_pages": "select space_id, path, modified_ns from {kb_page} order by modified_ns desc, path limit 12",
     "t2_spaces_in_order": "select id, name, row_number() over (order by region, name) as place from {kb_space}",
-    "t3_page_order": "select path, row_number() over (order by source, lower(path), path) as place from {kb_page}",
-    "t4_changes_newest_first": """
-        select id, status, row_number() over (order by case when status = 'pending' then 0 else 1 end, created_at desc, id desc) as place
-        from {kb_submission} where id % 10 = 1""",
-    "t5_deepest_first": """
-        select dir, row_number() over (order by depth desc, dir) as place from (
-            select distinct source as dir, length(source) as depth from {kb_page}) x""",
-    "t6_mentions": "select id, name from {kb_member} where lower(name) like 'customer#00000%' order by name, id limit 5",
-    "t7_first_concept": "select space_id, min(path) as first_path from {kb_page} group by space_id",
     # set operations
-    "u1_overlay_merge": """
-        select path, origin from (
-            select path, origin, row_number() over (partition by path order by priority) as k from (
-                select path, 'main' as origin, 0 as priority from {kb_base} union all
-                select path, 'draft' as origin, 1 as priority from {kb_draft}) x) y where k = 1""",
     "u2_source_union": """
         select path, 'user' as origin from {kb_draft} union all
         select m.path, 'main' as origin from {kb_base} m where not exists (select 1 from {kb_draft} d where d.path = m.path)""",
-    "u3_hits_appended": """
-        select path, 'keyword' as kind from {kb_page} where doc_id % 5 = 0 union all
-        select path, 'semantic' as kind from {kb_page} where doc_id % 7 = 0 and doc_id % 5 <> 0""",
     "u5_deleted_paths": "select path from {kb_base} except select path from {kb_draft}",
     "u6_changed_paths": "select path from {kb_draft} union select path from {kb_agent}",
     "u7_dirty_paths": "select path from {kb_submission_file} where flag = 'A' union select path from {kb_submission_file} where flag = 'R'",
@@ -114,18 +57,12 @@ SHARED: dict[str, str] = {
         select id, status in ('pending', 'approved', 'rejected') as in_open, status = 'merged' as in_merged from {kb_submission}""",
     "f22_notifications": """
         select id from {kb_notification} where not is_read and kind = 'click' and space is null""",
-    "f17_comment_validity": """
-        select id, length(trim(body)) between 1 and 10000 as body_ok, (parent_id is null) = (turn = 0) as root_ok from {kb_comment}""",
     # sinks as set-based changes
     "k1_upsert_pages": """
         select path, body, 'new' as origin from {kb_draft} union all
         select b.path, b.body, 'old' as origin from {kb_base} b where not exists (select 1 from {kb_draft} d where d.path = b.path)""",
     "k3_insert_or_ignore": """
         select path, min(origin) as origin from (select path, 1 as origin from {kb_base} union all select path, 2 as origin from {kb_agent}) x group by path""",
-    "k4_upsert_keeps_linked_at": """
-        select coalesce(o.id, n.id) as id, coalesce(o.linked, n.linked) as linked_at, n.linked as updated_at
-        from (select id, id * 10 as linked from {kb_space} where id % 2 = 0) o
-        full join (select id, id * 100 as linked from {kb_space} where id % 3 = 0) n on o.id = n.id""",
     "k5_cascade_delete": """
         select id from {kb_comment} c where not (c.parent_id is null and c.resolved)
         and not exists (select 1 from {kb_comment} p where p.id = c.parent_id and p.resolved)""",
@@ -134,37 +71,14 @@ SHARED: dict[str, str] = {
         select c.path from {kb_draft} c join {kb_base} e on e.path = c.path where c.body <> e.body""",
     "k8_rename_prefix": "select case when path like 'src1/%' then concat('moved/', substr(path, 6)) else path end as path from {kb_page}",
     # versioning
-    "g5_status_precedence": """
-        select id, case when id % 7 = 0 then 'discarded' when status = 'merged' then 'merged' when id % 5 = 0 then 'needsResolution' else 'open' end as status
-        from {kb_submission}""",
-    "g7_keep_diff": "select count(*) = 0 as unchanged from (select path, body from {kb_base} except select path, body from {kb_base}) x",
-    "g9_sync_states": """
-        select id, case when flag_r > 0 and flag_n > 0 then 'diverged' when flag_r > 0 then 'behind' when flag_n > 0 then 'ahead' else 'clean' end as state
-        from (select submission_id as id, sum(case when flag = 'R' then 1 else 0 end) as flag_r,
-                     sum(case when flag = 'N' then 1 else 0 end) as flag_n from {kb_submission_file} group by submission_id) x""",
-    "g13_transitions": """
-        select status, count(*) as n, min(id) as first_id, max(id) as last_id from {kb_submission} where id % 3 = 0 group by status""",
     # streaming analogues in batch form
-    "r4_debounced_queries": """
-        select id, user_key from (
-            select id, coalesce(space, '-') as user_key, created_at, lead(created_at) over (partition by coalesce(space, '-') order by created_at, id) as next_at
-            from {kb_notification}) x where next_at is null or next_at > created_at + interval '120' second""",
-    "r5_freshest": """
-        select kind, max(created_at) as last_at, count(*) as n from {kb_notification} group by kind""",
     "r7_unread_by_hour": """
         select kind, date_trunc('hour', created_at) as hour_start, sum(case when not is_read then 1 else 0 end) as unread
         from {kb_notification} group by kind, date_trunc('hour', created_at)""",
     # scalar functions which are the same in both
-    "x13_binary": "select path, position(chr(0) in body) > 0 as is_binary from {kb_page}",
     "x15_file_status": """
         select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'deleted'
                when a.body <> b.body then 'modified' else 'same' end as status
         from {kb_base} a full join {kb_agent} b on a.path = b.path""",
-    "x26_slugs": "select path, substr(path, 1, length(path) - 3) as slug from {kb_page}",
-    "x32_labels": """
-        select submission_id, concat(cast(count(*) as string), case when count(*) = 1 then ' change' else ' changes' end) as label
-        from {kb_submission_file} group by submission_id""",
-    "s22_new_spaces": "select n.id, n.name from {kb_space} n where not exists (select 1 from {kb_space} o where o.name = n.name and o.id % 2 = 0)",
-    "s6_page_by_path": "select space_id, path, length(body) as n from {kb_page} where path = 'src7/7.md'",
     "d7_changed_sources": "select d.path from {kb_draft} d where not exists (select 1 from {kb_base} b where b.path = d.path and b.body = d.body)",
 }

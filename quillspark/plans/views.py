@@ -24,6 +24,19 @@ VIEWS: dict[str, str] = {
             '[n](../src', cast(doc_id % 20 as string), '/', cast((3 * doc_id) % 1300 as string), '.md#x)', chr(10),
             '```', chr(10), '[[decoy', cast(doc_id as string), ']]', chr(10), '```', chr(10), body) as body
         from {kb_page}""",
+    "kb_file": """
+        select lang as space_id, doc_id, case doc_id % 40
+                when 0 then concat(source, '/d', cast(doc_id - doc_id % 40 as string), '/index.md')
+                when 1 then concat(source, '/d', cast(doc_id - doc_id % 40 as string), '/p', cast(doc_id as string), '.html')
+                when 2 then concat(source, '/.h/', cast(doc_id as string), '.md')
+                when 3 then concat('.kb/sources/', cast(doc_id as string), '.MD')
+                when 4 then concat('sources/', cast(doc_id as string), '.txt')
+                else concat(source, '/d', cast(doc_id - doc_id % 40 as string), '/', cast(doc_id as string), '.md') end as path,
+            case doc_id % 3
+                when 0 then concat('---', chr(10), 'title: "Title ', cast(doc_id as string), '"', chr(10), 'tags: [a, b]', chr(10), 'summary: Short ', cast(doc_id as string), chr(10), '---', chr(10), 'Text')
+                when 1 then concat('  # No', chr(10), '# Head ', cast(doc_id as string), chr(10), 'Text')
+                else concat('Text ', cast(doc_id as string)) end as body,
+            source from {documents}""",
     "kb_comment": """
         select concat(cast(conv_id as string), ':', cast(turn as string)) as id, conv_id, turn,
                case when turn = 0 then null else concat(cast(conv_id as string), ':0') end as parent_id,

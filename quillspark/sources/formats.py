@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -148,73 +149,192 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.withColumn("x", run("extension", "content")).select("*", "x.text", "x.error").drop("x")
 
 
+# Limits of a page in bytes, of its Markdown, and of its nodes.
+PAGE_LIMIT, MARKDOWN_LIMIT, NODE_LIMIT = 5 << 20, 2 << 20, 200_000
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}
+
+
 class _Snapshot(HTMLParser):
-    """Markdown of a page's main part."""
+    """Markdown of a page's main parts, or of all of it if it has none."""
 
-    SKIP = ("script", "style", "nav", "header", "footer", "aside", "noscript", "template")
+    SKIP = ("script", "style", "nav", "header", "footer", "aside", "noscript", "template", "svg", "iframe")
 
-    def __init__(self, main: bool):
+    def __init__(self, main: bool, base: str):
         super().__init__(convert_charrefs=True)
-        self.main, self.inside, self.skip = main, not main, 0
+        self.base, self.nodes = base, 0
+        self.main = main
+        self.open: list[tuple[str, bool]] = []  # open elements, and whether each is a main part
+        self.depth = self.skip = self.pre = 0
         self.out: list[str] = []
         self.title: list[str] = []
-        self.in_title, self.href = False, None
+        self.heading: list[str] | None = None
+        self.in_title = False
+        self.hrefs: list[tuple[str, int]] = []
+        self.lists: list[list] = []
+        self.rows: list[list[str]] | None = None
+        self.quote = 0
+
+    def _count(self):
+        self.nodes += 1
+        if self.nodes > NODE_LIMIT:
+            raise ValueError("page has too many nodes")
+
+    def _url(self, address: str | None) -> str:
+        try:
+            return urljoin(self.base, (address or "").strip())
+        except ValueError:
+            return (address or "").strip()
 
     def handle_starttag(self, tag, attrs):
+        self._count()
         a = dict(attrs)
-        if tag == "title":
+        if tag == "base" and a.get("href"):
+            self.base = self._url(a["href"])
+        if tag not in _VOID:
+            is_main = tag in ("article", "main") or a.get("role") == "main"
+            self.open.append((tag, is_main))
+            self.depth += is_main
+        if tag == "title" and not self.title:
             self.in_title = True
         elif tag in self.SKIP:
             self.skip += 1
-        elif tag in ("article", "main") or a.get("role") == "main":
-            self.inside = True
         elif re.fullmatch("h[1-6]", tag):
             self._put("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in ("p", "div", "section", "ul", "ol", "table", "tr", "blockquote"):
+        elif tag in ("p", "div", "section", "article", "main", "figure", "dl"):
             self._put("\n\n")
+        elif tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+            self._put("\n\n" if len(self.lists) == 1 else "")
         elif tag == "li":
-            self._put("\n- ")
+            kind = self.lists[-1] if self.lists else ["ul", 0]
+            kind[1] += 1
+            self._put("\n" + "  " * max(0, len(self.lists) - 1) + (f"{kind[1]}. " if kind[0] == "ol" else "- "))
+        elif tag == "blockquote":
+            self.quote += 1
+            self._put("\n\n> ")
         elif tag == "br":
             self._put("\n")
+        elif tag == "hr":
+            self._put("\n\n---\n\n")
+        elif tag == "pre":
+            self.pre += 1
+            self._put("\n\n```\n")
+        elif tag == "code" and not self.pre:
+            self._put("`")
+        elif tag in _MARKS and not self.pre:
+            self._put(_MARKS[tag])
         elif tag == "a":
-            self.href = a.get("href")
-            self._put("[")
+            self.hrefs.append((self._url(a.get("href")) if a.get("href") else "", len(self.out)))
+            self._put("[" if a.get("href") else "")
+        elif tag == "img" and a.get("src"):
+            self._put(f"![{a.get('alt') or ''}]({self._url(a['src'])})")
+        elif tag == "table":
+            self._put("\n\n")
+            self.rows = []
+        elif tag == "tr" and self.rows is not None:
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows is not None:
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append("")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in _VOID or not any(t == tag for t, _ in self.open):
+            return
+        while self.open:
+            last, is_main = self.open.pop()
+            self._close(last)
+            self.depth -= is_main
+            if last == tag:
+                break
+
+    def _close(self, tag):
         if tag == "title":
             self.in_title = False
         elif tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag == "a":
-            self._put(f"]({self.href})" if self.href else "]")
+        elif tag == "a" and self.hrefs:
+            address, _ = self.hrefs.pop()
+            self._put(f"]({address})" if address else "")
+        elif tag == "pre":
+            self.pre = max(0, self.pre - 1)
+            self._put("\n```\n\n")
+        elif tag == "code" and not self.pre:
+            self._put("`")
+        elif tag in _MARKS and not self.pre:
+            self._put(_MARKS[tag])
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+            self._put("" if self.lists else "\n\n")
+        elif tag == "blockquote":
+            self.quote = max(0, self.quote - 1)
+            self._put("\n\n")
+        elif tag == "table" and self.rows is not None:
+            rows, self.rows = [r for r in self.rows if r], None
+            if rows:
+                width = max(map(len, rows))
+                lines = ["| " + " | ".join(_cell(re.sub(r"\s+", " ", c).strip()) for c in r + [""] * (width - len(r))) + " |" for r in rows]
+                self._put("\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) + "\n\n")
 
     def handle_data(self, data):
+        self._count()
         if self.in_title:
             self.title.append(data)
         else:
-            self._put(re.sub(r"\s+", " ", data))
+            self._put(data if self.pre else re.sub(r"\s+", " ", data))
 
     def _put(self, s):
-        if self.inside and not self.skip:
+        if not s or self.skip or (self.main and not self.depth):
+            return
+        if self.rows and self.rows[-1]:
+            self.rows[-1][-1] += s
+        elif self.rows is None:
             self.out.append(s)
 
 
-def html_snapshot(html: str | None) -> tuple[str, str]:
-    """Title and Markdown of a page; navigation, scripts and the like are left out."""
+def html_snapshot(html: str | None, url: str | None = None) -> tuple[str, str]:
+    """Title and Markdown of a page: its main parts with absolute addresses, without navigation, scripts and the like.
+
+    Null is an empty page. Raises ValueError beyond the limits of bytes and nodes.
+    """
     html = html or ""
-    p = _Snapshot(bool(re.search(r"<(article|main)\b|role=[\"']?main", html, re.I)))
+    if len(html.encode("utf-8", "surrogatepass")) > PAGE_LIMIT:
+        raise ValueError("page is too large")
+    p = _Snapshot(bool(re.search(r"<(article|main)\b|role=[\"']?main\b", html, re.I)), url or "")
     p.feed(html)
-    body = re.sub(r"\n{3,}", "\n\n", "".join(p.out)).strip()
-    return "".join(p.title).strip(), body
+    p.close()
+    for tag, _ in reversed(p.open):
+        p._close(tag)
+    body = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(p.out))).strip()
+    if len(body.encode("utf-8", "surrogatepass")) > MARKDOWN_LIMIT:
+        raise ValueError("snapshot is too large")
+    return re.sub(r"\s+", " ", "".join(p.title)).strip(), body
 
 
 def snapshots(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, markdown) of a table of HTML pages; without a title the host is taken."""
+    """(page_id, url, title, markdown, error) of HTML pages; without a title the host is taken, beyond the limits there is an error only.
+
+    A page longer than the limit never reaches Python.
+    """
 
-    @F.pandas_udf("title string, markdown string")
-    def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([html_snapshot(h) for h in html], columns=["title", "markdown"])
+    @F.pandas_udf("title string, markdown string, error string")
+    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, u in zip(html, url, strict=True):
+            try:
+                out.append((*html_snapshot(h, u), None))
+            except ValueError as problem:
+                out.append((None, None, str(problem)))
+        return pd.DataFrame(out, columns=["title", "markdown", "error"])
 
-    x = pages.withColumn("x", run("html"))
+    large = F.coalesce(F.octet_length("html") > PAGE_LIMIT, F.lit(False))
+    x = pages.withColumn("x", run(F.when(~large, F.col("html")), "url"))
     title = F.when(F.col("x.title") != "", F.col("x.title")).otherwise(F.try_parse_url("url", F.lit("HOST")))
-    return x.select("page_id", "url", title.alias("title"), F.col("x.markdown").alias("markdown"))
+    error = F.when(large, "page is too large").otherwise(F.col("x.error"))
+    return x.select("page_id", "url", F.when(error.isNull(), title).alias("title"), F.when(error.isNull(), F.col("x.markdown")).alias("markdown"), error.alias("error"))
