@@ -21,7 +21,7 @@ def join_by_key(rows: DataFrame, facts: DataFrame, keys: list[str], total: int)
     of all ``total`` rows (at most 50,000 keys, whatever the input) are
     broadcast; rows of the others are shuffled. ``rows`` is read twice.
     """
-    most = max(1000, total // 50_000)
+    most = max(100, total // 50_000)
     hot = F.broadcast(facts.filter(F.col("n") > most).drop("n"))
     cold = facts.filter(F.col("n") <= most).drop("n")
     rest = rows.join(hot.select(*keys), keys, "left_anti")

@@ -164,7 +164,7 @@ def fit(
                     langs.append(lang)
                     hs.append(h)
                     at.append(i.astype(np.uint16).tobytes())
-                    tf.append(np.minimum(c[i], 65535).astype(np.uint16).tobytes())
+                    tf.append(c[i].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_pydict(
                 {
                     "lang": pa.array(langs, pa.string()),
@@ -181,7 +181,7 @@ def fit(
 
 def _fitted(got: list, k: int) -> LanguageModel:
     df = np.zeros(DIM)
-    pairs = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["tf"], np.uint16)) for r in got]
+    pairs = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["tf"], np.uint32)) for r in got]
     for at, _ in pairs:
         df[at] += 1
     idf = (np.log((1 + len(pairs)) / (1 + df)) + 1).astype(np.float32)

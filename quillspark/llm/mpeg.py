@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +104,59 @@ def crc16(data: bytes) -> int:
     return c
 
 
+# Fixed values of Layer II: (bits of a subband's allocation, subbands) in order, by table.
+_ALLOCATION = {
+    "a": ((4, 11), (3, 12), (2, 4)),
+    "b": ((4, 11), (3, 12), (2, 7)),
+    "c": ((4, 2), (3, 6)),
+    "d": ((4, 2), (3, 10)),
+    "low": ((4, 4), (3, 7), (2, 19)),
+}
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of the allocation of each subband of a Layer II frame."""
+    if h.version != 1:
+        name = "low"
+    else:
+        each = h.kbps // (1 if h.mode == 3 else 2)
+        few = "d" if h.rate == 32000 else "c"
+        name = few if each <= 48 else "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for bits, n in _ALLOCATION[name] for _ in range(n)]
+
+
+def _crc_bits(data: bytes, begin: int, end: int, c: int = 0xFFFF) -> int:
+    """CRC-16 of the bits from ``begin`` up to ``end``."""
+    for i in range(begin, end):
+        bit = data[i >> 3] >> (7 - (i & 7)) & 1
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ bit else 0)) & 0xFFFF
+    return c
+
+
+def _protected_layer2(h: Header, frame: bytes) -> int | None:
+    """Where the protected bits of a Layer II frame end: behind the scale-factor selection; None if the frame is too short."""
+    channels, at, used = (1 if h.mode == 3 else 2), 48, 0
+    bound = 4 * (h.extension + 1) if h.mode == 1 else 32
+    for band, bits in enumerate(_allocation(h)):
+        for _ in range(channels if band < bound else 1):
+            if at + bits > 8 * len(frame):
+                return None
+            value = int.from_bytes(frame[at >> 3 : (at >> 3) + 2].ljust(2, b"\0"), "big") >> (16 - (at & 7) - bits) & (1 << bits) - 1
+            used += bool(value) * (1 if band < bound else channels)
+            at += bits
+    return at + 2 * used if at + 2 * used <= 8 * len(frame) else None
+
+
 def checksum(h: Header, frame: bytes) -> bool | None:
-    """Whether the frame's CRC-16 holds; None if it has none or is Layer II, whose protected bits depend on its tables."""
-    if not h.protected or h.layer == 2:
+    """Whether the frame's CRC-16 holds; None if it has none."""
+    if not h.protected:
         return None
     stored = int.from_bytes(frame[4:6], "big")
     if h.layer == 3:
         return stored == crc16(frame[2:4] + frame[6 : 6 + h.side])
+    if h.layer == 2:
+        end = _protected_layer2(h, frame)
+        return end is not None and stored == _crc_bits(frame, 48, end, _crc_bits(frame, 16, 32))
     bound = 4 * (h.extension + 1) if h.mode == 1 else 32
     bits = 4 * (bound * (1 if h.mode == 3 else 2) + (32 - bound))
     return stored == crc16(frame[2:4] + frame[6 : 6 + bits // 8])
@@ -346,9 +393,16 @@ def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
     return kept.mapInArrow(run, f"{fields}, samples long, seconds double, frame_offsets array<long>, crc_bad long, feature string")
 
 
+def level_of(payload: bytes) -> str:
+    """Mean and root mean square of the payload as unsigned 8-bit samples, and how often it crosses the middle."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"mean={x.sum() / len(x):.4f} rms={(int((x * x).sum()) / len(x)) ** 0.5:.4f} crossings={crossings}"
+
+
 _DIGEST = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, feature string"
+    "media_bytes long, media_sha256 string, feature string, samples long, seconds double, frame_offsets array<long>"
 )
 
 
@@ -356,7 +410,7 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text stored as MPEG audio, read back and described."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
         for b in batches:
             out = []
             for x in b.column("media"):
@@ -370,13 +424,16 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
                         zlib.crc32(payload[-64:]),
                         len(media),
                         hashlib.sha256(media).hexdigest(),
-                        feature_of(s),
+                        f"{feature_of(s)} {level_of(payload)}",
+                        s.samples,
+                        s.seconds,
+                        s.offsets,
                     )
                 )
-            cols = [pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * 6, kinds, strict=True)]
+            cols = [pa.array(v, k) for v, k in zip(zip(*out) if out else [[]] * 9, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), *cols],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [f.split()[0] for f in _DIGEST.split(", ")],
             )
 
     return with_media(read_table(spark, sf_dir, "documents")).mapInArrow(digest, _DIGEST)

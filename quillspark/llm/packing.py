@@ -267,7 +267,12 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, **columns) -> DataFrame:
-    """The pieces of all documents with sequence_id and offset; a repeated row is packed once for each row."""
+    """The pieces of all documents with sequence_id and offset.
+
+    Null and empty texts are the end id alone. A repeated row is packed once
+    for each row, and a null doc_id stays null. An empty table gives an empty
+    result.
+    """
     # numbered after writing, so that the numbers are those of files and do not change
     pieces = materialize(pieces_of(docs, vocabulary, capacity, **columns), "pieces").withColumn("key", F.monotonically_increasing_id())
     pieces = materialize(pieces, "keyed-pieces")

@@ -13,9 +13,8 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,9 @@ _ASSIGNED = re.compile(r"""[:=]\s{0,4}["'`]?([^\s"'`,;<>(){}\[\]|]{8,})""")
 #: What is assigned once more inside an assigned value, as in query strings; the name before a further = is none.
 _INNER = re.compile(r"[?&=]([^?&=]{8,}+(?:=+(?=[?&]|$))?)(?!=)")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=.-]{16,}")
+#: The body of a key in armour, over its lines.
+_ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{16,}?)\s*-----END ")
+_SPACE = re.compile(r"\s+")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 
@@ -54,36 +56,50 @@ WORDS = (
 ).split()
 
 
-@lru_cache(1)
-def _dictionary() -> tuple[frozenset[str], int]:
-    words = frozenset(w for w in WORDS if len(w) >= 3)
-    return words, max(map(len, words))
+#: Words of a corpus which make a dictionary, most frequent first.
+DICTIONARY_WORDS = 20_000
 
 
-def coverage(value: str) -> float:
-    """The share of the value's characters which dictionary words cover, longest match first."""
-    words, most = _dictionary()
-    low, i, got = value.lower(), 0, 0
-    while i < len(low):
-        for n in range(min(most, len(low) - i), 2, -1):
-            if low[i : i + n] in words:
-                got += n
-                i += n
-                break
-        else:
-            i += 1
-    return got / max(1, len(value))
+class Lexicon:
+    """Dictionary words for coverage, and how likely letter pairs are in them."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.words = frozenset(w.lower() for w in [*WORDS, *words] if len(w) >= 3)
+        self.most = max(map(len, self.words))
+        c = np.full((27, 27), 0.2)
+        for w in sorted(self.words):
+            for x, y in zip(f" {w}", f"{w} ", strict=True):
+                c[_letter(x), _letter(y)] += 1
+        self.pairs = np.log(c / c.sum(1, keepdims=True))
+
+    def coverage(self, value: str) -> float:
+        """The share of the value's characters which words cover, longest match first."""
+        low, i, got = value.lower(), 0, 0
+        while i < len(low):
+            for n in range(min(self.most, len(low) - i), 2, -1):
+                if low[i : i + n] in self.words:
+                    got += n
+                    i += n
+                    break
+            else:
+                i += 1
+        return got / max(1, len(value))
 
 
-@lru_cache(1)
-def _pairs() -> np.ndarray:
-    """Log probabilities of letter pairs in the word list, smoothed."""
-    c = np.full((27, 27), 0.2)
-    at = lambda ch: ord(ch) - 96 if "a" <= ch <= "z" else 0
-    for w in WORDS:
-        for a, b in zip(f" {w}", f"{w} ", strict=True):
-            c[at(a), at(b)] += 1
-    return np.log(c / c.sum(1, keepdims=True))
+def _letter(ch: str) -> int:
+    return ord(ch) - 96 if "a" <= ch <= "z" else 0
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_WORDS) -> list[str]:
+    """The ``size`` words that most texts have, of 3 to 20 letters, from all of them; ties by the word.
+
+    Each text counts a word once. Null and empty texts have none. Only the
+    dictionary, of bounded size, reaches the driver.
+    """
+    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"))
+    each = docs.select(F.explode(F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 20))).alias("w"))
+    top = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "w").limit(size)
+    return [r["w"] for r in top.collect()]
 
 
 def _class(ch: str) -> int:
@@ -96,22 +112,21 @@ FEATURES = (
 )
 
 
-def features(value: str, before: str, after: str, path: str | None, assigned: bool) -> list[float]:
+def features(value: str, before: str, after: str, path: str | None, assigned: bool, lexicon: Lexicon) -> list[float]:
     n = len(value)
     kinds = [_class(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
     counts = [value.count(c) for c in set(value)]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
-    table = _pairs()
-    at = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in value.lower()]
-    pairs = float(np.mean([table[a, b] for a, b in zip(at, at[1:], strict=False)])) if n > 1 else 0.0
+    at = np.array([_letter(c) for c in value.lower()])
+    pairs = float(lexicon.pairs[at[:-1], at[1:]].mean()) if n > 1 else 0.0
     low = value.lower()
     beside = {w.lower() for w in _WORD.findall(before)[-4:]} | {w.lower() for w in _WORD.findall(after)[:2]}
     runs = [len(r) for r in re.findall("[A-Za-z]+", value)]
     where = {w.lower() for w in _WORD.findall(path or "")}
     return [
         n, share[2], share[1], share[3], sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, entropy, pairs,
-        coverage(value), float(all(c in "0123456789abcdef" for c in low)), len(counts) / n, float(any(w in low for w in IN_VALUE)),
+        lexicon.coverage(value), float(all(c in "0123456789abcdef" for c in low)), len(counts) / n, float(any(w in low for w in IN_VALUE)),
         float(any(s in w for w in beside for s in NEAR_SECRET)), float(any(w in beside for w in NEAR_OTHER)),
         float(bool(where & set(IN_PATH))), float(assigned), max(runs, default=0) / n, value.count(".") / n,
     ]
@@ -122,6 +137,7 @@ class Forest:
     """Trees as arrays: feature (-1: leaf), threshold, the left child (the right one follows it), and the share of secrets."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    lexicon: Lexicon
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -169,65 +185,108 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
     return np.array(feature), np.array(cut), np.array(left), np.array(share)
 
 
-def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = SEED) -> Forest:
+def train(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, trees: int = TREES, seed: int = SEED) -> Forest:
     """Trees on bootstrap samples, a few features tried at each split; equal input gives an equal forest."""
     rng = np.random.default_rng(seed)
     if not len(y):
-        return Forest([])
-    return Forest([_tree(x[rows], y[rows], rng) for rows in (rng.integers(0, len(y), len(y)) for _ in range(trees))])
+        return Forest([], lexicon)
+    return Forest([_tree(x[rows], y[rows], rng) for rows in (rng.integers(0, len(y), len(y)) for _ in range(trees))], lexicon)
 
 
 _SCHEMA = "value string, before string, after string, path string, assigned boolean, label int"
 
 
-def example_findings(n: int = 1500, seed: int = 5) -> list[tuple]:
-    """Labelled findings made by rule, for where no reviewed ones are at hand: secrets and their look-alikes."""
+def example_findings(n: int = 2400, seed: int = 5, words: list[str] = WORDS) -> list[tuple]:
+    """Labelled findings made by rule, for where no reviewed ones are at hand: secrets and their look-alikes.
+
+    Secrets and look-alikes both occur assigned and by themselves, so that
+    neither is told by the pattern which found it.
+    """
     r = random.Random(seed)
     hexa = lambda k: "".join(r.choices("0123456789abcdef", k=k))
     mixed = lambda k, more="": "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more, k=k))
-    word = lambda: r.choice(WORDS)
+    word = lambda: r.choice(words)
     prose = lambda k: " ".join(word() for _ in range(k))
-    path = lambda: r.choice(("src/app/main.py", "deploy/prod.yaml", "web/config.js", "src1", "src9", "notes.md"))
+    path = lambda: r.choice(("src/app/main.py", "deploy/prod.yaml", "web/config.js", "src1", "src9", "notes.md", None))
     mute = lambda: r.choice(("tests/test_api.py", "docs/examples/setup.md", "fixtures/mock.json"))
+    name = lambda: r.choice(("token", "secret", "api_key", "password", "access_key", "client_secret", "auth_token", "private_key", "TOKEN", "PASSWD", "login"))
+    phrase = lambda: r.choice(("Authorization: Bearer", "the secret key is", "use token", "my password", "log in with the access key", "api key", "auth", "client secret"))
+
+    def secret() -> str:
+        k = r.randrange(8)
+        if k == 0:
+            return hexa(r.choice((32, 40, 48, 64, 128)))
+        if k == 1:
+            return mixed(r.randint(16, 60))
+        if k == 2:
+            return mixed(r.choice((40, 88, 400, 900)), "+/") + r.choice(("", "=", "=="))
+        if k == 3:
+            return r.choice(("AKIA", "ghp_", "sk_live_", "xoxb-")) + mixed(r.randint(16, 36))
+        if k == 4:
+            return ".".join(mixed(r.randint(20, 60), "_-") for _ in range(3))
+        if k == 5:
+            return mixed(r.randint(10, 16), "!#%*")
+        if k == 6:
+            return "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(20, 40)))
+        return mixed(r.randint(20, 44)).upper()
+
+    def other() -> tuple[str, str, str | None, bool]:
+        k = r.randrange(14)
+        if k == 0:
+            return hexa(40), f"{prose(2)} {r.choice(('commit', 'revision', 'sha'))} ", path(), False
+        if k == 1:
+            return hexa(r.choice((32, 64))), f"{r.choice(('md5', 'checksum', 'digest', 'hash', 'sha256', 'etag'))}: ", path(), True
+        if k == 2:
+            return "-".join(hexa(x) for x in (8, 4, 4, 4, 12)), f"{prose(1)} {r.choice(('id', 'uuid', 'request id'))} = ", path(), True
+        if k == 3:
+            fake = r.choice(("your_api_key_here", "changeme_please", "x" * r.randint(8, 30), "example_token_value", "placeholder_secret", "<your-token>", "dummy_password1", "none_undefined"))
+            return fake, f"{name()} = ", r.choice((mute(), path())), True
+        if k == 4:
+            return "".join(w.title() for w in (word(), word(), word(), word())), f"{r.choice((word(), name()))} = ", path(), True
+        if k == 5:
+            return r.choice("_-.").join((word(), word(), word())), f"{r.choice((word(), name()))}: ", path(), True
+        if k == 6:
+            return "".join(r.choices("0123456789", k=r.choice((10, 12, 16, 20)))), f"{prose(2)} {r.choice(('card', 'order', 'invoice', 'phone', word()))} ", path(), r.random() < 0.3
+        if k == 7:
+            return f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com", f"{word()}: ", path(), True
+        if k == 8:
+            return f"//{word()}.{word()}.org/{word()}/{word()}{r.randint(1, 9)}", "https:", path(), True
+        if k == 9:
+            return r.choice((hexa(40), mixed(24))), f"{prose(1)} {name()} = ", mute(), True
+        if k == 10:
+            return f"{r.choice(('config', 'os.environ', 'env', 'settings'))}.{word()}_{r.choice(('key', 'token', 'secret'))}", f"{name()} = ", path(), True
+        if k == 11:
+            return f"{word()}/{word()}/{word()}{r.randint(1, 99)}/{word()}", f"{r.choice(('file', 'path', 'url', word()))} ", path(), False
+        if k == 12:
+            return f"{word()}-{word()}-{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.choice(('version', 'build', word()))} ", path(), r.random() < 0.5
+        return mixed(r.randint(16, 40)), f"{prose(2)} {r.choice(('checksum', 'hash', 'etag', 'build', 'revision', 'digest'))} ", path(), r.random() < 0.5
+
     out = []
     for _ in range(n // 2):
-        name = r.choice(("token", "secret", "api_key", "password", "access_key", "client_secret", "auth_token", "private_key", "TOKEN"))
-        value = r.choice((lambda: hexa(r.choice((32, 40, 64))), lambda: mixed(r.randint(16, 48)), lambda: mixed(40, "+/"), lambda: "AKIA" + mixed(16).upper(), lambda: mixed(r.randint(10, 16), "!#%*")))()
-        value = value.upper() if r.random() < 0.15 else value
-        out.append((value, f"{prose(3)} {name} = ", f" {prose(3)}", path(), True, 1))
-        kind = r.randrange(10)
-        if kind == 0:
-            row = (hexa(40), f"{prose(2)} {r.choice(('commit', 'revision', 'sha'))} ", prose(2), path(), False)
-        elif kind == 1:
-            row = (hexa(r.choice((32, 64))), f"{r.choice(('md5', 'checksum', 'digest', 'hash'))}: ", prose(2), path(), True)
-        elif kind == 2:
-            row = ("-".join(hexa(k) for k in (8, 4, 4, 4, 12)), f"{prose(1)} {r.choice(('id', 'uuid'))} = ", prose(2), path(), True)
-        elif kind == 3:
-            row = (r.choice(("your_api_key_here", "changeme_please", "xxxxxxxxxxxxxxxx", "example_token_value", "placeholder_secret")), "token = ", prose(2), mute(), True)
-        elif kind == 4:
-            row = ("".join(w.title() for w in (word(), word(), word(), word())), f"{word()} = ", prose(2), path(), True)
-        elif kind == 5:
-            row = ("_".join((word(), word(), word())), f"{word()}: ", prose(2), path(), True)
-        elif kind == 6:
-            row = ("".join(r.choices("0123456789", k=16)), prose(3), prose(2), path(), False)
-        elif kind == 7:
-            row = (f"{word()}.{r.randint(1, 99)}@mail{r.randint(1, 9)}.example.com", f"{word()}: ", prose(2), path(), True)
-        elif kind == 8:
-            row = (f"//{word()}.{word()}.org/{word()}/{word()}{r.randint(1, 9)}", "https:", prose(2), path(), True)
-        else:
-            row = (hexa(40), f"{prose(1)} token = ", prose(2), mute(), True)
-        out.append((*row, 0))
+        assigned = r.random() < 0.6
+        value = secret()
+        sure = value[:4] in ("AKIA", "ghp_", "sk_l", "xoxb")
+        before = f"{prose(3)} {name()}{r.choice((' = ', ': ', '='))}{r.choice(('', chr(34), chr(39)))}" if assigned else f"{prose(3)} " if sure and r.random() < 0.5 else f"{prose(2)} {phrase()} "
+        out.append((value, before, f" {prose(3)}", path(), assigned, 1))
+        value, before, where, assigned = other()
+        out.append((value, before, f" {prose(2)}", where, assigned, 0))
     return out
 
 
-def fit(findings: DataFrame | list[tuple]) -> Forest:
-    """The forest of labelled findings (value, before, after, path, assigned, label); at most ``FIT_FINDINGS``, by hash."""
+def fit(findings: DataFrame | list[tuple], lexicon: Lexicon | None = None) -> Forest:
+    """The forest of labelled findings (value, before, after, path, assigned, label); at most ``FIT_FINDINGS``, by hash.
+
+    label is 1 for a secret, 0 for a false positive; before and after are the
+    text around the value, path the file it is in. Rows without a value or a
+    label teach nothing; without any finding nothing is a secret.
+    """
+    lexicon = lexicon or Lexicon()
     if isinstance(findings, DataFrame):
         usable = findings.filter("value is not null and value != '' and label is not null")
         rows = usable.select(*[c.split()[0] for c in _SCHEMA.split(", ")]).orderBy(F.xxhash64("value", "before", "after"), "value").limit(FIT_FINDINGS)
         findings = [tuple(r) for r in rows.collect()]
-    x = np.array([features(v, b or "", a or "", p, bool(s)) for v, b, a, p, s, _ in findings], float).reshape(-1, len(FEATURES))
-    return train(x, np.array([y for *_, y in findings], float))
+    x = np.array([features(v, b or "", a or "", p, bool(s), lexicon) for v, b, a, p, s, _ in findings], float).reshape(-1, len(FEATURES))
+    return train(x, np.array([y for *_, y in findings], float), lexicon)
 
 
 def candidates(text: str | None) -> list[tuple[int, int, bool]]:
@@ -239,7 +298,7 @@ def candidates(text: str | None) -> list[tuple[int, int, bool]]:
     if not text:
         return []
     taken = [m.span(1) for m in _ASSIGNED.finditer(text)]
-    found = [(a, b, True) for a, b in taken]
+    found = [(a, b, True) for a, b in taken] + [(*m.span(1), True) for m in _ARMOUR.finditer(text)]
     for a, b in taken:
         found += [(a + m.start(1), a + m.end(1), True) for m in _INNER.finditer(text[a:b])]
     k = 0
@@ -273,11 +332,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _FOUND = "doc_id long, first int, last int, assigned boolean, probability double, is_secret boolean, value_sha256 string"
 
 
-def _judged(text: str | None, path: str | None, forest: Forest) -> list[tuple[int, int, bool, float]]:
+def judged_spans(text: str | None, path: str | None, forest: Forest) -> list[tuple[int, int, bool, float]]:
     found = candidates(text)
     if not found:
         return []
-    x = np.array([features(text[a:b], text[max(0, a - 48) : a], text[b : b + 24], path, s) for a, b, s in found])
+    x = np.array([features(_SPACE.sub("", text[a:b]), text[max(0, a - 48) : a], text[b : b + 24], path, s, forest.lexicon) for a, b, s in found])
     return [(a, b, s, float(p)) for (a, b, s), p in zip(found, forest.predict(x), strict=True)]
 
 
@@ -295,7 +354,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             rows = []
             for doc, text, path in zip(*(b.column(i) for i in range(3)), strict=True):
                 text = text.as_py()
-                for first, last, assigned, p in _judged(text, path.as_py(), known.value):
+                for first, last, assigned, p in judged_spans(text, path.as_py(), known.value):
                     rows.append((doc.as_py(), first, last, assigned, p, p >= threshold, hashlib.sha256(text[first:last].encode("utf-8", "surrogatepass")).hexdigest()))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64(), pa.bool_(), pa.string())
             cols = [pa.array(v, k) for v, k in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)]
@@ -309,7 +368,11 @@ MASK = "[SECRET]"
 
 
 def masked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each secret in the text column replaced by ``MASK``; all other columns and rows as they are."""
+    """``docs`` with each secret in the text column replaced by ``MASK``; all other columns and rows as they are.
+
+    Null and empty texts stay, a null path counts as no path, overlapping
+    secrets are masked as one. An empty table stays empty.
+    """
     known = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +380,7 @@ def masked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
             out = []
             for text, path in zip(b.column(text_col), b.column(path_col), strict=True):
                 text = text.as_py()
-                secret = [(first, last) for first, last, _, p in _judged(text, path.as_py(), known.value) if p >= threshold]
+                secret = [(first, last) for first, last, _, p in judged_spans(text, path.as_py(), known.value) if p >= threshold]
                 for first, last in reversed(_merged(secret)):
                     text = text[:first] + MASK + text[last:]
                 out.append(text)
@@ -326,6 +389,12 @@ def masked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
     return docs.mapInArrow(run, docs.schema)
 
 
+def trained_for(docs: DataFrame, text_col: str = "text") -> Forest:
+    """A forest of :func:`example_findings` whose dictionary and letter pairs are those of ``docs``, in all their languages."""
+    return fit(example_findings(), Lexicon(corpus_words(docs, text_col)))
+
+
 def op2_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates in all documents with the forest's verdict."""
-    return scan(read_table(spark, sf_dir, "documents"), fit(example_findings()))
+    """Candidates in all documents with the forest's verdict; the dictionary is that of the documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    return scan(docs, trained_for(docs))

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from quillspark.llm.common import materialize, read_table, shared_dir
 
@@ -59,6 +60,14 @@ class SlotMap:
         rows = table.filter(F.col("version") == version).orderBy("virtual_slot").collect()
         return cls(int(version), rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
+    @classmethod
+    def newest(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The newest stored version; None if there is no table yet."""
+        try:
+            return cls.load(spark, path)
+        except AnalysisException:
+            return None
+
     def rebalance(self, weights: dict[int, int], n_shards: int | None = None) -> SlotMap:
         """The next version, with shard weights near equal.
 
@@ -135,14 +144,16 @@ def _smoothed(shards: list[int], weights: dict[int, int], n: int) -> list[int]:
 def slotted(df: DataFrame, id_col: str, text_col: str, n_slots: int = N_SLOTS) -> DataFrame:
     """id, size (UTF-8 bytes and 16), text_crc32 and virtual slot of each record.
 
-    Null ids all hash to one slot; null texts have size 16 and the crc32 of an empty text, 0.
-    A repeated row is a record of its own and shares the slot of its id.
+    A record is hashed by its id and the crc32 of its text, so rows without an
+    id, and texts which share one, spread over the slots. Null texts have size
+    16 and the crc32 of an empty text, 0. Rows equal in both share a slot.
     """
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")))
     return df.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        crc.alias("text_crc32"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("string"), crc), F.lit(n_slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -156,6 +167,10 @@ def shard(
 ) -> DataFrame:
     """Assign each record to a shard so that the shards' bytes are near equal.
 
+    The newest map stored at ``map_path`` is edited, slots moving only as far
+    as balance needs, and saved as the next version if it changed; without a
+    stored map, version 1 deals the slots round robin.
+
     Returns doc_id, size, text_crc32, virtual_slot, shard, map_version and
     slot, the record's place within its shard, gapless from 0. Texts are read
     once and never shuffled. Only slot totals (``n_slots`` rows, whatever the
@@ -169,10 +184,17 @@ def shard(
     rows = materialize(slotted(df, id_col, text_col, n_slots), "slotted")
     totals = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
-    first = SlotMap.initial(n_slots, n_shards)
-    first.save(spark, path)
-    slot_map = first.rebalance({r["virtual_slot"]: r["bytes"] for r in totals})
-    slot_map.save(spark, path)
+    stored = SlotMap.newest(spark, path)
+    if stored is None:
+        stored = SlotMap.initial(n_slots, n_shards)
+        stored.save(spark, path)
+    if len(stored.shards) != n_slots:
+        raise ValueError(f"the stored map has {len(stored.shards)} slots")
+    slot_map = stored.rebalance({r["virtual_slot"]: r["bytes"] for r in totals}, n_shards)
+    if (slot_map.shards, slot_map.n_shards) == (stored.shards, stored.n_shards):
+        slot_map = stored
+    else:
+        slot_map.save(spark, path)
     counts = {r["virtual_slot"]: r["n"] for r in totals}
     at = [0] * n_shards
     placed = []

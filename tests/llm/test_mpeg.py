@@ -75,3 +75,32 @@ def test_query_columns(spark):
         assert mpeg.read(bytes(r["media"])) == mpeg.payload_of(text)[1]
         assert r["n_bytes"] == len(text.encode()) and r["crc_bad"] == 0
     assert mpeg.with_media(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mode", [0, 1, 3])
+def test_layer_2_checksums(mode):
+    """A frame whose allocation and selection are made bit by bit, and its CRC by long division."""
+    import random
+
+    r = random.Random(mode)
+    head = bytes((0xFF, 0xFC, 0x80, mode << 6 | (1 << 4 if mode == 1 else 0)))  # 128 kbit/s, 44.1 kHz, protected
+    channels, bound = (1 if mode == 3 else 2), (8 if mode == 1 else 32)
+    nbal = [4] * 11 + [3] * 12 + ([2] * 4 if mode != 3 else [2] * 7)  # one channel of 128 kbit/s has the larger table
+    bits, used = "", 0
+    for band, n in enumerate(nbal):
+        for _ in range(channels if band < bound else 1):
+            v = r.randrange(1 << n)
+            bits += f"{v:0{n}b}"
+            used += bool(v) * (1 if band < bound else channels)
+    bits += "".join(r.choice("01") for _ in range(2 * used))
+    protected = f"{int.from_bytes(head[2:], 'big'):016b}" + bits
+    c = 0xFFFF
+    for b in protected:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ int(b) else 0)) & 0xFFFF
+    h = mpeg.header_of(head)
+    body = bits + "".join(r.choice("01") for _ in range(8 * (h.size - 6) - len(bits)))
+    frame = head + c.to_bytes(2, "big") + int(body, 2).to_bytes(h.size - 6, "big")
+    assert mpeg.checksum(h, frame) is True
+    assert mpeg.checksum(h, frame[:7] + bytes((frame[7] ^ 16,)) + frame[8:]) is False
+    s = mpeg.parse(frame * 3)
+    assert (len(s.offsets), s.crc_good, s.crc_bad, s.samples) == (3, 3, 0, 3 * 1152)

@@ -1,5 +1,8 @@
 import zlib
 
+import pytest
+
+from quillspark.llm import sharding
 from quillspark.llm.sharding import SlotMap, shard
 
 
@@ -38,3 +41,29 @@ def test_odd_rows(odd_docs, no_docs):
         places = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert places == list(range(len(places)))
     assert shard(no_docs, 3).count() == 0
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(3000)], "doc_id long, text string")
+    first = {r["doc_id"]: r for r in sharding.shard(docs, 8, n_slots=512, map_path=path).collect()}
+    again = {r["doc_id"]: r for r in sharding.shard(docs, 8, n_slots=512, map_path=path).collect()}
+    assert {r["shard"] for r in again.values()} == set(range(8))
+    versions = sorted(r["version"] for r in spark.read.parquet(path).select("version").distinct().collect())
+    assert versions[:2] == [1, 2] and max(r["map_version"] for r in again.values()) in versions
+    more = docs.unionByName(spark.createDataFrame([(i, "y" * 400) for i in range(5000, 5040)], "doc_id long, text string"))
+    grown = {r["doc_id"]: r for r in sharding.shard(more, 9, n_slots=512, map_path=path).collect()}
+    assert {r["shard"] for r in grown.values()} == set(range(9))
+    assert all(grown[d]["virtual_slot"] == r["virtual_slot"] for d, r in first.items())
+    assert sum(grown[d]["shard"] == r["shard"] for d, r in again.items()) > 1500  # most slots stay
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard(docs, 8, n_slots=256, map_path=path)
+
+
+def test_rows_without_an_id_and_of_one_id_spread(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    rows = sharding.shard(docs, 4, n_slots=256).collect()
+    sizes = [sum(r["size"] for r in rows if r["shard"] == k) for k in range(4)]
+    assert len(rows) == 2000 and max(sizes) < 1.02 * min(sizes)
+    for k in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(sum(r["shard"] == k for r in rows)))
