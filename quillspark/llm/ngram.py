@@ -220,7 +220,11 @@ class NgramModel:
         return np.where(self.words[at] == u, self.counts[at], 0).astype(np.int64)[back]
 
     def ngram_levels(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram of the held segments, by probes until one fails; 0 if it is not held."""
+        """The level of each n-gram of the held segments, by probes until one fails; 0 if it is not held.
+
+        Frequent n-grams have many members, so each distinct one is probed once.
+        """
+        h, back = np.unique(h, return_inverse=True)
         level = np.zeros(len(h), np.uint8)
         base = (segment_of(h, self.segments) - (self.filter_range or (0,))[0]) * self.segment_bits
         alive = np.arange(len(h)) if len(self.bits) else np.zeros(0, np.int64)
@@ -233,7 +237,7 @@ class NgramModel:
             if not len(alive):
                 break
             level[alive] = j
-        return level
+        return level[back]
 
     def _least(self, level: np.ndarray) -> np.ndarray:
         return np.where(level > 0, self.levels[np.maximum(level, 1) - 1], 0) if len(self.levels) else np.zeros(len(level), np.int64)
