@@ -229,3 +229,44 @@ def sync_label(desktop: Column, status_known: Column, state: Column, local_chang
         .when(state.isin("conflicted", "leaseRejected"), s("linked", "Local + Cloud · Attention", True))
         .otherwise(s("linked", "Local + Cloud · Synced", False))
     )
+
+
+def is_binary(content: Column) -> Column:
+    """Whether bytes hold a NUL or are no UTF-8; false for null."""
+    text_ = content.cast("string")
+    return F.coalesce((F.instr(F.hex(content), "00") > 0) & F.exists(F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1)), lambda x: x == "00") | ~F.is_valid_utf8(text_), F.lit(False))
+
+
+def checkpoint_name(now: Column) -> Column:
+    return F.concat(F.lit("Checkpoint "), F.date_format(now, "yyyy-MM-dd HH:mm"))
+
+
+def draft_label(changed: Column, has_checkpoint: Column) -> Column:
+    n = changed.cast("string")
+    since = F.when(changed == 0, "No changes since the latest checkpoint").when(changed == 1, "1 saved file changed since the latest checkpoint").otherwise(F.concat(n, F.lit(" saved files changed since the latest checkpoint")))
+    draft = F.when(changed == 0, "No saved changes in the current draft").when(changed == 1, "1 saved file in the current draft").otherwise(F.concat(n, F.lit(" saved files in the current draft")))
+    return F.when(has_checkpoint, since).otherwise(draft)
+
+
+def broken_link_summary(count: Column) -> Column:
+    return F.when(count == 0, "No broken links").when(count == 1, "1 broken link").otherwise(F.concat(count.cast("string"), F.lit(" broken links")))
+
+
+def can_push(role: Column) -> Column:
+    return role.isin("owner", "manager", "editor")
+
+
+def can_merge(role: Column) -> Column:
+    """Also who manages members."""
+    return role.isin("owner", "manager")
+
+
+def can_manage(actor: Column, target: Column) -> Column:
+    return F.when(actor == "owner", target != "owner").when(actor == "manager", target.isin("editor", "viewer")).otherwise(False)
+
+
+def page_slug_ok(slug: Column) -> Column:
+    """A visible Markdown path of 1024 bytes at most."""
+    parts = F.split(slug, "/")
+    ok = (F.octet_length(slug) <= 1024) & slug.endswith(".md") & ~slug.contains("\\") & ~F.exists(parts, lambda c: (c == "") | c.startswith("."))
+    return F.coalesce(ok, F.lit(False))

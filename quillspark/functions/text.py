@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 _MARKS = "".join(map(chr, range(0x300, 0x332)))
 
 
+_LATIN = frozenset("abcdefghijklmnopqrstuvwxyz")
+
+
 def _letters() -> tuple[str, str]:
-    """Letters which decompose into one letter and combining marks, and those letters; from the Unicode tables."""
+    """Letters which decompose into a Latin one and combining marks, and those Latin ones; from the Unicode tables."""
     whole, base = [], []
     for c in map(chr, range(0xC0, 0x2000)):
         plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != c and c.isalpha() and c == c.lower():
+        if plain != c and plain in _LATIN and c == c.lower():
             whole.append(c)
-            base.append(plain.lower())
+            base.append(plain)
     return "".join(whole), "".join(base)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import display
+
 MOST = 10_000
 SNAPSHOT_BYTES = 512 << 10
 
@@ -20,8 +22,7 @@ def checked(new: DataFrame, comments: DataFrame) -> DataFrame:
     """
     parents = comments.select(F.col("id").alias("parent_id"), "space_id", "page_slug", F.lit(True).alias("_found")).distinct()
     joined = new.join(parents, ["parent_id", "space_id", "page_slug"], "left")
-    parts = F.split("page_slug", "/")
-    slug_ok = (F.trim("page_slug") != "") & ~F.exists(parts, lambda c: (c == "") | c.startswith("."))
+    slug_ok = display.page_slug_ok(F.col("page_slug"))
     length = F.length(F.trim("body"))
     reply, anchored = F.col("parent_id").isNotNull(), F.col("source").isNotNull() | F.col("start_line").isNotNull() | F.col("end_line").isNotNull()
     lines = F.size(F.split("source", "\n")) - F.col("source").endswith("\n").cast("int")

@@ -77,3 +77,39 @@ def sync_state(facts: DataFrame) -> DataFrame:
         .otherwise("upToDate")
     )
     return facts.withColumn("state", state)
+
+
+def line_threads(threads: DataFrame) -> DataFrame:
+    """(page_slug, line, root_id): the thread of each line, the first by (created_at, root_id) of those that cover it.
+
+    ``threads`` (root_id, page_slug, created_at, start_line, end_line) are the
+    anchored ones. Grouped by page and line, so no page is one task.
+    """
+    each = threads.select("page_slug", "root_id", "created_at", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    return each.groupBy("page_slug", "line").agg(F.min_by("root_id", F.struct("created_at", "root_id")).alias("root_id"))
+
+
+def settled(events: DataFrame, delay_ms: int) -> DataFrame:
+    """Of typed queries (session, at, query) those which are sent: no other one follows in the session within the delay."""
+    w = Window.partitionBy("session").orderBy("at", "query")
+    after = (F.unix_micros(F.lead("at").over(w)) - F.unix_micros("at")) / 1000
+    return events.withColumn("_gap", after).filter(F.col("_gap").isNull() | (F.col("_gap") >= delay_ms)).drop("_gap")
+
+
+def ready(checks: DataFrame, now: Column, seconds: int = 30) -> DataFrame:
+    """(agent, ready): the newest check of each agent if it is not older than ``seconds``; others are not listed."""
+    newest = checks.groupBy("agent").agg(F.max("checked_at").alias("at"), F.max_by("ready", "checked_at").alias("ready"))
+    return newest.filter(F.unix_micros(now) - F.unix_micros("at") <= seconds * 1_000_000).select("agent", "ready")
+
+
+def sources_of(main: DataFrame, own: DataFrame, private: bool) -> DataFrame:
+    """(filename, origin): sources of both branches by name; one's own win in a private Space, main's in a shared one."""
+    a, b = (own, main) if private else (main, own)
+    names = ("user", "main") if private else ("main", "user")
+    first = a.select("filename").distinct()
+    return first.withColumn("origin", F.lit(names[0])).unionByName(b.select("filename").distinct().join(first, "filename", "left_anti").withColumn("origin", F.lit(names[1])))
+
+
+def contributions(changes: DataFrame, commit: DataFrame) -> DataFrame:
+    """(id) of agent changes (id, path) with any path in common with a commit (path)."""
+    return changes.join(commit.select("path").distinct(), "path", "left_semi").select("id").distinct()

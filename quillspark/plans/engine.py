@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import display, metadata, text
-from quillspark.operators import assets, bundle, changes, comments, graph, ingest, ranks, review, tree
+from quillspark.operators import assets, bundle, changes, comments, graph, ingest, ranks, review, tree, writes
 from quillspark.plans.registry import query
 from quillspark.plans.views import view
 from quillspark.sources import formats
@@ -578,3 +578,153 @@ def ingest_outcome(spark, sf_dir):
     ext = F.element_at(F.array(*map(F.lit, ("md", "csv", "doc", "txt", "pdf"))), (F.col("doc_id") % 5 + 1).cast("int"))
     files = view(spark, sf_dir, "kb_page").select(ext.alias("extension"), F.encode("body", "UTF-8").alias("content"))
     return formats.extracted(files).agg(F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("total"))
+
+
+# --- writes ---------------------------------------------------------------------
+
+_LINKED = "select id, cast(id * 10 as bigint) as linked_at, cast(id * 10 as bigint) as updated_at, concat('u', cast(id as string)) as url from {kb_space} where id % 2 = 0"
+_RELINK = "select id, cast(id * 100 as bigint) as linked_at, cast(id * 100 as bigint) as updated_at, concat('v', cast(id as string)) as url from {kb_space} where id % 3 = 0"
+
+
+@query("k1_upsert_pages", "select path, sha256(body) as sha from {kb_draft} union all select b.path, sha256(b.body) from {kb_base} b where not exists (select 1 from {kb_draft} d where d.path = b.path)")
+def upsert_pages(spark, sf_dir):
+    return writes.upsert(view(spark, sf_dir, "kb_base"), view(spark, sf_dir, "kb_draft"), ["path"]).select("path", F.sha2("body", 256).alias("sha"))
+
+
+@query("k3_insert_or_ignore", "select path, min(origin) as origin from (select path, 1 as origin from {kb_base} union all select path, 2 as origin from {kb_agent}) x group by path")
+def insert_or_ignore(spark, sf_dir):
+    table = made(spark, sf_dir, "select path, 1 as origin from {kb_base}")
+    return writes.insert_or_ignore(table, made(spark, sf_dir, "select path, 2 as origin from {kb_agent} union all select path, 3 as origin from {kb_agent}"), ["path"])
+
+
+@query("k4_upsert_keeps_linked_at", f"select coalesce(n.id, o.id) as id, coalesce(o.linked_at, n.linked_at) as linked_at, coalesce(n.updated_at, o.updated_at) as updated_at, coalesce(n.url, o.url) as url from ({_LINKED}) o full join ({_RELINK}) n on o.id = n.id")
+def upsert_links(spark, sf_dir):
+    return writes.upsert(made(spark, sf_dir, _LINKED), made(spark, sf_dir, _RELINK), ["id"], ("linked_at",))
+
+
+@query("k5_cascade_delete", "select id from {kb_comment} where not resolved")
+def cascade_delete(spark, sf_dir):
+    stored = view(spark, sf_dir, "kb_comment").select("id", "parent_id")
+    return writes.cascade_delete(stored, made(spark, sf_dir, "select id from {kb_comment} where parent_id is null and resolved")).select("id")
+
+
+@query("k6_resolve", "select id, resolved or (parent_id is null and conv_id % 2 = 0) as resolved from {kb_comment}")
+def resolve(spark, sf_dir):
+    return writes.set_resolved(view(spark, sf_dir, "kb_comment"), made(spark, sf_dir, "select id from {kb_comment} where parent_id is null and conv_id % 2 = 0"), True).select("id", "resolved")
+
+
+_WRITES = "select path, body as content, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then body else concat(body, 'x') end as expected, doc_id % 6 = 3 as create_only, doc_id from {kb_page} union all select concat('fresh/', cast(doc_id as string), '.md') as path, body as content, case when doc_id % 2 = 0 then body end as expected, doc_id % 2 = 1 as create_only, doc_id from {kb_page}"
+
+
+@query("k7_write_conflicts", "select path, case when doc_id % 3 = 2 then 'changed' when doc_id % 6 = 3 then 'exists' end as error from {kb_page} union all select concat('fresh/', doc_id, '.md'), case when doc_id % 2 = 0 then 'gone' end from {kb_page}")
+def write_conflicts(spark, sf_dir):
+    return writes.write_errors(view(spark, sf_dir, "kb_base"), made(spark, sf_dir, _WRITES)).select("path", "error")
+
+
+@query("k8_renamed_and_deleted", "select case when path like 'src1/%' then concat('moved/', substr(path, 6)) else path end as path from {kb_page} where path not like 'src2/%' union all select 'moved/new/index.md'")
+def renamed(spark, sf_dir):
+    files = view(spark, sf_dir, "kb_base")
+    return writes.create_folder(writes.delete(writes.rename(files, "src1", "moved"), "src2"), "new", "moved").select("path")
+
+
+@query("s22_new_spaces", """
+    select id, name, slug, path from (select cast(id as varchar) as id, name, 's' || id as slug, '/kb/' || id as path from {kb_space} where id % 2 = 0) o
+    union all select concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '4' || substr(h, 14, 3), 'a' || substr(h, 18, 3), substr(h, 21, 12)), name, slug, path
+    from (select sha256('/kb/' || id) as h, name, 't' || id as slug, '/kb/' || id as path from {kb_space} where id % 2 <> 0) n""")
+def new_spaces(spark, sf_dir):
+    old = made(spark, sf_dir, "select cast(id as string) as id, name, concat('s', cast(id as string)) as slug, concat('/kb/', cast(id as string)) as path from {kb_space} where id % 2 = 0")
+    return writes.add_spaces(old, made(spark, sf_dir, "select name, concat('t', cast(id as string)) as slug, concat('/kb/', cast(id as string)) as path from {kb_space}"))
+
+
+# --- joins, unions and sessions ---------------------------------------------------
+
+
+@query("j4_comments_of_spaces", f"select 'space' as workspace_slug, page_slug, count(*) as n from ({_COMMENTS}) c group by page_slug")
+def comments_of_spaces(spark, sf_dir):
+    spaces = spark.createDataFrame([("s", "space"), ("t", "other")], "id string, slug string")
+    joined = made(spark, sf_dir, _COMMENTS).join(F.broadcast(spaces.select(F.col("id").alias("space_id"), F.col("slug").alias("workspace_slug"))), "space_id")
+    return joined.groupBy("workspace_slug", "page_slug").agg(F.count("*").alias("n"))
+
+
+@query("j9_contributions_by_path", "select distinct submission_id as id from {kb_submission_file} a where a.flag = 'A' and exists (select 1 from {kb_submission_file} b where b.path = a.path and b.flag = 'R')")
+def contributions_by_path(spark, sf_dir):
+    return review.contributions(made(spark, sf_dir, "select submission_id as id, path from {kb_submission_file} where flag = 'A'"), made(spark, sf_dir, "select path from {kb_submission_file} where flag = 'R'"))
+
+
+@query("u2_source_union", """
+    select path as filename, 'user' as origin, true as private from {kb_draft} union all select path, 'main', true from {kb_base} where path not in (select path from {kb_draft})
+    union all select path, 'main', false from {kb_base} union all select path, 'user', false from {kb_draft} where path not in (select path from {kb_base})""")
+def source_union(spark, sf_dir):
+    main, own = (made(spark, sf_dir, f"select path as filename from {{{n}}}") for n in ("kb_base", "kb_draft"))
+    both = [review.sources_of(main, own, p).withColumn("private", F.lit(p)) for p in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+@query("u7_dirty_paths", "select path from {kb_submission_file} where flag <> 'N' union select concat('old/', path) from {kb_submission_file} where flag = 'R'")
+def dirty_paths(spark, sf_dir):
+    status = made(spark, sf_dir, "select path, case when flag = 'R' then concat('old/', path) end as renamed_from from {kb_submission_file} where flag <> 'N'")
+    return status.select(F.explode(F.array("path", "renamed_from")).alias("path")).filter("path is not null").distinct()
+
+
+_SPANS = "select id as root_id, page_slug, conv_id as created_at, cast(conv_id % 5 + 1 as int) as start_line, cast(conv_id % 5 + 1 + conv_id % 3 as int) as end_line from {kb_comment} where parent_id is null"
+
+
+@query("w4_first_thread_per_line", f"select page_slug, line, arg_min(root_id, row(created_at, root_id)) as root_id from (select *, unnest(range(start_line, end_line + 1)) as line from ({_SPANS}) s) x group by page_slug, line")
+def first_thread(spark, sf_dir):
+    return review.line_threads(made(spark, sf_dir, _SPANS)).withColumn("line", F.col("line").cast("long"))
+
+
+_TYPED = "select user_id as session, cast(ts as timestamp) as at, cast(event_id as string) as query from {events}"
+
+
+@query("r4_debounced_queries", """
+    with t as (select user_id as session, cast(ts as timestamp) as w, cast(event_id as varchar) as query from {events}),
+    g as (select *, lead(w) over (partition by session order by w, query) as nxt from t)
+    select 'keyword' as kind, query from g where nxt is null or epoch_us(nxt) - epoch_us(w) >= 120000 union all select 'semantic', query from g where nxt is null or epoch_us(nxt) - epoch_us(w) >= 300000""")
+def debounced(spark, sf_dir):
+    typed = made(spark, sf_dir, _TYPED)
+    sent = [review.settled(typed, ms).select(F.lit(k).alias("kind"), "query") for k, ms in (("keyword", 120), ("semantic", 300))]
+    return sent[0].unionByName(sent[1])
+
+
+@query("r5_ready_agents", """
+    with m as (select max(cast(ts as timestamp)) as newest from {events}), c as (select user_id % 50 as agent, max(cast(ts as timestamp)) as w from {events} group by 1)
+    select agent from c, m where epoch_us(newest) - epoch_us(w) <= 30000000""")
+def ready_agents(spark, sf_dir):
+    now = view(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    checks = made(spark, sf_dir, "select user_id % 50 as agent, cast(ts as timestamp) as checked_at, value < 5 as ready from {events}")
+    return review.ready(checks, F.lit(now)).select("agent")
+
+
+# --- labels and checks --------------------------------------------------------------
+
+
+@query("f17_comment_slugs", "select path, path not like '.%' and path not like '%/.%' and path like '%.md' as ok from {kb_file}")
+def comment_slugs(spark, sf_dir):
+    return view(spark, sf_dir, "kb_file").select("path", display.page_slug_ok(F.col("path")).alias("ok"))
+
+
+_ROLES = "select id, case id % 4 when 0 then 'owner' when 1 then 'manager' when 2 then 'editor' else 'viewer' end as role, case id % 3 when 0 then 'owner' when 1 then 'manager' else 'viewer' end as target from {kb_member}"
+
+
+@query("f20_roles", f"select id, role <> 'viewer' as push, role in ('owner', 'manager') as merge, case role when 'owner' then target <> 'owner' when 'manager' then target = 'viewer' else false end as manage from ({_ROLES}) r")
+def roles(spark, sf_dir):
+    r = F.col("role")
+    return made(spark, sf_dir, _ROLES).select("id", display.can_push(r).alias("push"), display.can_merge(r).alias("merge"), display.can_manage(r, F.col("target")).alias("manage"))
+
+
+@query("x13_binary", "select doc_id, doc_id % 3 <> 0 as is_binary from {documents}")
+def binary(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("61006200"))).when(F.col("doc_id") % 3 == 2, F.unhex(F.lit("61FF62"))).otherwise(F.encode("text", "UTF-8"))
+    return view(spark, sf_dir, "documents").select("doc_id", display.is_binary(raw).alias("is_binary"))
+
+
+@query("x32_labels", """
+    select doc_id, case when doc_id % 2 = 0 then case doc_id % 4 when 0 then 'No changes since the latest checkpoint' else '2 saved files changed since the latest checkpoint' end
+        when doc_id % 4 = 1 then '1 saved file in the current draft' else '3 saved files in the current draft' end as draft,
+        case doc_id % 4 when 0 then 'No broken links' when 1 then '1 broken link' else concat(doc_id % 4, ' broken links') end as broken,
+        concat('Checkpoint 2026-03-', lpad(cast(1 + doc_id % 28 as varchar), 2, '0'), ' 09:05') as checkpoint from {documents}""")
+def labels(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    at = F.make_timestamp(F.lit(2026), F.lit(3), (1 + F.col("doc_id") % 28).cast("int"), F.lit(9), F.lit(5), F.lit(0))
+    return view(spark, sf_dir, "documents").select("doc_id", display.draft_label(n, F.col("doc_id") % 2 == 0).alias("draft"), display.broken_link_summary(n).alias("broken"), display.checkpoint_name(at).alias("checkpoint"))

@@ -28,48 +28,22 @@ SHARED: dict[str, str] = {
     "j7_member_names": """
         select s.id, coalesce(m.name, substr(cast(s.user_id as string), 1, 8)) as user_name
         from {kb_submission} s left join {kb_member} m on m.id = s.user_id + 1""",
-    "j9_contributions_by_path": """
-        select distinct a.submission_id from {kb_submission_file} a
-        where a.flag = 'A' and exists (select 1 from {kb_submission_file} b where b.path = a.path and b.flag = 'R' and b.submission_id <> a.submission_id)""",
     # windows and top-k
-    "w4_first_thread_per_line": """
-        select page_slug, line, id from (
-            select page_slug, turn % 7 as line, id, row_number() over (partition by page_slug, turn % 7 order by conv_id, turn) as k
-            from {kb_comment}) t where k = 1""",
     "w7_running_lines": """
         select submission_id, path, sum(additions) over (partition by submission_id order by deletions, path, additions, flag rows between unbounded preceding and current row) as upto
         from {kb_submission_file}""",
     "t1_newest_pages": "select space_id, path, modified_ns from {kb_page} order by modified_ns desc, path limit 12",
     "t2_spaces_in_order": "select id, name, row_number() over (order by region, name) as place from {kb_space}",
     # set operations
-    "u2_source_union": """
-        select path, 'user' as origin from {kb_draft} union all
-        select m.path, 'main' as origin from {kb_base} m where not exists (select 1 from {kb_draft} d where d.path = m.path)""",
     "u5_deleted_paths": "select path from {kb_base} except select path from {kb_draft}",
     "u6_changed_paths": "select path from {kb_draft} union select path from {kb_agent}",
-    "u7_dirty_paths": "select path from {kb_submission_file} where flag = 'A' union select path from {kb_submission_file} where flag = 'R'",
     # filters and predicates
     "f18_markdown_only": "select path from {kb_submission_file} where path like '%.md' and path not like '.%' group by path",
-    "f20_roles": """
-        select id, role, role in ('owner', 'admin', 'member') as can_push, role in ('owner', 'admin') as can_merge,
-               role = 'owner' as can_manage_owners from {kb_member}""",
     "f21_review_tabs": """
         select id, status in ('pending', 'approved', 'rejected') as in_open, status = 'merged' as in_merged from {kb_submission}""",
     "f22_notifications": """
         select id from {kb_notification} where not is_read and kind = 'click' and space is null""",
     # sinks as set-based changes
-    "k1_upsert_pages": """
-        select path, body, 'new' as origin from {kb_draft} union all
-        select b.path, b.body, 'old' as origin from {kb_base} b where not exists (select 1 from {kb_draft} d where d.path = b.path)""",
-    "k3_insert_or_ignore": """
-        select path, min(origin) as origin from (select path, 1 as origin from {kb_base} union all select path, 2 as origin from {kb_agent}) x group by path""",
-    "k5_cascade_delete": """
-        select id from {kb_comment} c where not (c.parent_id is null and c.resolved)
-        and not exists (select 1 from {kb_comment} p where p.id = c.parent_id and p.resolved)""",
-    "k6_resolve": "select id, resolved or user_id = 'user' as resolved from {kb_comment} where parent_id is null",
-    "k7_write_conflicts": """
-        select c.path from {kb_draft} c join {kb_base} e on e.path = c.path where c.body <> e.body""",
-    "k8_rename_prefix": "select case when path like 'src1/%' then concat('moved/', substr(path, 6)) else path end as path from {kb_page}",
     # versioning
     # streaming analogues in batch form
     "r7_unread_by_hour": """
