@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 _MARKS = "".join(map(chr, range(0x300, 0x332)))
 
 
+# A letter which keeps its marks, and the long s, with and without its dot, which is an s.
+_WHOLE, _LONG_S = "ǡ", "ſẛ"
 _LATIN = frozenset("abcdefghijklmnopqrstuvwxyz")
 
 
@@ -19,10 +21,10 @@ def _letters() -> tuple[str, str]:
     whole, base = [], []
     for c in map(chr, range(0xC0, 0x2000)):
         plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
-        if plain != c and plain in _LATIN and c == c.lower():
+        if plain != c and plain in _LATIN and c == c.lower() and c not in _WHOLE:
             whole.append(c)
             base.append(plain)
-    return "".join(whole), "".join(base)
+    return "".join(whole) + _LONG_S, "".join(base) + "ss"
 
 
 _ACCENTED, _PLAIN = _letters()
