@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read_table
+from quillspark.llm.common import materialize, read_table
 
 TREES, DEPTH, SEED = 32, 8, 11
 #: At most so many labelled findings are fitted.
@@ -91,15 +91,27 @@ def _letter(ch: str) -> int:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_WORDS) -> list[str]:
-    """The ``size`` words that most texts have, of 3 to 20 letters, from all of them; ties by the word.
+    """Up to ``size`` words that most texts have, of 3 to 20 letters, counted in all of them; no word of a single text.
 
-    Each text counts a word once. Null and empty texts have none. Only the
-    dictionary, of bounded size, reaches the driver.
+    Each text counts a word once. Null and empty texts have none. Words are
+    taken by steps of frequency, sixteen an octave, as long as a whole step
+    fits. The driver sees the number of words of each step (hundreds) and the
+    dictionary, whatever the input.
     """
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"))
     each = docs.select(F.explode(F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 20))).alias("w"))
-    top = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.col("n").desc(), "w").limit(size)
-    return [r["w"] for r in top.collect()]
+    counted = each.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").withColumn("step", F.floor(16 * F.log2("n")))
+    counted = materialize(counted, "words")
+    steps = {r["step"]: r["n"] for r in counted.groupBy("step").agg(F.count("*").alias("n")).collect()}
+    least, total = None, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > size:
+            break
+        least = step
+    if least is None:
+        return []
+    return sorted(r["w"] for r in counted.filter(F.col("step") >= least).select("w").collect())
 
 
 def _class(ch: str) -> int:
