@@ -10,6 +10,8 @@ under a new number. Postings of replaced pages stay until :meth:`rebuild`.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,6 +20,7 @@ from quillspark.functions import text
 from quillspark.operators import graph, search
 
 BUCKETS = 32
+_POSTINGS = "term string, space_id string, path string, field string, positions array<int>, tf long, batch int, bucket int"
 _LIVE = "space_id string, path string, title string, modified_ns long, n_tokens long, batch int"
 
 
@@ -45,14 +48,14 @@ class SearchIndex:
         facts = self.facts()
         if facts is None:
             return self.spark.createDataFrame([], _LIVE)
-        return self.spark.read.parquet(f"{self.path}/live/version={facts['version']}")
+        return self.spark.read.schema(_LIVE).parquet(f"{self.path}/live/version={facts['version']}")
 
     def _write_batch(self, pages: DataFrame, batch: int) -> DataFrame:
         """Store what these pages add; returns their rows of ``live``."""
         tokens = lambda c: text.tokens(F.coalesce(F.col(c), F.lit("")))
         counted = pages.select("space_id", "path", "title", "modified_ns", F.col("body"), (F.size(tokens("title")) + F.size(tokens("body"))).cast("long").alias("n_tokens"))
         counted.select("space_id", "path", "body").write.mode("overwrite").parquet(f"{self.path}/bodies/batch={batch}")
-        postings = search.postings(pages).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        postings = search.postings(pages).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
         # the terms of a bucket in order, so that row groups which cannot hold a term are skipped
         dealt = postings.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "space_id", "path")
         dealt.write.mode("overwrite").option("parquet.block.size", 1 << 20).partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
@@ -125,9 +128,9 @@ class SearchIndex:
         terms = sorted({t for p in parts for t in p})
         if facts is None or not terms:
             return self.live().select("space_id", "path", "title", F.lit(False).alias("title_match"), F.lit(0.0).alias("score")).limit(0)
-        named = self.spark.createDataFrame([(t,) for t in terms], "term string")
-        buckets = [r[0] for r in named.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        found = self._read("postings").filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+        # with its schema given, the table is opened without a job
+        found = self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings").filter(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
         valid = found.join(self.live(), ["space_id", "path", "batch"])  # the postings of a few terms are the small side
         n = max(1, facts["n_docs"])
         return search.ranked(valid, query, facts["n_docs"], facts["n_tokens"] / n, limit, space_id)

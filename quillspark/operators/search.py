@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,38 +16,58 @@ TITLE_WEIGHT, BODY_WEIGHT, K1, B = 8.0, 1.0, 1.2, 0.75
 MOST = 100
 
 
-def _runs(sorted_: Column, differs) -> Column:
-    """(start, length) of each run of equal elements of a sorted array, from 1 on."""
-    n = F.size(sorted_)
-    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | differs(F.get(sorted_, i - 1), F.get(sorted_, i - 2))))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
-    return F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("start"), (y - x).alias("n")))
+_POSTINGS = "term string, space_id string, path string, field string, positions array<int>, tf long"
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """(term, space_id, path, field, positions, tf) of every page, made within its row: nothing is shuffled."""
-    both = F.array(
-        F.struct(F.lit("title").alias("field"), text.tokens(F.coalesce("title", F.lit(""))).alias("tokens")),
-        F.struct(F.lit("body").alias("field"), text.tokens(F.coalesce("body", F.lit(""))).alias("tokens")),
-    )
-    each = pages.select("space_id", "path", F.explode(both).alias("x"))
-    placed = each.select("space_id", "path", "x.field", F.array_sort(F.transform("x.tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("p"))
-    runs = placed.withColumn("r", _runs(F.col("p"), lambda x, y: x["t"] != y["t"]))
-    entry = F.transform("r", lambda r: F.struct(F.get("p", r["start"] - 1)["t"].alias("term"), F.transform(F.slice("p", r["start"], r["n"]), lambda y: y["i"]).alias("positions"), r["n"].cast("long").alias("tf")))
-    return runs.select("space_id", "path", "field", F.explode(entry).alias("e")).select("e.term", "space_id", "path", "field", "e.positions", "e.tf")
+    """(term, space_id, path, field, positions, tf) of every page, made within its row: nothing is shuffled.
+
+    A term of a field is one row. Null titles and bodies have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                terms, rows, positions, fields, counts = [], [], [], [], []
+                for field, column in (("title", b.column(2)), ("body", b.column(3))):
+                    for i, value in enumerate(column):
+                        found: dict[str, list[int]] = {}
+                        for k, t in enumerate(text.tokens_of(value.as_py())):
+                            found.setdefault(t, []).append(k)
+                        terms += found
+                        rows += [i] * len(found)
+                        positions += found.values()
+                        counts += map(len, found.values())
+                    fields += [field] * (len(terms) - len(fields))
+                take = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.string()), b.column(0).take(take), b.column(1).take(take), pa.array(fields, pa.string()), pa.array(positions, pa.list_(pa.int32())), pa.array(counts, pa.int64())],
+                    ["term", "space_id", "path", "field", "positions", "tf"],
+                )
+
+    return pages.select(F.col("space_id").cast("string"), F.col("path").cast("string"), "title", "body").mapInArrow(run, _POSTINGS)
 
 
 def term_counts(pages: DataFrame) -> DataFrame:
-    """(term, df, tf): counted within each row first, so what is shuffled is one partial sum a term and task."""
-    s = pages.select(F.array_sort(text.tokens(F.coalesce("body", F.lit("")))).alias("s")).withColumn("r", _runs(F.col("s"), lambda x, y: x != y))
-    each = s.select(F.explode(F.transform("r", lambda r: F.struct(F.get("s", r["start"] - 1).alias("term"), r["n"].alias("n")))).alias("e"))
-    return each.groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.n").alias("tf"))
+    """(term, df, tf) of all bodies. A task counts each batch itself, so what is shuffled is distinct terms, not tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df: Counter[str] = Counter()
+            tf: Counter[str] = Counter()
+            for value in b.column(0):
+                found = text.tokens_of(value.as_py())
+                tf.update(found)
+                df.update(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array(list(tf), pa.string()), pa.array([df[t] for t in tf], pa.int64()), pa.array(list(tf.values()), pa.int64())], ["term", "df", "tf"])
+
+    return pages.select("body").mapInArrow(run, "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def query_phrases(query: str) -> list[list[str]]:
     """White space parts the query; a part's tokens are a phrase. A part without tokens matches nothing."""
-    return [[t for t in re.split(r"[\W_]+", word.strip('"')) if t] for word in text.fold(query).split()]
+    return [text.tokens_of(word.strip('"')) for word in query.split()]
 
 
 def search(pages: DataFrame, query: str, limit: int = 12, space_id: str | None = None) -> DataFrame:
@@ -76,7 +98,7 @@ def ranked(found: DataFrame, query: str, n_docs: int, avg_tokens: float, limit:
     hits = []
     # phrases are put together within a page: one shuffle for all terms
     held = F.map_from_entries(F.collect_list(F.struct("term", "positions")))
-    per_field = found.groupBy("space_id", "path", "title", "n_tokens", "field").agg(held.alias("at"))
+    per_field = found.repartition("space_id", "path").groupBy("space_id", "path", "title", "n_tokens", "field").agg(held.alias("at"))
     for phrase in parts or [["-"]]:
         places = [_moved(F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")), i) for i, t in enumerate(phrase or ["-"])]
         hits.append(F.size(reduce(F.array_intersect, places[1:], places[0])))

@@ -31,8 +31,14 @@ for _name, _sql in SHARED.items():
     ORACLE_SQL[_name] = with_views(_sql)
 
 
+def _dealt(pages: DataFrame) -> DataFrame:
+    """Rows over all cores where the files have fewer splits than there are cores; a large table stays as it is."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "kb_page").withColumn("title", F.split("body", "\n")[0])
+    return _dealt(view(spark, sf_dir, "kb_page")).withColumn("title", F.split("body", "\n")[0])
 
 
 _indexes: dict[tuple[str, str], index.SearchIndex] = {}
@@ -109,7 +115,7 @@ def token_counts(spark, sf_dir):
 
 @query("postings_df", f"select term, count(distinct doc_id) as df, count(*) as tf from (select doc_id, unnest({_TOKENS.format('body')}) as term from {{kb_page}}) x group by term")
 def postings_df(spark, sf_dir):
-    return search.term_counts(view(spark, sf_dir, "kb_page"))
+    return search.term_counts(_dealt(view(spark, sf_dir, "kb_page")))
 
 
 _EDGES = """
@@ -120,12 +126,12 @@ _EDGES = """
 
 @query("x9_link_edges", _EDGES)
 def link_edges(spark, sf_dir):
-    return graph.edges(view(spark, sf_dir, "kb_page_linked"))
+    return graph.edges(_dealt(view(spark, sf_dir, "kb_page_linked")))
 
 
 def _linked(spark, sf_dir):
     pages = view(spark, sf_dir, "kb_page_linked")
-    return pages, graph.edges(pages)
+    return pages, graph.edges(_dealt(pages))
 
 
 _NAMED = f"select e.space_id, e.source_path, concat('Page ', cast(p.doc_id as varchar)) as source_title, e.target from ({_EDGES}) e join {{kb_page}} p on p.space_id = e.space_id and p.path = e.source_path"
@@ -282,7 +288,7 @@ def dispatch(spark, sf_dir):
 
 @query("s14_html_snapshots")
 def html_snapshots(spark, sf_dir):
-    return formats.snapshots(view(spark, sf_dir, "pages"))
+    return formats.snapshots(_dealt(view(spark, sf_dir, "pages")))
 
 
 @query("s14_html_titles", "select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as n_links from {pages}")
