@@ -13,6 +13,19 @@ def digest(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def tree_hash(files: DataFrame, by: str) -> DataFrame:
+    """(by, tree): a hash of all files (path, body) of a tree, the same in any order.
+
+    The parts of each file's digest are added up, so tasks add up their own
+    rows first and no tree is one list. Two trees with the same files, repeated
+    rows included, have the same hash. A null body counts as a value of its own.
+    """
+    entry = F.sha2(F.concat("path", F.lit(":"), F.coalesce(digest(F.col("body")), F.lit("-"))), 256)
+    hashed = files.select(by, entry.alias("h"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return hashed.groupBy(by).agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *[part(k) for k in range(4)]), 256).alias("tree"))
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, status) of added, deleted and modified files; only digests are shuffled."""
     a = old.select("path", digest(F.col("body")).alias("old_sha"))

@@ -334,11 +334,20 @@ def source_names(spark, sf_dir):
     return view(spark, sf_dir, "kb_page").select(name.alias("name")).select("name", paths.stored_source_name(F.col("name")).alias("stored"))
 
 
-@query("k11_tree_hash", "select source, sha256(string_agg(concat(path, ':', sha256(body)), chr(10) order by path)) as tree from {kb_page} group by source")
+_PARTS = ", ".join(f"sum(cast(concat('0x', substr(h, {1 + 15 * k}, 15)) as bigint))" for k in range(4))
+
+
+@query("k11_tree_hash", f"select source, sha256(concat_ws(',', count(*), {_PARTS})) as tree from (select source, sha256(concat(path, ':', sha256(body))) as h from {{kb_page}}) x group by source")
 def tree_hash(spark, sf_dir):
-    entry = F.concat("path", F.lit(":"), versions.digest(F.col("body")))
-    grouped = view(spark, sf_dir, "kb_page").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))).alias("x"))
-    return grouped.select("source", F.sha2(F.array_join("x.e", "\n"), 256).alias("tree"))
+    return versions.tree_hash(view(spark, sf_dir, "kb_page"), "source")
+
+
+@query("k11_unchanged_trees", "select source, false as changed from {kb_page} group by source")
+def unchanged_trees(spark, sf_dir):
+    """A checkpoint of the same files, dealt otherwise, has the same hash, so it is no change."""
+    pages = view(spark, sf_dir, "kb_page")
+    one, two = versions.tree_hash(pages, "source"), versions.tree_hash(pages.repartition(7, "doc_id"), "source")
+    return one.join(two.withColumnRenamed("tree", "other"), "source").select("source", (F.col("tree") != F.col("other")).alias("changed"))
 
 
 @query("x19_lineage", "select path, concat('.kb/sources/s', cast(doc_id % 5 as varchar), '.md') as source from {kb_page}")
