@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,18 +57,26 @@ def stored_index(spark: SparkSession, sf_dir: str) -> index.SearchIndex:
 
 SEARCH = "from thon"
 _TOKENS = "list_filter(string_split_regex(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-_SEARCH_SQL = f"""
+
+def _search_sql(words: str, limit: int) -> str:
+    """BM25 over all pages for single words, all of which must occur."""
+    terms = ", ".join(f"'{w}'" for w in words.split())
+    return f"""
     with tok as (select space_id, path, title, {_TOKENS.format('title')} as tt, {_TOKENS.format('body')} as bt
                  from (select space_id, path, body, string_split(body, chr(10))[1] as title from {{kb_page}}) p),
     st as (select count(*) as n_docs, avg(len(tt) + len(bt)) as avg_tokens from tok),
-    q as (select unnest(['from', 'thon']) as term),
+    q as (select unnest([{terms}]) as term),
     hit as (select space_id, path, title, term, len(tt) + len(bt) as d,
                    8.0 * len(list_filter(tt, lambda t: t = term)) + len(list_filter(bt, lambda t: t = term)) as tf from tok, q),
     df as (select term, count(*) as n from hit where tf > 0 group by term),
     sc as (select h.space_id, h.path, h.title, sum(-greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / avg_tokens))) as score, count(*) as k
            from hit h join df using (term), st where tf > 0 group by h.space_id, h.path, h.title)
-    select space_id, path, title, contains(lower(title), 'from thon') as title_match, round(score, 6) as score
-    from sc where k = 2 order by contains(lower(title), 'from thon') desc, sc.score, path, space_id limit 12"""
+    select space_id, path, title, contains(lower(title), '{words}') as title_match, round(score, 6) as score
+    from sc where k = {len(words.split())} order by contains(lower(title), '{words}') desc, sc.score, path, space_id limit {limit}"""
+
+
+_SEARCH_SQL = _search_sql(SEARCH, 12)
+_BATCH = ("from thon", "thon", "from")
 
 
 @query("search_pages", _SEARCH_SQL)
@@ -76,6 +85,15 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_index(spark, sf_dir).search(SEARCH).withColumn("score", F.round("score", 6))
 
 
+@query("w1_top_per_query", " union all ".join(f"select '{q}' as query_id, * from ({_search_sql(q, 5)}) x" for q in _BATCH))
+def top_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best five pages of each query of a batch, from the stored index."""
+    kept = stored_index(spark, sf_dir)
+    hits = [kept.search(q, search.MOST).withColumn("query_id", F.lit(q)) for q in _BATCH]
+    best = search.top_per_query(reduce(DataFrame.unionByName, hits), 5)
+    return best.select("query_id", "space_id", "path", "title", "title_match", F.round("score", 6).alias("score"))
+
+
 @query("search_whole_corpus", _SEARCH_SQL)
 def search_whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without an index: every page is read."""
