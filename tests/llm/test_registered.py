@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_prefix_join": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op9_island_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_mpeg_audio": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature samples seconds frame_offsets",
+    "op11_superminhash": "doc_id n_shingles component_id kept",
+    "op12_welford_whitening": "vec_id component n deviation whitened explained identity_error",
+    "op13_bit_planes": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -35,6 +38,7 @@ def tables(spark, odd_docs, tmp_path_factory):
     docs = odd_docs.unionByName(extra)
     labels = [(1, 1, 1), (2, 0, 0), (5, None, None), (None, 1, 1), (7, 0, 0), (99, 1, 1), (8, 1, 1)]
     items = [("b1", "The item has ten words and it goes on here now"), ("b2", None), ("b3", ""), ("b4", "one two"), ("b1", "one")]
+    vectors = [(1, [0.5, 1.0], 0), (1, [0.5, 1.0], 0), (2, None, 0), (3, [None, 1.0], 0), (None, [2.0, 7.0], 1), (4, [float("nan"), 0.0], None), (5, [9.0, -3.0], 1)]
     out = {}
     for name, n in (("odd", None), ("empty", 0)):
         d = str(root / name)
@@ -42,6 +46,7 @@ def tables(spark, odd_docs, tmp_path_factory):
         cut(docs).write.parquet(f"{d}/documents.parquet")
         cut(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).write.parquet(f"{d}/labels.parquet")
         cut(spark.createDataFrame(items, "item_id string, text string")).write.parquet(f"{d}/benchmark.parquet")
+        cut(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")).write.parquet(f"{d}/embeddings.parquet")
         out[name] = d
     return out
 
@@ -63,6 +68,9 @@ def test_odd_tables(spark, tables, name):
     df = QUERIES[name](spark, tables["odd"])
     assert set(COLUMNS[name].split()) <= set(df.columns)
     rows = df.collect()
+    if name == "op12_welford_whitening":
+        assert Counter((r["vec_id"], r["component"]) for r in rows) == Counter((v, c) for v in (1, 1, None, 5) for c in (1, 2))
+        return
     if name not in ("op2_random_forest", "op9_island_packing"):
         assert Counter(r["doc_id"] for r in rows) == Counter(d for d, _ in docs)
     split = {"op1_bloom_ngram": (5, 1), "op6_nn_pu": (4, 2), "op7_nearest_centroid": (5, 0)}.get(name)
@@ -94,6 +102,13 @@ def test_odd_tables(spark, tables, name):
         assert got[22]["n_hit"] == 11 and got[22]["contaminated"] and got[3]["n_words"] == 0
         assert got[22]["items_sha256"] == hashlib.sha256(b"b1").hexdigest()
         assert got[6]["contaminated"] and got[6]["n_words"] == 1  # an item of one word
+    if name == "op11_superminhash":
+        got = {r["doc_id"]: r for r in rows}
+        assert got[2]["component_id"] == 1 and not got[2]["kept"] and got[1]["kept"] and got[3]["n_shingles"] == 0 and got[3]["component_id"] == 3
+        assert got[7]["n_shingles"] == 20 and got[7]["component_id"] == 1  # 18 of the 20 are document 1's
+        assert got[None]["component_id"] is None and got[6]["n_shingles"] == 1
+    if name == "op13_bit_planes":
+        assert {r["doc_id"] for r in rows if r["n_runs"] > 0} >= {7} and all((r["start"] is None) == (r["n_runs"] == 0) for r in rows)
     if name == "op9_island_packing":
         t = Tokenizer.from_file(packing.word_vocabulary())
         want = Counter()
