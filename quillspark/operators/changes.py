@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import ranks, versions
+from quillspark.operators import linediff, ranks, versions
 from quillspark.storage import materialize
 
 TITLE_PREFIX = "Agent Change: "
@@ -78,19 +77,17 @@ def merged(base: DataFrame, draft: DataFrame, agent: DataFrame) -> DataFrame:
     State: unchanged, same, take_agent, keep_draft, merged or conflict. A
     missing file is a null body; a file which one side deleted and the other
     changed is a conflict, as is one that both added differently. The body of a
-    conflict is the draft's. Only files which both changed reach Python.
+    conflict is the draft's. Only files which both changed are compared line by line,
+    by the rules of :func:`quillspark.operators.linediff.merged`.
     """
     states = versions.merge_states(base, draft, agent)
     named = lambda df, n: df.select("path", F.col("body").alias(n))
     joined = states.join(named(draft, "draft"), "path", "left").join(named(agent, "agent"), "path", "left")
     simple = joined.filter("state <> 'conflict'").select("path", "state", F.when(F.col("state") == "take_agent", F.col("agent")).otherwise(F.col("draft")).alias("body"))
 
-    @F.pandas_udf("string")
-    def lines(b: pd.Series, d: pd.Series, a: pd.Series) -> pd.Series:
-        whole = [None if x is None or y is None or z is None else versions.merge_text(x, y, z) for x, y, z in zip(b, d, a, strict=True)]
-        return pd.Series(whole, dtype=object)
-
-    both = joined.filter("state = 'conflict'").join(named(base, "base"), "path", "left").withColumn("made", lines("base", "draft", "agent"))
+    both = joined.filter("state = 'conflict'").join(named(base, "base"), "path", "left")
+    whole = both.filter("base is not null and draft is not null and agent is not null").select(F.col("path").alias("key"), "base", "draft", "agent")
+    both = both.join(linediff.merged(whole).select(F.col("key").alias("path"), F.col("body").alias("made")), "path", "left")
     hard = both.select("path", F.when(F.col("made").isNotNull(), "merged").otherwise("conflict").alias("state"), F.coalesce("made", "draft").alias("body"))
     return simple.unionByName(hard)
 

@@ -20,12 +20,15 @@ def edges(pages: DataFrame) -> DataFrame:
     return found.select("space_id", F.col("path").alias("source_path"), F.explode(targets).alias("target")).dropDuplicates()
 
 
+def named_links(links_: DataFrame) -> DataFrame:
+    """(space_id, target, source_path, source_title) of links which carry their source's title; reserved sources are left out."""
+    return links_.filter(~paths.is_reserved(F.col("source_path"))).select("space_id", "target", "source_path", "source_title")
+
+
 def backlinks(pages: DataFrame, links_: DataFrame) -> DataFrame:
     """(space_id, target, source_path, source_title) for all targets at once; reserved sources are left out."""
     named = pages.select("space_id", F.col("path").alias("source_path"), text.index_title(F.col("body")).alias("source_title"))
-    return links_.filter(~paths.is_reserved(F.col("source_path"))).join(named, ["space_id", "source_path"]).select(
-        "space_id", "target", "source_path", "source_title"
-    )
+    return named_links(links_.select("space_id", "source_path", "target").join(named, ["space_id", "source_path"]))
 
 
 def diagnostic(source: Column, target: Column) -> Column:
@@ -43,16 +46,18 @@ def live_targets(pages: DataFrame) -> DataFrame:
     return pages.select("space_id", F.explode(prefixes).alias("target")).distinct()
 
 
+def without_target(links_: DataFrame, targets: DataFrame) -> DataFrame:
+    """(space_id, source_path, source_title, target) of named links whose target is none of ``targets`` (space_id, path) nor a directory."""
+    found = named_links(links_).filter(diagnostic(F.col("source_path"), F.col("target")))
+    return found.join(live_targets(targets), ["space_id", "target"], "left_anti").select("space_id", "source_path", "source_title", "target")
+
+
 def broken_links(pages: DataFrame, links_: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(space_id, source_path, source_title, target) whose target is neither a file nor a directory.
 
     ``targets`` (space_id, path): all files, where there are others than pages.
     """
-    found = backlinks(pages, links_).filter(diagnostic(F.col("source_path"), F.col("target")))
-    live = live_targets(pages if targets is None else targets)
-    return found.join(live, ["space_id", "target"], "left_anti").select(
-        "space_id", "source_path", "source_title", "target"
-    )
+    return without_target(backlinks(pages, links_), pages if targets is None else targets)
 
 
 def grouped_by_source(broken: DataFrame) -> DataFrame:

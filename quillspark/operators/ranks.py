@@ -37,3 +37,10 @@ def running(df: DataFrame, order: list[Column], size: Column, name: str = "runni
     ranged = _ranged(df.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")), order)
     within = F.sum("_size").over(Window.partitionBy("_part").orderBy("_row"))
     return ranged.join(_before(ranged, F.sum("_size")), "_part").withColumn(name, F.col("_before") + within).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, first: int = 0, name: str = "doc") -> DataFrame:
+    """Adds a number to each row, without gaps from ``first`` on, in any order; nothing is shuffled."""
+    at = F.monotonically_increasing_id()
+    held = materialize(df.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit(_ROW)).alias("_row")), "numbered")
+    return held.join(_before(held, F.count("*")), "_part").withColumn(name, F.col("_before") + F.col("_row") + first).select(*df.columns, name)

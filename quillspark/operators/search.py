@@ -16,21 +16,20 @@ TITLE_WEIGHT, BODY_WEIGHT, K1, B = 8.0, 1.0, 1.2, 0.75
 MOST = 100
 
 
-_POSTINGS = "term string, space_id string, path string, field string, positions array<int>, tf long"
+def postings(pages: DataFrame, keep: tuple[str, ...] = ("space_id", "path")) -> DataFrame:
+    """(term, *keep, field, positions, tf) of every page, made within its row: nothing is shuffled.
 
-
-def postings(pages: DataFrame) -> DataFrame:
-    """(term, space_id, path, field, positions, tf) of every page, made within its row: nothing is shuffled.
-
-    A term of a field is one row. Null titles and bodies have none.
+    A term of a field is one row, which carries the columns ``keep`` of its
+    page. Null titles and bodies have none.
     """
+    kept = pages.select(*keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 terms, rows, positions, fields, counts = [], [], [], [], []
-                for field, column in (("title", b.column(2)), ("body", b.column(3))):
+                for field, column in (("title", b.column(len(keep))), ("body", b.column(len(keep) + 1))):
                     for i, value in enumerate(column):
                         found: dict[str, list[int]] = {}
                         for k, t in enumerate(text.tokens_of(value.as_py())):
@@ -42,11 +41,12 @@ def postings(pages: DataFrame) -> DataFrame:
                     fields += [field] * (len(terms) - len(fields))
                 take = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms, pa.string()), b.column(0).take(take), b.column(1).take(take), pa.array(fields, pa.string()), pa.array(positions, pa.list_(pa.int32())), pa.array(counts, pa.int64())],
-                    ["term", "space_id", "path", "field", "positions", "tf"],
+                    [pa.array(terms, pa.string()), *[b.column(k).take(take) for k in range(len(keep))], pa.array(fields, pa.string()), pa.array(positions, pa.list_(pa.int32())), pa.array(counts, pa.int64())],
+                    ["term", *keep, "field", "positions", "tf"],
                 )
 
-    return pages.select(F.col("space_id").cast("string"), F.col("path").cast("string"), "title", "body").mapInArrow(run, _POSTINGS)
+    schema = f"term string, {', '.join(f'`{c}` {t}' for c, t in kept.dtypes)}, field string, positions array<int>, tf long"
+    return pages.select(*keep, F.col("title").alias("_title"), F.col("body").alias("_body")).mapInArrow(run, schema)
 
 
 def term_counts(pages: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import linediff
+from quillspark.storage import materialize
+
 
 def digest(content: Column) -> Column:
     return F.sha2(content, 256)
@@ -56,63 +56,18 @@ def reconcile(index: DataFrame, seen: DataFrame) -> DataFrame:
     return a.join(b, ["space_id", "path"], "full").withColumn("action", action).filter("action is not null").select("space_id", "path", "action")
 
 
-_LINES = "array<struct<kind:string,old_line:int,new_line:int,text:string>>"
-
-
-def line_diff(old: str | None, new: str | None) -> list[dict]:
-    """Kept, deleted and added lines in order, with their numbers on either side."""
-    a, b = (old or "").splitlines(), (new or "").splitlines()
-    out = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            out += [{"kind": "ctx", "old_line": i + 1, "new_line": j1 + i - i1 + 1, "text": a[i]} for i in range(i1, i2)]
-        else:
-            out += [{"kind": "del", "old_line": i + 1, "new_line": None, "text": a[i]} for i in range(i1, i2)]
-            out += [{"kind": "add", "old_line": None, "new_line": j + 1, "text": b[j]} for j in range(j1, j2)]
-    return out
-
-
 def file_diffs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, status, lines, additions, deletions) of changed files; unchanged ones never reach Python."""
+    """(path, status, lines, additions, deletions) of changed files: kept, deleted and added lines with their numbers on either side."""
     changed = changes(old, new).select("path", "status")
-    both = (
-        changed.join(old.select("path", F.col("body").alias("old")), "path", "left").join(new.select("path", F.col("body").alias("new")), "path", "left")
+    both = changed.join(old.select("path", F.col("body").alias("old")), "path", "left").join(new.select("path", F.col("body").alias("new")), "path", "left")
+    pairs = materialize(both.select(F.col("path").alias("key"), "status", linediff.lines(F.col("old")).alias("x"), linediff.lines(F.col("new")).alias("y")), "pairs")
+    row = F.struct("place", F.struct("kind", "old_line", "new_line", "text").alias("line"))
+    listed = linediff.diff_lines(pairs.select("key", "x", "y")).groupBy("key").agg(
+        F.array_sort(F.collect_list(row))["line"].alias("lines"), F.count_if(F.col("kind") == "add").alias("additions"), F.count_if(F.col("kind") == "del").alias("deletions")
     )
-
-    @F.pandas_udf(_LINES)
-    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([line_diff(x, y) for x, y in zip(a, b, strict=True)])
-
-    counted = lambda kind: F.size(F.filter("lines", lambda x: x["kind"] == kind)).cast("long")
-    return both.withColumn("lines", diff("old", "new")).select("path", "status", "lines", counted("add").alias("additions"), counted("del").alias("deletions"))
-
-
-def merge_text(base: str, draft: str, agent: str) -> str | None:
-    """Line-wise three-way merge; None on a conflict."""
-    lines = base.splitlines(keepends=True)
-    edits = []
-    for other in (draft, agent):
-        new = other.splitlines(keepends=True)
-        ops = difflib.SequenceMatcher(None, lines, new, autojunk=False).get_opcodes()
-        edits.append([(i1, i2, tuple(new[j1:j2])) for tag, i1, i2, j1, j2 in ops if tag != "equal"])
-    chosen = sorted({*edits[0], *edits[1]})
-    for (_, end, _), (start, stop, _) in zip(chosen, chosen[1:], strict=False):
-        if start < end or (start == end and start == stop) or (start == end and end == stop):
-            return None
-    out, at = [], 0
-    for start, stop, new in chosen:
-        out += lines[at:start] + list(new)
-        at = stop
-    return "".join(out + lines[at:])
-
-
-def surviving(old: str, new: str) -> list[int]:
-    """For each line of ``old`` its number in ``new``, 0 if it did not survive."""
-    a, b = old.split("\n"), new.split("\n")
-    out = [0] * len(a)
-    for i, j, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        out[i : i + n] = range(j + 1, j + n + 1)
-    return out
+    none = F.array().cast("array<struct<kind:string,old_line:int,new_line:int,text:string>>")
+    out = pairs.select("key", "status").join(listed, "key", "left")
+    return out.select(F.col("key").alias("path"), "status", F.coalesce("lines", none).alias("lines"), F.coalesce("additions", F.lit(0)).alias("additions"), F.coalesce("deletions", F.lit(0)).alias("deletions"))
 
 
 def remap_anchors(comments: DataFrame, snapshots: DataFrame, pages: DataFrame) -> DataFrame:
@@ -125,18 +80,15 @@ def remap_anchors(comments: DataFrame, snapshots: DataFrame, pages: DataFrame) -
     if one of its lines, its snapshot or its page is gone, and if its lines are
     null or not within the snapshot.
     """
-
-    @F.pandas_udf("array<int>")
-    def lines(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([surviving(x, y) for x, y in zip(a, b, strict=True)])
-
     distinct = snapshots.select("page_slug", "content_hash", "source").dropDuplicates(["page_slug", "content_hash"])
-    both = distinct.join(pages.select("page_slug", "body"), "page_slug").filter("source is not null and body is not null")
+    both = materialize(distinct.join(pages.select("page_slug", "body"), "page_slug").filter("source is not null and body is not null"), "snapshots")
     same = both.filter("source = body").select("page_slug", "content_hash", F.sequence(F.lit(1), F.size(F.split("source", "\n"))).alias("lines"))
-    moved = both.filter("source <> body").select("page_slug", "content_hash", lines("source", "body").alias("lines"))
-    joined = comments.select("id", "page_slug", "content_hash", "start_line", "end_line").join(same.unionByName(moved), ["page_slug", "content_hash"], "left")
+    pairs = both.filter("source <> body").select(F.struct("page_slug", "content_hash").alias("key"), F.split("source", "\n").alias("x"), F.split("body", "\n").alias("y"))
+    kept = linediff.matches(pairs).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("a") + 1, F.col("b") + 1))).alias("to"))
+    found = pairs.join(kept, "key", "left").select("key.*", F.transform(F.sequence(F.lit(1), F.size("x")), lambda n: F.coalesce(F.try_element_at("to", n), F.lit(0))).alias("lines"))
+    joined = comments.select("id", "page_slug", "content_hash", "start_line", "end_line").join(same.unionByName(found), ["page_slug", "content_hash"], "left")
     first, last = F.col("start_line"), F.col("end_line")
     within = (first >= 1) & (first <= last) & (last <= F.size("lines"))
-    kept = F.when(within, F.forall(F.slice("lines", first, last - first + 1), lambda n: n > 0)).otherwise(False)
-    at = lambda line: F.when(kept, F.try_element_at(F.col("lines"), line.cast("int")))
-    return joined.select("id", "page_slug", F.when(kept, "anchored").otherwise("outdated").alias("state"), at(first).alias("start_line"), at(last).alias("end_line"))
+    kept_all = F.when(within, F.forall(F.slice("lines", first, last - first + 1), lambda n: n > 0)).otherwise(False)
+    at = lambda line: F.when(kept_all, F.try_element_at(F.col("lines"), line.cast("int")))
+    return joined.select("id", "page_slug", F.when(kept_all, "anchored").otherwise("outdated").alias("state"), at(first).alias("start_line"), at(last).alias("end_line"))

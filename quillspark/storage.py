@@ -29,3 +29,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), name
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    fs, folder = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, name = _file_system(spark, path)
+    stream = fs.open(name)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file which must not be there yet; false if another writer has made it."""
+    fs, name = _file_system(spark, path)
+    try:
+        stream = fs.create(name, False)
+    except Exception:
+        if fs.exists(name):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, name = _file_system(spark, path)
+    fs.delete(name, True)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import commonmark, metadata, paths, text
-from quillspark.operators import graph, search, versions
+from quillspark.operators import graph, linediff, search, versions
 from quillspark.sources import files, formats
 from quillspark.streaming import reconcile
 
@@ -104,14 +104,15 @@ def test_versions(spark):
     assert state == {"a": "conflict", "b": "unchanged", "c": "same", "d": "keep_draft", "e": "keep_draft"}
     diffs = {r["path"]: r for r in versions.file_diffs(base, draft).collect()}
     assert (diffs["a"]["additions"], diffs["a"]["deletions"], diffs["d"]["status"]) == (1, 0, "deleted")
-    assert versions.merge_text("1\n2\n3\n", "1\n2\n3\n4\n", "0\n1\n2\n3\n") == "0\n1\n2\n3\n4\n"
-    assert versions.merge_text("1\n", "2\n", "3\n") is None
-    assert versions.merge_text("1\n2\n", "1\n2\nx\n", "1\n2\n") == "1\n2\nx\n"
+    texts = [(1, "1\n2\n3\n", "1\n2\n3\n4\n", "0\n1\n2\n3\n"), (2, "1\n", "2\n", "3\n"), (3, "1\n2\n", "1\n2\nx\n", "1\n2\n")]
+    made = linediff.merged(spark.createDataFrame(texts, "key int, base string, draft string, agent string"))
+    assert {r["key"]: r["body"] for r in made.collect()} == {1: "0\n1\n2\n3\n4\n", 2: None, 3: "1\n2\nx\n"}
 
 
 @pytest.mark.parametrize(("old", "new"), [("", "a\nb"), ("a\nb\nc", "b\nc\nd"), ("x\n" * 5, "x\n" * 3), ("a", "")])
-def test_line_diff_gives_both_sides(old, new):
-    lines = versions.line_diff(old, new)
+def test_line_diff_gives_both_sides(spark, old, new):
+    one = lambda body: spark.createDataFrame([("p", body)], "path string, body string")
+    lines = versions.file_diffs(one(old), one(new)).first()["lines"]
     assert [x["text"] for x in lines if x["kind"] != "add"] == old.splitlines()
     assert [x["text"] for x in lines if x["kind"] != "del"] == new.splitlines()
 
