@@ -30,8 +30,10 @@ BUCKET = 4096
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 15
 #: Near copies: bits by words for the blocks, and 256 bits by distinct word shingles; of each at most so many differ.
-WORD_DISTANCE = 5
-WIDE_WORDS, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 44
+WORD_DISTANCE = 6
+WIDE_WORDS, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 72
+#: Members of a block of near copies by chance, of which the second bound leaves none.
+FILL = 8
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -114,7 +116,7 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray | None, distanc
     return out
 
 
-def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks: int | None = None, wide_distance: int = WIDE_DISTANCE) -> DataFrame:
+def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks: int | None = None, wide_distance: int = WIDE_DISTANCE, fill: int = 2) -> DataFrame:
     """Links (a, b) of nodes whose transitive closure is that of all near pairs of ``points`` (node, fp).
 
     Near are fingerprints within ``distance``; where points also have ``wide``
@@ -126,7 +128,7 @@ def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blo
     frequent block is no hot key.
     """
     n = points.count()
-    blocks = blocks or n_blocks(n, distance)
+    blocks = blocks or n_blocks(n, distance, fill)
     keys = block_keys(F.col("fp"), blocks, distance)
     keyed = points.select("node", "fp", F.explode(keys).alias("key")).select("key.choice", "key.bits", "node", "fp")
     shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cut", F.ceil(F.col("n") / bucket))
@@ -247,9 +249,9 @@ def near_copies(rows: DataFrame, distance: int = WORD_DISTANCE, wide_distance: i
     """(row) of those of ``rows`` (row, doc_id, text) which stay: one of each group of near copies.
 
     Near are texts whose bits by words differ in at most ``distance`` and whose
-    256 bits by five-word shingles in at most ``wide_distance``: 44 stands for
-    a similarity of about 0.8 (0.85 and more: almost all pairs, 0.7: one in
-    six). The row with the least doc_id stays, then the least row; rows without
+    256 bits by five-word shingles in at most ``wide_distance``: 72 stands for
+    a similarity of about 0.6, which a copy keeps whose words are changed by 2
+    to 6 %. Unrelated texts differ in about 128. The row with the least doc_id stays, then the least row; rows without
     a doc_id are judged too and stay if their group has no other. Null, empty
     and blank texts are one group. An empty table gives an empty result.
     """
@@ -265,7 +267,7 @@ def near_copies(rows: DataFrame, distance: int = WORD_DISTANCE, wide_distance: i
     marked = materialize(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, fp long, wide array<long>"), "copy-fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     groups = materialize(marked.groupBy("fp", "wide").agg(best).withColumn("node", F.monotonically_increasing_id()), "groups")
-    found = components(links(groups.select("node", "fp", "wide"), distance, bucket, wide_distance=wide_distance))
+    found = components(links(groups.select("node", "fp", "wide"), distance, bucket, wide_distance=wide_distance, fill=FILL))
     named = groups.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     return named.groupBy("component").agg(F.min("best").alias("best")).select("best.row")
 
