@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import links, metadata, paths, text
-from quillspark.operators import batch, graph, index, search, vector, versions
+from quillspark.operators import batch, graph, index, nearpages, search, vector, versions
 from quillspark.plans import engine
 from quillspark.plans.registry import ORACLE_SQL, QUERIES, query
 from quillspark.plans.shared_sql import SHARED
@@ -271,6 +271,19 @@ def semantic_search(spark, sf_dir):
     return vector.nearest(v.filter("vec_id % 50 = 0"), v.filter("branch = 'main'"), 10, 0.1)
 
 
+@query("j11_near_pages", """
+    with p as (select vec_id, embedding from {kb_vec} union all select vec_id + 1000000 as vec_id, list_transform(embedding, lambda x, i: case when i <= vec_id % 7 then -x else x end) as embedding from {kb_vec}),
+    s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as s from p q, p v where q.vec_id <> v.vec_id),
+    r as (select query_id, vec_id, s, row_number() over (partition by query_id order by s desc, vec_id) as k from s where s > 0.85)
+    select query_id, vec_id, round(s, 6) as similarity from r where k <= 3""")
+def near_pages(spark, sf_dir):
+    """The three nearest above 0.85 of every vector and of a changed copy of each."""
+    v = view(spark, sf_dir, "kb_vec").select("vec_id", "embedding")
+    changed = v.select(F.col("vec_id") + 1000000, F.transform("embedding", lambda x, i: F.when(i < F.col("vec_id") % 7, -x).otherwise(x)))
+    pages = v.union(changed)
+    return nearpages.nearest_pages(pages, pages, 3, 0.85)
+
+
 _CHANGES = """
     select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'deleted' else 'modified' end as status,
         sha256(a.body) as old_sha, sha256(b.body) as new_sha
