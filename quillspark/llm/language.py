@@ -109,16 +109,41 @@ class LanguageModel:
         return self.languages[k], float(1 / e.sum()), float(best[k]), bool(best[k] < self.limits[k])
 
 
-def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+class _Rows:
+    """Sparse unit vectors; a dense table of them would be the driver's largest object."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
+        self.at = [a for a, _ in rows]
+        norms = [max(float(np.linalg.norm(v)), 1e-9) for _, v in rows]
+        self.values = [(v / n).astype(np.float32) for (_, v), n in zip(rows, norms, strict=True)]
+
+    def dots(self, c: np.ndarray) -> np.ndarray:
+        """Products with each row of ``c``."""
+        return np.stack([c[:, at] @ v for at, v in zip(self.at, self.values, strict=True)])
+
+    def mean(self, which: np.ndarray) -> np.ndarray:
+        total = np.zeros(DIM, np.float32)
+        for k in which:
+            total[self.at[k]] += self.values[k]
+        return total / len(which)
+
+    def dense(self, k: int) -> np.ndarray:
+        out = np.zeros(DIM, np.float32)
+        out[self.at[k]] = self.values[k]
+        return out
+
+
+def _spherical_kmeans(x: _Rows, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids; starts from farthest points, so equal input gives equal output."""
-    k = min(k, len(x))
-    start = [int((x @ x.mean(0)).argmax())]
+    n = len(x.at)
+    k = min(k, n)
+    start = [int(x.dots(x.mean(np.arange(n))[None])[:, 0].argmax())]
     while len(start) < k:
-        start.append(int((x @ x[start].T).max(1).argmin()))
-    c = x[start]
+        start.append(int(x.dots(np.stack([x.dense(s) for s in start])).max(1).argmin()))
+    c = np.stack([x.dense(s) for s in start])
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = np.stack([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(k)])
+        near = x.dots(c).argmax(1)
+        c = np.stack([x.mean(np.flatnonzero(near == j)) if (near == j).any() else c[j] for j in range(k)])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
     return c
 
@@ -189,12 +214,9 @@ def _fitted(got: list, k: int) -> LanguageModel:
     model = LanguageModel(languages, idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(len(languages)))
     cents, owner = [], []
     for j, lang in enumerate(languages):
-        x = np.zeros((sum(r["lang"] == lang for r in got), DIM), np.float32)
-        for i, (at, tf) in enumerate(p for r, p in zip(got, pairs, strict=True) if r["lang"] == lang):
-            x[i, at] = (1 + np.log(tf)) * idf[at]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = _Rows([(at, (1 + np.log(tf)) * idf[at]) for r, (at, tf) in zip(got, pairs, strict=True) if r["lang"] == lang])
         c = _spherical_kmeans(x, k)
-        model.limits[j] = float(np.quantile((x @ c.T).max(1), REJECT_QUANTILE)) - REJECT_MARGIN
+        model.limits[j] = float(np.quantile(x.dots(c).max(1), REJECT_QUANTILE)) - REJECT_MARGIN
         cents.append(c)
         owner += [j] * len(c)
     if cents:
