@@ -1,13 +1,16 @@
 """Links of Markdown documents outside of code: a small scanner for each row, behind an Arrow UDF.
 
-Blocks first (fenced and indented code, reference definitions), then code
-spans, then links. It covers what link extraction needs of CommonMark; HTML
-blocks and block quotes are read like paragraphs.
+Blocks first, line by line: block quotes, lists, fenced and indented code, HTML
+blocks and reference definitions. What is left are stretches of inline text,
+each read once: code spans, HTML tags and autolinks go before brackets, and
+open brackets wait on a stack. It covers what link extraction needs of
+CommonMark, in time in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,9 +19,34 @@ from pyspark.sql import functions as F
 _FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 _ITEM = re.compile(r"( {0,3}(?:[-*+]|\d{1,9}[.)])) +")
 _DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]: *(<[^<>\n]*>|[^\s<]\S*)")
-_TICKS = re.compile("`+")
 _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 _SPACE = re.compile(r"\s+")
+_QUOTE = re.compile(r" {0,3}> ?")
+_HEADING = re.compile(r" {0,3}#{1,6}(?:\s|$)")
+#: HTML blocks: how one begins, and what ends it; those without an end go to the next blank line.
+_HTML = [
+    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?:\s|>|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I)),
+    (re.compile(r" {0,3}<!--"), re.compile("-->")),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
+    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(r" {0,3}<![A-Za-z]"), re.compile(">")),
+]
+# fixed values: the names of block tags in CommonMark
+_BLOCK_TAG = re.compile(
+    r" {0,3}</?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]"
+    r"|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:\s|/?>|$)",
+    re.I,
+)
+_ATTRIBUTE = r"(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)"
+_TAG = re.compile(rf"<(?:[A-Za-z][A-Za-z0-9-]*{_ATTRIBUTE}*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*)>")
+_LONE_TAG = re.compile(rf" {{0,3}}{_TAG.pattern}\s*$")
+_AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w.-]+)>")
+_SPECIAL = re.compile(r"[\\`<\[\]]")
+_TARGET = re.compile(r"\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
+_LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.){0,999})\]")
+_OPEN = re.compile(r"(?<!\\)[\[\]]")
+
+Span = tuple[int, int]
 
 
 def _indent(line: str) -> int:
@@ -33,135 +61,177 @@ def _indent(line: str) -> int:
     return n
 
 
-def _blocks(body: str) -> tuple[list[tuple[int, int]], dict[str, str], list[tuple[int, int]]]:
-    """Spans of code blocks, reference definitions by label, and the spans of the definitions."""
-    code, definitions, defined = [], {}, []
-    fence, at, list_at, blank, paragraph = "", 0, 0, True, False
+def _html_end(line: str, paragraph: bool) -> re.Pattern | str | None:
+    """What ends the HTML block which begins on this line: a pattern, '' for a blank line, or None if none begins."""
+    if not line.lstrip(" ").startswith("<"):
+        return None
+    for start, end in _HTML:
+        if start.match(line):
+            return end
+    if _BLOCK_TAG.match(line) or (not paragraph and _LONE_TAG.match(line)):
+        return ""
+    return None
+
+
+def _blocks(body: str) -> tuple[list[Span], dict[str, str], list[Span]]:
+    """Spans of code blocks, reference definitions by label, and the stretches of inline text."""
+    code: list[Span] = []
+    definitions: dict[str, str] = {}
+    inline: list[Span] = []
+    fence, html, at, list_at, blank, paragraph, depth = "", None, 0, 0, True, False, 0
+
+    def text_line(start: int, end: int, goes_on: bool) -> None:
+        if goes_on and inline and inline[-1][1] == start:
+            inline[-1] = (inline[-1][0], end)
+        else:
+            inline.append((start, end))
+
     for line in body.splitlines(keepends=True):
-        text, end = line.rstrip("\r\n"), at + len(line)
-        indent, empty = _indent(text), not text.strip()
+        start, end = at, at + len(line)
+        at = end
+        text = line.rstrip("\r\n")
+        quoted = 0
+        if ">" in text[:4] or depth:
+            while m := _QUOTE.match(text):
+                text, quoted = text[m.end() :], quoted + 1
+        if quoted != depth and (quoted > depth or not paragraph or not text.strip()):
+            # what a quote holds ends with it; only a paragraph may go on without its marks
+            fence, html, list_at, blank, paragraph, depth = "", None, 0, True, False, quoted
+        indent = _indent(text) if text[:1] in " \t" else 0
+        empty = not text.strip()
         if fence:
-            code.append((at, end))
+            code.append((start, end))
             closing = text.strip()
             if indent < 4 + list_at and closing and set(closing) == {fence[0]} and len(closing) >= len(fence):
-                fence = ""
-                paragraph = False
-        elif empty:
+                fence, paragraph = "", False
+            continue
+        if html is not None:
+            if (html == "" and empty) or (html != "" and html.search(text)):
+                html, paragraph = None, False
+                blank = empty
+            continue
+        if empty:
             blank, paragraph = True, False
+            continue
+        item = _ITEM.match(text[list_at:] if indent >= list_at else text)
+        if not item and blank and indent < list_at:
+            list_at = 0
+        inner = text[list_at:] if list_at and indent >= list_at else text
+        if indent - list_at >= 4 and not paragraph and not (item and list_at):
+            code.append((start, end))
         else:
-            item = _ITEM.match(text[list_at:] if indent >= list_at else text)
-            if not item and blank and indent < list_at:
-                list_at = 0
-            inner = text[list_at:] if list_at and indent >= list_at else text
-            if indent - list_at >= 4 and not paragraph and not (item and list_at):
-                code.append((at, end))
+            if item:
+                list_at = (list_at if indent >= list_at else 0) + len(item[0])
+                inner = inner[len(item[0]) :]
+                paragraph = False
+            if opened := _FENCE.match(inner):
+                fence = opened[1]
+                code.append((start, end))
+            elif (stop := _html_end(inner, paragraph)) is not None:
+                first = inner.lstrip(" ")
+                # an end on the line itself counts behind the block's start
+                if stop == "" or not stop.search(first, 4 if first.startswith("<!--") else 1):
+                    html = stop
+                paragraph = False
+            elif not paragraph and inner.lstrip(" ").startswith("[") and (d := _DEFINITION.match(inner)):
+                definitions.setdefault(_label(d[1]), d[2][1:-1] if d[2].startswith("<") else d[2])
+            elif _HEADING.match(inner):
+                text_line(start, end, False)
+                paragraph = False
             else:
-                if item:
-                    list_at = (list_at if indent >= list_at else 0) + len(item[0])
-                    inner = inner[len(item[0]) :]
-                if opened := _FENCE.match(inner):
-                    fence = opened[1]
-                    code.append((at, end))
-                elif not paragraph and (d := _DEFINITION.match(inner)):
-                    definitions.setdefault(_label(d[1]), d[2][1:-1] if d[2].startswith("<") else d[2])
-                    defined.append((at, end))
-                else:
-                    paragraph = not inner.lstrip().startswith("#")
-            blank = False
-        at = end
-    return code, definitions, defined
+                text_line(start, end, paragraph)
+                paragraph = True
+        blank = False
+    return code, definitions, inline
 
 
 def _label(text: str) -> str:
     return _SPACE.sub(" ", text.strip()).casefold()
 
 
-def _blanked(body: str, spans: list[tuple[int, int]], by: str = "\0") -> str:
-    """The text with these spans overwritten, but for line ends."""
-    out, at = [], 0
-    for a, b in sorted(spans):
-        if b > at:
-            out += [body[at : max(a, at)], re.sub(r"[^\n]", by, body[max(a, at) : b])]
-            at = b
-    return "".join([*out, body[at:]])
-
-
-def _spans(body: str, code: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of inline code: a run of backticks up to the next run of the same length, within a paragraph."""
-    text, out, at = _blanked(body, code, "\n"), [], 0
-    while m := _TICKS.search(text, at):
-        at = m.end()
-        back = len(text[: m.start()]) - len(text[: m.start()].rstrip("\\")) if text[m.start() - 1 : m.start()] == "\\" else 0
-        if back % 2:
-            continue
-        for n in _TICKS.finditer(text, m.end()):
-            if re.search(r"\n[ \t]*\n", text[m.end() : n.start()]):
-                break
-            if len(n[0]) == len(m[0]):
-                out.append((m.start(), n.end()))
-                at = n.end()
-                break
-    return out
-
-
-def _closing(text: str, at: int, one: str, other: str) -> int:
-    """Where the bracket opened before ``at`` closes; -1 if it does not in its paragraph."""
-    depth = 1
-    while at < len(text):
-        ch = text[at]
+def _inline(body: str, start: int, end: int, definitions: dict[str, str], spans: list[Span], links: list[tuple[int, str]]) -> None:
+    """Add the code spans and links (place of the bracket, target) of one stretch of text."""
+    s = body[start:end]
+    runs: dict[int, list[int]] = {}
+    if "`" in s:
+        for m in re.finditer("`+", s):
+            runs.setdefault(len(m[0]), []).append(m.start())
+    stack: list[tuple[int, bool]] = []
+    dead, at, no_comment = 0, 0, False
+    while m := _SPECIAL.search(s, at):
+        i, ch = m.start(), m[0]
+        at = i + 1
         if ch == "\\":
-            at += 2
-            continue
-        if ch == "\n" and not text[at + 1 : text.find("\n", at + 1) if "\n" in text[at + 1 :] else None].strip():
-            return -1
-        depth += (ch == one) - (ch == other)
-        if not depth:
-            return at
-        at += 1
-    return -1
-
-
-def _destination(text: str, at: int) -> str | None:
-    """The target of ``(target "title")`` which begins at ``at``; None if it is none."""
-    m = re.compile(r"\(\s*(?:<((?:[^<>\n\\]|\\.)*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)").match(text, at)
-    if not m:
-        return None
-    return _ESCAPED.sub(r"\1", m[1] if m[1] is not None else m[2])
+            at = i + 2
+        elif ch == "`":
+            n = 1
+            while s[i + n : i + n + 1] == "`":
+                n += 1
+            later = runs[n] if n in runs else []
+            k = bisect_right(later, i)
+            at = i + n
+            if k < len(later):
+                at = later[k] + n
+                spans.append((start + i, start + at))
+        elif ch == "<":
+            if s.startswith("<!--", i):
+                close = -1 if no_comment else s.find("-->", i + 4)
+                no_comment = close < 0
+                at = close + 3 if close >= 0 else i + 1
+            elif t := (_AUTOLINK.match(s, i) or _TAG.match(s, i)):
+                at = t.end()
+        elif ch == "[":
+            stack.append((i, i > 0 and s[i - 1] == "!" and not (i > 1 and s[i - 2] == "\\")))
+        elif stack:
+            opened, image = stack.pop()
+            usable = image or len(stack) >= dead
+            dead = min(dead, len(stack))
+            if not usable:
+                continue
+            target, stop = None, i + 1
+            if s[i + 1 : i + 2] == "(" and (t := _TARGET.match(s, i + 1)):
+                target, stop = _ESCAPED.sub(r"\1", t[1] if t[1] is not None else t[2]), t.end()
+            elif definitions:
+                named = _LABEL.match(s, i + 1)
+                whole = named[1] if named and named[1].strip() else s[opened + 1 : i] if i - opened < 1000 else ""
+                if whole.strip() and not _OPEN.search(whole) or named and named[1].strip():
+                    target = definitions.get(_label(whole))
+                if target is None and named and named[1].strip():
+                    named = None
+                stop = named.end() if named and target is not None else i + 1
+            if target is not None:
+                at = stop
+                if not image:
+                    links.append((start + opened, target))
+                    dead = len(stack)
 
 
 def scan(body: str | None) -> tuple[list[str], list[str]]:
     """Raw targets of ``[[target|label]]`` and of Markdown links (images excluded), each in order.
 
     Wikilinks stand on one line and touch no code. A Markdown link which
-    overlaps a wikilink is none. Null and empty documents have none.
+    begins in a wikilink is none. Null and empty documents have none.
     """
     if not body or "[" not in body:
         return [], []
-    special = "`" in body or "~~~" in body or "\n    " in body or "\t" in body or body.startswith("    ") or "]:" in body
-    code, definitions, defined = _blocks(body) if special else ([], {}, [])
-    excluded = sorted([*code, *(_spans(body, code) if "`" in body else [])])
-    covered = lambda a, b: any(x < b and a < y for x, y in excluded)
+    code, definitions, inline = _blocks(body)
+    found: list[tuple[int, str]] = []
+    for a, b in inline:
+        _inline(body, a, b, definitions, code, found)
+    code.sort()
+    stops = [y for _, y in code]
     wiki, taken, at = [], [], 0
     while (a := body.find("[[", at)) >= 0 and (b := body.find("]]", a + 2)) >= 0:
         at = b + 2
-        if "\n" not in body[a:b] and not covered(a, at):
+        k = bisect_right(stops, a)
+        if "\n" not in body[a:b] and not (k < len(code) and code[k][0] < at):
             wiki.append(body[a + 2 : b].split("|")[0].strip())
             taken.append((a, at))
-    text, links, at = _blanked(body, [*excluded, *defined]), [], 0
-    while (a := text.find("[", at)) >= 0:
-        at = a + 1
-        slashes = len(text[:a]) - len(text[:a].rstrip("\\")) if a and text[a - 1] == "\\" else 0
-        if slashes % 2 or any(x <= a < y for x, y in taken):
-            continue
-        end = _closing(text, a + 1, "[", "]")
-        if end < 0:
-            continue
-        image = a > 0 and text[a - 1] == "!" and not (a > 1 and text[a - 2] == "\\")
-        target = _destination(text, end + 1) if text[end + 1 : end + 2] == "(" else None
-        if target is None:
-            named = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]").match(text, end + 1)
-            target = definitions.get(_label(named[1] if named and named[1].strip() else body[a + 1 : end]))
-        if target is not None and not image:
+    starts = [x for x, _ in taken]
+    links = []
+    for place, target in sorted(found):
+        k = bisect_right(starts, place) - 1
+        if k < 0 or taken[k][1] <= place:
             links.append(target)
     return wiki, links
 
