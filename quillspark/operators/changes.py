@@ -128,6 +128,13 @@ def same_diff(current: DataFrame, expected: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def stale_paths(current: DataFrame, expected: DataFrame) -> DataFrame:
+    """(path, stale) of both diffs (path, status, old_sha, new_sha): whether a path's row is not the one expected."""
+    row = lambda df, n: df.select("path", F.struct("status", "old_sha", "new_sha").alias(n))
+    met = row(current, "c").join(row(expected, "e"), "path", "full")
+    return met.select("path", (~F.col("c").eqNullSafe(F.col("e"))).alias("stale"))
+
+
 def keep_diff(head: DataFrame, work: DataFrame, expected: DataFrame) -> DataFrame:
     """The new head after the reviewed diff is kept; refused if files have changed since."""
     if not same_diff(versions.changes(head, work), expected):

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import links, metadata, paths, text
-from quillspark.operators import batch, graph, index, nearpages, search, vector, versions
-from quillspark.plans import engine
+from quillspark.operators import batch, graph, hybrid, index, nearpages, search, vector, versions
+from quillspark.plans import engine, graphs
 from quillspark.plans.registry import ORACLE_SQL, QUERIES, query
 from quillspark.plans.shared_sql import SHARED
 from quillspark.plans.views import view, with_views
 from quillspark.sources import formats
 from quillspark.storage import shared_dir
 
-__all__ = ["ORACLE_SQL", "QUERIES", "engine"]
+__all__ = ["ORACLE_SQL", "QUERIES", "engine", "graphs"]
 
 def _shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     import re
@@ -115,6 +115,36 @@ def batch_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.search_batch(stored_index(spark, sf_dir), queries, 3).hits.withColumn("score", F.round("score", 6))
 
 
+_ASKED = "select doc_id as query_id, concat(bt[3], ' ', bt[5]) as query, [bt[3], bt[5]] as terms from tok where doc_id % 50 = 0 and len(bt) >= 5"
+
+
+@query("u3_hybrid_hits", f"""
+    with tok as (select doc_id, space_id, path, title, {_TOKENS.format('title')} as tt, {_TOKENS.format('body')} as bt
+                 from (select doc_id, space_id, path, body, string_split(body, chr(10))[1] as title from {{kb_page}}) p),
+    st as (select count(*) as n_docs, avg(len(tt) + len(bt)) as avg_tokens from tok),
+    q as ({_ASKED}),
+    tf as (select doc_id, term, sum(w) as tf from (select doc_id, unnest(tt) as term, 8.0 as w from tok union all select doc_id, unnest(bt) as term, 1.0 as w from tok) u group by doc_id, term),
+    df as (select term, count(*) as n from tf group by term),
+    qt as (select query_id, query, unnest(terms) as term from q),
+    sc as (select query_id, query, t.doc_id, count(*) as k, sum(-greatest(ln((n_docs - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(tt) + len(bt)) / avg_tokens))) as score
+           from qt join tf using (term) join df using (term) join tok t on t.doc_id = tf.doc_id, st group by query_id, query, t.doc_id),
+    kw as (select query_id, doc_id, row_number() over (partition by query_id order by contains(lower(title), query) desc, round(score, 6), path, space_id) as r
+           from sc join tok using (doc_id) where sc.k = 2),
+    se as (select q.query_id, v.vec_id as doc_id, list_cosine_similarity(cast(o.embedding as double[]), cast(v.embedding as double[])) as s
+           from q join {{kb_vec}} o on o.vec_id = q.query_id, {{kb_vec}} v where v.vec_id in (select doc_id from tok)),
+    sr as (select query_id, doc_id, row_number() over (partition by query_id order by s desc, doc_id) as r from se where s > 0.3),
+    a as (select query_id, doc_id, 0 as side, r from kw where r <= 4 union all select query_id, doc_id, 1, r from sr where r <= 4 and not exists (select 1 from kw where kw.r <= 4 and kw.query_id = sr.query_id and kw.doc_id = sr.doc_id))
+    select query_id, regexp_replace(path, '\\.md$', '') as slug, case side when 0 then 'keyword' else 'semantic' end as origin, row_number() over (partition by query_id order by side, r) as place from a join tok using (doc_id)""")
+def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words and the vector of every fiftieth page asked of the stored index and of the pages' vectors."""
+    pages = view(spark, sf_dir, "kb_page")
+    vectors = view(spark, sf_dir, "kb_vec").join(pages.select(F.col("doc_id").alias("vec_id"), "path"), "vec_id").select("vec_id", "path", "embedding")
+    asked = pages.filter("doc_id % 50 = 0").withColumn("t", text.tokens(F.col("body"))).filter(F.size("t") >= 5)
+    queries = asked.select(F.col("doc_id").alias("query_id"), F.concat(F.col("t")[2], F.lit(" "), F.col("t")[4]).alias("query"))
+    own = view(spark, sf_dir, "kb_vec").select(F.col("vec_id").alias("query_id"), "embedding")
+    return hybrid.hybrid_search(stored_index(spark, sf_dir), queries.join(own, "query_id", "left"), vectors, 4, 0.3)
+
+
 @query("search_whole_corpus", _SEARCH_SQL)
 def search_whole_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without an index: every page is read."""
@@ -389,14 +419,6 @@ def tree_hash(spark, sf_dir):
     return versions.tree_hash(view(spark, sf_dir, "kb_page"), "source")
 
 
-@query("k11_unchanged_trees", "select source, false as changed from {kb_page} group by source")
-def unchanged_trees(spark, sf_dir):
-    """A checkpoint of the same files, dealt otherwise, has the same hash, so it is no change."""
-    pages = view(spark, sf_dir, "kb_page")
-    one, two = versions.tree_hash(pages, "source"), versions.tree_hash(pages.repartition(7, "doc_id"), "source")
-    return one.join(two.withColumnRenamed("tree", "other"), "source").select("source", (F.col("tree") != F.col("other")).alias("changed"))
-
-
 @query("x19_lineage", "select path, concat('.kb/sources/s', cast(doc_id % 5 as varchar), '.md') as source from {kb_page}")
 def lineage(spark, sf_dir):
     return view(spark, sf_dir, "kb_page_linked").select("path", F.explode(metadata.sources(F.col("body"))).alias("source"))

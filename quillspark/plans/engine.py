@@ -321,16 +321,6 @@ def applied_transition(spark, sf_dir):
     return changes.apply_transition(base, base, draft).select("path", F.sha2("body", 256).alias("sha"))
 
 
-@query("g7_keep_diff", "select true as kept, false as kept_stale")
-def keep_diff(spark, sf_dir):
-    base, draft, agent = _three(spark, sf_dir)
-    from quillspark.operators import versions
-
-    shown = versions.changes(base, draft)
-    kept, stale = changes.same_diff(versions.changes(base, draft), shown), changes.same_diff(versions.changes(base, agent), shown)
-    return spark.createDataFrame([(kept, stale)], "kept boolean, kept_stale boolean")
-
-
 _MESSAGE = "concat('Subject ', cast(doc_id as string), chr(10), chr(10), 'Agent: A', chr(10), case when doc_id % 4 = 0 then concat('note', chr(10)) else '' end, 'Agent-Change: C', cast(doc_id as string), chr(10), 'Agent-Task: T', chr(10), 'Agent: B', chr(10), 'Agent-Change: D', chr(10), 'Agent-Task: U v', chr(10))"
 
 
@@ -355,12 +345,6 @@ def last_change(spark, sf_dir):
     return changes.last_change(made(spark, sf_dir, _HISTORY))
 
 
-@query("w3_checkpoint_chain", "select cast(doc_id as varchar) as id, 190 - doc_id as place from {documents} where doc_id between 101 and 190")
-def checkpoint_chain(spark, sf_dir):
-    commits = made(spark, sf_dir, "select cast(doc_id as string) as id, cast(doc_id - 1 as string) as parent, doc_id <> 100 as has_ref from {documents}")
-    return changes.checkpoint_chain(commits, "190")
-
-
 # --- bundles and ingest -----------------------------------------------------------
 
 @query("f13_needs_migration", """
