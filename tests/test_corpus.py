@@ -166,6 +166,21 @@ def test_tools(space):
         c.search_pages("x", 101)
 
 
+def test_tools_on_a_stored_index(spark, space, tmp_path):
+    from quillspark.api import Corpus
+    from quillspark.operators.index import SearchIndex
+
+    pages = files.pages(space)
+    stored = SearchIndex(spark, str(tmp_path / "index"))
+    stored.rebuild(pages)
+    one, two = Corpus(pages), Corpus(index=stored)
+    for tool in (lambda c: c.context(), lambda c: c.search_pages("network"), lambda c: c.page("wiki/overview.md"), lambda c: c.backlinks("wiki/overview"), lambda c: c.broken_links("s")):
+        a, b = tool(one), tool(two)
+        assert sorted(map(str, a.select(b.columns).collect())) == sorted(map(str, b.collect()))
+    with pytest.raises(ValueError, match="needed"):
+        Corpus()
+
+
 def test_conformance(spark):
     from quillspark.functions import conformance
 
