@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import changes, history, trees, versions
 from quillspark.plans.registry import query
 from quillspark.plans.views import view
+from quillspark.sources import files
 
 _FLAT = """
     select coalesce(a.path, b.path) as path, case when a.path is null then 'added' when b.path is null then 'deleted' else 'modified' end as status
@@ -96,3 +97,12 @@ def checkpoint_chain(spark, sf_dir):
     commits = line.select(F.col("doc_id").cast("string").alias("id"), F.lag("doc_id").over(Window.orderBy("doc_id")).cast("string").alias("parent"), (F.col("doc_id") % 29 != 0).alias("has_ref"))
     tip = line.filter("doc_id % 29 <> 0").agg(F.max("doc_id").cast("string")).first()[0]
     return changes.checkpoint_chain(commits, tip)
+
+
+@query("s18_space_names", """
+    with f as (select doc_id, concat(case doc_id % 3 when 0 then 'personal-' when 1 then 'general-' else 'team_' end, source, '-', cast(doc_id as varchar)) as slug from {kb_page})
+    select slug, case doc_id % 3 when 0 then 'My Space' when 1 then 'General' else replace(replace(slug, '-', ' '), '_', ' ') end as name from f""")
+def space_names(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 3 == 0, "personal-").when(F.col("doc_id") % 3 == 1, "general-").otherwise("team_")
+    slugs = view(spark, sf_dir, "kb_page").select(F.concat(kind, "source", F.lit("-"), F.col("doc_id").cast("string")).alias("slug"))
+    return slugs.select("slug", files.space_name(F.col("slug")).alias("name"))

@@ -44,6 +44,20 @@ def test_walk_and_visibility(space):
     assert seen["wiki/overview.md"] == "Network overview" and seen["wiki/title.md"] == "Orchid"
 
 
+def test_listing_and_spaces(spark, tmp_path):
+    for d in ("a-b/repo/.git", "personal-x/repo/.git", "general-1/repo/.git/deep/er", "no/other/.git", "deep/x/repo/.git", "e_f/repo"):
+        os.makedirs(tmp_path / d)
+    (tmp_path / "e_f/repo/.git").write_text("gitdir: elsewhere")
+    os.symlink(tmp_path / "a-b", tmp_path / "link")
+    got = {r["path"]: (r["is_dir"], r["is_symlink"]) for r in files.listing(spark, str(tmp_path)).collect()}
+    assert got["link"] == (False, True) and not any(p.startswith("link/") for p in got) and got["general-1/repo/.git/deep/er"] == (True, False)
+    assert set(got) == {os.path.relpath(os.path.join(t, n), tmp_path) for t, d, f in os.walk(tmp_path) for n in d + f}
+    found = files.spaces(spark, str(tmp_path))
+    assert {(r["slug"], r["name"]) for r in found.collect()} == {("a-b", "a b"), ("personal-x", "My Space"), ("general-1", "General"), ("e_f", "e f")}
+    assert files.spaces(spark, str(tmp_path), found.filter("slug <> 'a-b'")).first()["slug"] == "a-b"
+    assert files.listing(spark, str(tmp_path / "no/other/.git")).count() == 0
+
+
 def test_search(space):
     pages = files.pages(space)
     hit = search.search(pages, "network optional").collect()
