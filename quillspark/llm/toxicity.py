@@ -171,9 +171,10 @@ def _sampled(texts: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         .filter(F.pmod("h", F.lit(1 << 20)) <= int(share * (1 << 20)))
         .groupBy("h")
         .agg(F.first("text").alias("text"))
+        # where the texts are; the limit then gathers features only
+        .mapInArrow(run, "h long, ids binary, v binary")
         .orderBy("h")
         .limit(n)
-        .mapInArrow(run, "h long, ids binary, v binary")
         .collect()
     )
     rows.sort(key=lambda r: r["h"])
