@@ -25,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    All tables of an application lie in one folder, which :func:`forget` or an
+    operator of the cluster may delete after it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results which were not read yet cannot be after this."""
+    remove(spark, f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+
+
 def _file_system(spark: SparkSession, path: str):
     name = spark._jvm.org.apache.hadoop.fs.Path(path)
     return name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), name
