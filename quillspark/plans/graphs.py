@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import changes, history, trees, versions
+from quillspark.operators import changes, dirindex, history, trees, versions
 from quillspark.plans.registry import query
 from quillspark.plans.views import view
 from quillspark.sources import files
@@ -106,3 +106,14 @@ def space_names(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 3 == 0, "personal-").when(F.col("doc_id") % 3 == 1, "general-").otherwise("team_")
     slugs = view(spark, sf_dir, "kb_page").select(F.concat(kind, "source", F.lit("-"), F.col("doc_id").cast("string")).alias("slug"))
     return slugs.select("slug", files.space_name(F.col("slug")).alias("name"))
+
+
+@query("k9_index_chunks", """
+    with e as (select space_id, source as dir, concat('Page ', cast(doc_id as varchar)) as title, concat(cast(doc_id as varchar), '.md') as name from {kb_page}
+               union all select distinct space_id, '' as dir, source as title, concat(source, '/') as name from {kb_page}),
+    p as (select *, concat(chr(10), '* [', title, '](<', name, '>)') as line, (row_number() over (partition by space_id, dir order by lower(title), name) - 1) // 8 as chunk from e),
+    c as (select space_id, dir, chunk, string_agg(line, '' order by lower(title), name) as text from p group by space_id, dir, chunk)
+    select space_id, dir, cast(chunk as bigint) as chunk, sha256(text) as sha, cast(coalesce(sum(strlen(text)) over (partition by space_id, dir order by chunk rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from c""")
+def index_chunks(spark, sf_dir):
+    """The listings of all directories in chunks of eight entries."""
+    return dirindex.chunks(view(spark, sf_dir, "kb_page_linked"), 8).select("space_id", "dir", "chunk", F.sha2("text", 256).alias("sha"), "offset")
