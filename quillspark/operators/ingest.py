@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import paths, text
+from quillspark.operators.joins import join_by_key
 from quillspark.sources import formats
 from quillspark.storage import materialize
 
@@ -48,7 +49,8 @@ def named(documents: DataFrame, existing: DataFrame) -> DataFrame:
     the file at one of its names is that file again. Otherwise the first one by
     arrival takes the plain name if it is free; one with a hash then tries 8,
     16, 32 and all of its digits, text without a hash always gets eight digits
-    of a digest of its arrival. Grouped by name and suffix, never in one window.
+    of a digest of its arrival. Grouped by name and suffix, never in one window;
+    the winners of frequent names are broadcast to their rows.
     """
     slug = text.slug_collapsed(F.regexp_replace("name", r"(?i)\.md$", ""))
     stem = F.when(slug == "", "source").otherwise(slug)
@@ -63,10 +65,10 @@ def named(documents: DataFrame, existing: DataFrame) -> DataFrame:
         met = tried.join(used, ["space_id", "path"], "left")
         again = F.col("taken") & F.col("content_hash").isNotNull() & F.col("content_hash").eqNullSafe(F.col("old_hash")) & F.col("source_url").eqNullSafe(F.col("old_url"))
         reused = met.filter(again)
-        free = met.filter(F.col("taken").isNull())
+        free = materialize(met.filter(F.col("taken").isNull()), "free")
         # the first by arrival takes the name; others with the same content are that file again
-        winner = free.groupBy("space_id", "path").agg(F.min_by(F.struct("content_hash", "source_url"), "arrival").alias("w"), F.min("arrival").alias("first"))
-        won = free.join(winner, ["space_id", "path"])
+        winner = free.groupBy("space_id", "path").agg(F.min_by(F.struct("content_hash", "source_url"), "arrival").alias("w"), F.min("arrival").alias("first"), F.count("*").alias("n"))
+        won = join_by_key(free, winner, ["space_id", "path"], free.count())
         mine = won.filter((F.col("arrival") == F.col("first")) | (F.col("content_hash").isNotNull() & F.col("content_hash").eqNullSafe(F.col("w.content_hash")) & F.col("source_url").eqNullSafe(F.col("w.source_url"))))
         placed = reused.select("arrival", "space_id", "path", F.lit(True).alias("reused")).unionByName(mine.select("arrival", "space_id", "path", (F.col("arrival") != F.col("first")).alias("reused")))
         placed = materialize(placed, "placed")
