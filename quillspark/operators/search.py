@@ -138,14 +138,21 @@ def snippet(body: Column, terms: list[str], n: int = 24) -> Column:
     """
     units = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]+[^\p{L}\p{N}]*"), F.lit(0))
     token = lambda unit: text.folded(F.regexp_extract(unit, r"^[\p{L}\p{N}]+", 0))
-    marked = F.transform(units, lambda u, i: F.when(token(u).isin(*terms), i))
-    hits = F.filter(marked, lambda i: i.isNotNull())
-    first = F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0))
-    last = F.coalesce(F.array_max(F.filter(hits, lambda i: i < first + n)), F.lit(0))
-    middle = F.floor((first + last) / 2).cast("int") - (n // 2 - 1)
-    start = F.when(last < n, 0).otherwise(F.greatest(F.lit(0), F.least(F.size(units) - n, middle)))
-    cut = start + n < F.size(units)
-    shown = F.array_join(F.slice(units, start + 1, F.lit(n)), "")
-    ended = F.when(cut, F.concat(F.regexp_replace(shown, r"[^\p{L}\p{N}]+$", ""), F.lit(" … "))).otherwise(shown)
-    begun = F.concat(F.when(start > 0, " … ").otherwise(F.regexp_extract(body, r"^[^\p{L}\p{N}]+", 0)), ended)
+    # a value which lambdas or several places use is bound to a name of its own, or it would be worked out anew for each
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), F.lit(1))
+    marked = lambda us: F.filter(F.transform(us, lambda u, i: F.when(token(u).isin(*terms), i)), lambda i: i.isNotNull())
+
+    def span(hits: Column, size: Column) -> Column:
+        first = F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(0))
+        last = lambda f: F.coalesce(F.array_max(F.filter(hits, lambda i: i < f + n)), F.lit(0))
+        middle = lambda f, z: F.floor((f + z) / 2).cast("int") - (n // 2 - 1)
+        start = lambda f, z: F.when(z < n, 0).otherwise(F.greatest(F.lit(0), F.least(size - n, middle(f, z))))
+        return let(first, lambda f: let(last(f), lambda z: start(f, z)))
+
+    def cut_at(us: Column, start: Column) -> Column:
+        shown = F.array_join(F.slice(us, start + 1, F.lit(n)), "")
+        ended = F.when(start + n < F.size(us), F.concat(F.regexp_replace(shown, r"[^\p{L}\p{N}]+$", ""), F.lit(" … "))).otherwise(shown)
+        return F.concat(F.when(start > 0, " … ").otherwise(F.regexp_extract(body, r"^[^\p{L}\p{N}]+", 0)), ended)
+
+    begun = let(units, lambda us: let(let(marked(us), lambda hits: span(hits, F.size(us))), lambda start: cut_at(us, start)))
     return F.translate(begun, "\n", " ")

@@ -274,3 +274,13 @@ def test_snippets_equal_fts5(spark):
         assert _one(spark, body, lambda c: search.snippet(c, ["hit"])) == want
     assert _one(spark, "", lambda c: search.snippet(c, ["hit"])) == ""
     assert _one(spark, None, lambda c: search.snippet(c, ["hit"])) is None
+
+
+def test_a_snippet_takes_time_in_proportion_to_the_text(spark):
+    import time
+
+    rows = spark.createDataFrame([("hit word " * 20000,)], "body string")
+    begin = time.monotonic()
+    got = rows.select(search.snippet(F.col("body"), ["hit"])).first()[0]
+    assert got.startswith("hit word hit") and got.endswith(" … ")
+    assert time.monotonic() - begin < 60  # not with the text cut anew for each of 20,000 hits
