@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import join_by_key
-from quillspark.storage import materialize, shared_dir
+from quillspark.storage import discard, materialize, shared_dir
 
 __all__ = ["discard", "held_out", "join_by_key", "materialize", "read_table", "shared_dir"]
 
@@ -15,14 +15,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table which nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def held_out(doc_id: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))

@@ -50,10 +50,10 @@ def _parsed(queries: DataFrame) -> DataFrame:
 
 
 def _part_postings(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(raw, doc, page's columns, tf): the weighted occurrences of each part, a phrase where it has several terms."""
-    page = ["doc", "space_id", "path", "title", "n_tokens"]
+    """(raw, doc, n_tokens, tf): the weighted occurrences of each part, a phrase where it has several terms."""
+    page = ["doc", "n_tokens"]
     weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
-    joined = found.join(terms, "term")
+    joined = found.join(terms, "term").repartition("doc")  # for the groups and for the titles which they meet
     single = joined.filter("n_terms = 1").groupBy("raw", *page).agg(F.sum(F.size("positions") * weight).alias("tf"))
     place = F.struct("at", F.expr("transform(positions, p -> p - at)").alias("begins"))
     held = joined.filter("n_terms > 1").groupBy("raw", "n_terms", "field", *page).agg(F.collect_list(place).alias("x")).filter(F.size("x") == F.col("n_terms"))
@@ -91,10 +91,13 @@ def search_batch(index: SearchIndex, queries: DataFrame, k: int = 12, block_bits
     found = index.postings(few if len(few) <= FEW_TERMS else None, m)
     parts = distinct.count()
     postings = _part_postings(found, F.broadcast(terms) if parts <= FEW_PARTS else terms)
-    member = F.struct("doc", "space_id", "path", "title", "n_tokens", "tf")
+    lower = index.titles(m).select("doc", "space_id", "path", F.lower("title").alias("lower"))
+    titled = F.coalesce(F.contains("lower", "raw"), F.lit(False)).alias("titled")
+    named = postings.join(lower, "doc").select("raw", "doc", "space_id", "path", "n_tokens", "tf", titled)
+    member = F.struct("doc", "space_id", "path", "n_tokens", "tf", "titled")
     blocks = materialize(
-        postings.groupBy("raw", F.shiftright("doc", block_bits).alias("block")).agg(
-            F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("n_tokens").alias("least"), F.coalesce(F.max(F.contains(F.lower("title"), F.col("raw"))), F.lit(False)).alias("titled"),
+        named.groupBy("raw", F.shiftright("doc", block_bits).alias("block")).agg(
+            F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("n_tokens").alias("least"), F.max("titled").alias("titled"),
             F.collect_list(member).alias("members"),
         ), "blocks",
     )
@@ -111,20 +114,25 @@ def search_batch(index: SearchIndex, queries: DataFrame, k: int = 12, block_bits
     seeds = materialize(bounds.withColumn("before", before).filter(F.col("before") < SEEDS * k).select("query_id", "block"), "seeds")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(asked, "query_id").join(blocks.select("raw", "block", "members"), ["raw", "block"]).select("query_id", "needle", "space", "n_parts", "weight", F.explode("members").alias("m"))
-        page = ["m.doc", "m.space_id", "m.path", "m.title"]
+        rows = pairs.join(asked, "query_id").join(blocks.select("raw", "block", "members"), ["raw", "block"]).select("query_id", "needle", "space", "n_parts", "raw", "weight", F.explode("members").alias("m"))
+        page = ["m.doc", "m.space_id", "m.path"]
         part = F.col("weight") * _saturated(F.col("m.tf"), F.col("m.n_tokens"), avg)
-        whole = rows.groupBy("query_id", "needle", "space", "n_parts", *page).agg(F.sum(-part).alias("score"), F.count("*").alias("met")).filter("met = n_parts")
-        return whole.filter("space is null or space = space_id").withColumn("title_match", F.coalesce(F.contains(F.lower("title"), F.col("needle")), F.lit(False)))
-
-    columns = ["query_id", "space_id", "path", "title", "title_match", "score"]
+        sums = rows.groupBy("query_id", "needle", "space", "n_parts", *page).agg(F.sum(-part).alias("score"), F.count("*").alias("met"), F.min("m.titled").alias("titled"), F.max("raw").alias("raw"))
+        whole = materialize(sums.filter("met = n_parts").filter("space is null or space = space_id"), "whole")
+        # a title can hold the query only if it holds all parts; it is read only where that does not say it yet
+        known = ~F.col("titled") | ((F.col("n_parts") == 1) & (F.col("raw") == F.col("needle")))
+        read = whole.filter(~known).join(lower.select("doc", "lower"), "doc").withColumn("title_match", F.contains("lower", "needle")).drop("lower")
+        return whole.filter(known).withColumn("title_match", F.col("titled")).unionByName(read)
+
+    columns = ["query_id", "doc", "space_id", "path", "title_match", "score"]
     early = materialize(_best(scored(seeds), k).select(*columns, "rank"), "early")
     last = early.filter(F.col("rank") == k).select("query_id", F.col("title_match").alias("last_match"), F.col("score").alias("last_score"))
     reach = F.col("bound") * (1 + 1e-9) >= -F.col("last_score")
     open_ = F.col("last_score").isNull() | F.when(F.col("last_match"), F.col("titled") & reach).otherwise(F.col("titled") | reach)
     rest = materialize(bounds.join(seeds, ["query_id", "block"], "left_anti").join(last, "query_id", "left").filter(open_).select("query_id", "block"), "rest")
     both = early.select(columns).unionByName(scored(rest).select(columns))
-    hits = _best(both, k).filter(~paths.is_reserved(F.col("path"))).select(columns)
+    best = materialize(_best(both, k).filter(~paths.is_reserved(F.col("path"))).select(columns), "best")
+    hits = best.join(index.titles(m).select("doc", "title"), "doc").select("query_id", "space_id", "path", "title", "title_match", "score")
     seen = lambda d, n: d.select(*[F.lit(int(c == n)).alias(c) for c in ("candidate_blocks", "scored_blocks")])
     report = seen(bounds, "candidate_blocks").unionByName(seen(seeds, "scored_blocks")).unionByName(seen(rest, "scored_blocks")).agg(F.sum("candidate_blocks").alias("candidate_blocks"), F.sum("scored_blocks").alias("scored_blocks"))
     return Batch(hits, report)

@@ -3,8 +3,9 @@
 Layout of a folder, which all machines share:
 
 * ``docs/<segment>``: pages with their number, length and body, in the order of a hash of their key;
-* ``postings/<segment>/range=r``: a row for each term of a page's field, which
-  carries the page's title and length, in ranges of (term, number);
+* ``titles/<segment>``: space, path and title by page number, which hits are named from;
+* ``postings/<segment>/range=r``: a row for each term of a page's field, which carries the
+  page's number and length, in ranges of (term, number). A title may be a whole text, so it is no part of them;
 * ``fences/<segment>``: the first and last term of each range;
 * ``links/<segment>``: what the pages link to, in the order of the target;
 * ``deleted/<commit>``: bitmaps over page numbers;
@@ -27,14 +28,15 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import graph, ranks, search
-from quillspark.storage import file_names, materialize, read_text, write_new
+from quillspark.storage import discard, file_names, materialize, read_text, write_new
 
 #: Tokens of a range of postings, segments of a level before they are merged, keys by which page files are pruned.
 RANGE_TOKENS, FAN, FEW_KEYS = 4_000_000, 8, 1000
 #: Bytes of bitmaps up to which they are broadcast.
 BITMAP_BYTES = 64 << 20
 _DOCS = "space_id string, path string, title string, modified_ns long, n_tokens long, doc long, key long, body string"
-_POSTINGS = "term string, doc long, space_id string, path string, title string, n_tokens long, field string, positions array<int>, tf long, range int"
+_TITLES = "doc long, space_id string, path string, title string"
+_POSTINGS = "term string, doc long, n_tokens long, field string, positions array<int>, tf long, range int"
 _LINKS = "space_id string, source_path string, source_title string, target string, doc long"
 _FENCES = "range int, low string, high string"
 _EMPTY = {"version": 0, "segments": [], "deleted": [], "n_docs": 0, "n_tokens": 0, "next_doc": 0, "sources": {}}
@@ -108,7 +110,7 @@ class SearchIndex:
         return self._valid(self._read("links", _LINKS, m["segments"]), m).drop("doc")
 
     def postings(self, terms: list[str] | None = None, m: dict | None = None) -> DataFrame:
-        """Postings of all pages, of some terms or of all: only the ranges which can hold a term are read."""
+        """Postings (term, doc, n_tokens, field, positions, tf) of all pages, of some terms or of all: only the ranges which can hold a term are read."""
         m = m or self.manifest()
         wanted = f"{self.path}/postings"
         if terms is None:
@@ -121,6 +123,10 @@ class SearchIndex:
             found = lambda: self.spark.read.schema(plain).parquet(*folders).filter(F.col("term").isin(*terms))
         return self._valid(found().drop("range"), m) if folders else self.spark.createDataFrame([], _POSTINGS).drop("range")
 
+    def titles(self, m: dict | None = None) -> DataFrame:
+        """(doc, space_id, path, title) of every page number, deleted ones too; what a page number is found by is valid already."""
+        return self._read("titles", _TITLES, (m or self.manifest())["segments"])
+
     def _read_fences(self, m: dict, terms: list[str]) -> list[tuple[str, int]]:
         """(segment, range) of the ranges that can hold one of the terms; a row a range is read, and few are returned."""
         parts = [self._read("fences", _FENCES, [s]).withColumn("segment", F.lit(s["id"])) for s in m["segments"]]
@@ -147,15 +153,18 @@ class SearchIndex:
         ranges = max(1, -(-size["t"] // self.range_tokens))
         docs.repartitionByRange(ranges, "key").sortWithinPartitions("key").write.parquet(f"{self.path}/docs/{name}")
         stored = self._read("docs", _DOCS, [{"id": name}])
-        if postings is None:
-            dealt_out = stored if ranges > 1 else stored.repartition(self.spark.sparkContext.defaultParallelism)
-            postings = search.postings(dealt_out, ("doc", "space_id", "path", "title", "n_tokens"))
-        dealt = postings.repartitionByRange(ranges, "term", "doc").sortWithinPartitions("term", "doc").withColumn("range", F.spark_partition_id())
-        folder = f"{self.path}/postings/{name}"
-        columns = [c.split()[0] for c in _POSTINGS.split(", ")]
-        dealt.select(columns).write.option("parquet.block.size", 1 << 20).partitionBy("range").parquet(folder)
-        fences = self.spark.read.schema(_POSTINGS).parquet(folder).groupBy("range").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-        fences.coalesce(1).write.parquet(f"{self.path}/fences/{name}")
+        if True:
+            titles = stored.select([c.split()[0] for c in _TITLES.split(", ")])
+            titles.repartitionByRange(ranges, "doc").sortWithinPartitions("doc").write.parquet(f"{self.path}/titles/{name}")
+            if postings is None:
+                dealt_out = stored if ranges > 1 else stored.repartition(self.spark.sparkContext.defaultParallelism)
+                postings = search.postings(dealt_out, ("doc", "n_tokens"))
+            dealt = postings.repartitionByRange(ranges, "term", "doc").sortWithinPartitions("term", "doc").withColumn("range", F.spark_partition_id())
+            folder = f"{self.path}/postings/{name}"
+            columns = [c.split()[0] for c in _POSTINGS.split(", ")]
+            dealt.select(columns).write.option("parquet.block.size", 1 << 20).partitionBy("range").parquet(folder)
+            fences = self.spark.read.schema(_POSTINGS).parquet(folder).groupBy("range").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+            fences.coalesce(1).write.parquet(f"{self.path}/fences/{name}")
         if links is None:
             found = graph.edges(stored).withColumnRenamed("source_path", "path")
             named = stored.select("space_id", "path", text.index_title(F.col("body")).alias("source_title"), "doc")
@@ -185,6 +194,7 @@ class SearchIndex:
             counted = once.withColumn("n_tokens", (tokens("title") + tokens("body")).cast("long")).withColumn("key", _key())
             docs = ranks.numbered(counted, m["next_doc"]).select([c.split()[0] for c in _DOCS.split(", ")])
             segment = self._write_segment(docs, None, None) | {"level": 0}
+            discard(docs)
             new["next_doc"] += segment["n_docs"]
             new["n_docs"] += segment["n_docs"]
             new["n_tokens"] += segment["n_tokens"]
@@ -213,7 +223,8 @@ class SearchIndex:
                 return m["version"]
             if len(full) >= self.fan:
                 docs = self._valid(self._read("docs", _DOCS, full), m)
-                postings = self._valid(reduce(DataFrame.unionByName, [self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{s['id']}") for s in full]).drop("range"), m)
+                held = [self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{s['id']}") for s in full]
+                postings = self._valid(reduce(DataFrame.unionByName, held).drop("range"), m) if held else None
                 links = self._valid(self._read("links", _LINKS, full), m)
                 made = self._write_segment(docs, postings, links) | {"level": level + 1}
                 m = json.loads(json.dumps(m))
@@ -276,11 +287,11 @@ class SearchIndex:
     # --- questions --------------------------------------------------------------
 
     def search(self, query: str, limit: int = 12, space_id: str | None = None) -> DataFrame:
-        """As :func:`quillspark.operators.search.search`, from stored postings: only ranges of the query's terms and the bitmaps are read."""
+        """As :func:`quillspark.operators.search.search`, from stored postings: only ranges of the query's terms, the bitmaps and titles are read."""
         m = self.manifest()
         terms = sorted({t for p in search.query_phrases(query) for t in p})
         found = self.postings(terms, m)
-        return search.ranked(found, query, m["n_docs"], m["n_tokens"] / max(1, m["n_docs"]), limit, space_id)
+        return search.ranked(found, self.titles(m), ["doc"], query, m["n_docs"], m["n_tokens"] / max(1, m["n_docs"]), limit, space_id)
 
     def backlinks(self, target: str | None = None) -> DataFrame:
         """(space_id, target, source_path, source_title) from stored links, of one target or of all; reserved sources are left out."""

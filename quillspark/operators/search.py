@@ -80,10 +80,10 @@ def search(pages: DataFrame, query: str, limit: int = 12, space_id: str | None =
     """
     terms = sorted({t for p in query_phrases(query) for t in p})
     n = F.size(text.tokens(F.coalesce("title", F.lit("")))) + F.size(text.tokens(F.coalesce("body", F.lit(""))))
-    size = pages.select("space_id", "path", "title", n.cast("long").alias("n_tokens"))
+    size = pages.select("space_id", "path", n.cast("long").alias("n_tokens"))
     stats = size.agg(F.count("*"), F.sum("n_tokens")).first()
     found = postings(pages).filter(F.col("term").isin(*terms)).join(size, ["space_id", "path"])
-    return ranked(found, query, stats[0], (stats[1] or 0) / max(1, stats[0]), limit, space_id)
+    return ranked(found, pages.select("space_id", "path", "title"), ["space_id", "path"], query, stats[0], (stats[1] or 0) / max(1, stats[0]), limit, space_id)
 
 
 def _moved(positions: Column, by: int) -> Column:
@@ -91,20 +91,20 @@ def _moved(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
-def ranked(found: DataFrame, query: str, n_docs: int, avg_tokens: float, limit: int, space_id: str | None) -> DataFrame:
-    """Score and order pages from the postings of the query's terms, which carry title and n_tokens of their page."""
+def ranked(found: DataFrame, titles: DataFrame, key: list[str], query: str, n_docs: int, avg_tokens: float, limit: int, space_id: str | None) -> DataFrame:
+    """Score and order pages from the postings of the query's terms, which carry ``key`` and n_tokens of their page; ``titles`` names hits by the key."""
     parts = query_phrases(query)
     empty = not parts or any(not p for p in parts) or limit <= 0
     hits = []
     # phrases are put together within a page: one shuffle for all terms
     held = F.map_from_entries(F.collect_list(F.struct("term", "positions")))
-    per_field = found.repartition("space_id", "path").groupBy("space_id", "path", "title", "n_tokens", "field").agg(held.alias("at"))
+    per_field = found.repartition(*key).groupBy(*key, "n_tokens", "field").agg(held.alias("at"))
     for phrase in parts or [["-"]]:
         places = [_moved(F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")), i) for i, t in enumerate(phrase or ["-"])]
         hits.append(F.size(reduce(F.array_intersect, places[1:], places[0])))
     weight = F.when(F.col("field") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)
     tf = F.array(*[h * weight for h in hits]).alias("tf")
-    per_page = per_field.select("space_id", "path", "title", "n_tokens", tf).groupBy("space_id", "path", "title", "n_tokens")
+    per_page = per_field.select(*key, "n_tokens", tf).groupBy(*key, "n_tokens")
     tfs = per_page.agg(*[F.sum(F.get("tf", F.lit(k))).alias(f"t{k}") for k in range(len(hits))])
     df = tfs.agg(*[F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(hits))])
     norm = K1 * (1 - B + B * F.col("n_tokens") / F.lit(avg_tokens or 1.0))
@@ -113,6 +113,7 @@ def ranked(found: DataFrame, query: str, n_docs: int, avg_tokens: float, limit:
         d, t = F.col(f"d{k}"), F.col(f"t{k}")
         score = score - F.greatest(F.log((n_docs - d + 0.5) / (d + 0.5)), F.lit(1e-6)) * t * (K1 + 1) / (t + norm)
     scored = tfs.filter(reduce(lambda x, y: x & y, [F.col(f"t{k}") > 0 for k in range(len(hits))])).join(F.broadcast(df)).withColumn("score", score)  # one row
+    scored = scored.join(titles, key)
     if space_id is not None:
         scored = scored.filter(F.col("space_id") == space_id)
     # wildcards of the query count as such; the escape character is one that does not occur

@@ -42,7 +42,7 @@ def _titled(spark: SparkSession, sf_dir: str, of: str = "kb_page") -> DataFrame:
     return _dealt(view(spark, sf_dir, of)).withColumn("title", F.split("body", "\n")[0])
 
 
-_indexes: dict[tuple[str, str, str], index.SearchIndex] = {}
+_indexes: dict[tuple, index.SearchIndex] = {}
 
 
 def stored_index(spark: SparkSession, sf_dir: str, of: str = "kb_page") -> index.SearchIndex:
@@ -166,7 +166,7 @@ def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages which are not divisible by five keep their time, and are not read again
     kept.refresh(seen)
     live = kept.live()
-    hits = kept.postings(["thon"]).groupBy("space_id").agg(F.countDistinct("path").alias("hits"))
+    hits = kept.postings(["thon"]).select("doc").distinct().join(kept.titles(), "doc").groupBy("space_id").agg(F.count("*").alias("hits"))
     return live.groupBy("space_id").agg(F.count("*").alias("n_pages"), F.sum("n_tokens").alias("n_tokens")).join(hits, "space_id", "left").fillna(0, ["hits"])
 
 

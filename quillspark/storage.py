@@ -36,6 +36,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table which nothing reads any more."""
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        remove(df.sparkSession, folder)
+
+
 def forget(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; results which were not read yet cannot be after this."""
     remove(spark, f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}")

@@ -124,3 +124,17 @@ def test_ten_thousand_queries_are_one_batch(spark, tmp_path):
     queries = spark.range(10_000).select(F.col("id").alias("query_id"), F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("id") % 10 + 1).cast("int")).alias("query"))
     got = batch.search_batch(kept, queries, 1).hits.groupBy((F.col("query_id") % 10).alias("w")).agg(F.count("*").alias("n"), F.countDistinct("path").alias("paths"))
     assert all(r["n"] == 1000 and r["paths"] == 1 for r in got.collect())
+
+
+def test_long_titles_are_stored_once_not_with_every_posting(spark, tmp_path):
+    rng = random.Random(9)
+    # a page of one line is its own title; texts do not repeat each other, so that compression hides nothing
+    line = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(1500))
+    rows = {("s", f"p{k}.md"): (line(), "", 1) for k in range(40)}
+    kept = index.SearchIndex(spark, str(tmp_path / "i"))
+    kept.rebuild(pages_of(spark, rows))
+    text = sum(len(t) for t, _, _ in rows.values())
+    assert "title" not in kept.postings().columns
+    assert sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet")) < 5 * text
+    word = rows[("s", "p3.md")][0].split()[7]
+    assert [(r["path"], r["title_match"]) for r in kept.search(word).collect()] == [("p3.md", True)]
