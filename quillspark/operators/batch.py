@@ -66,17 +66,20 @@ def _saturated(tf: Column, n_tokens: Column, avg: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / F.lit(avg or 1.0)))
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.col("title_match").desc(), "score", "path", "space_id")
+def _best(scored: DataFrame, k: int, digits: int | None) -> DataFrame:
+    score = F.col("score") if digits is None else F.round("score", digits)
+    w = Window.partitionBy("query_id").orderBy(F.col("title_match").desc(), score, "path", "space_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search_batch(index: SearchIndex, queries: DataFrame, k: int = 12, block_bits: int = BLOCK_BITS) -> Batch:
+def search_batch(index: SearchIndex, queries: DataFrame, k: int = 12, block_bits: int = BLOCK_BITS, digits: int | None = None) -> Batch:
     """The hits of each of ``queries`` (query_id, query, space_id where wanted), as :meth:`SearchIndex.search` finds them one by one.
 
     hits: (query_id, space_id, path, title, title_match, score). A query_id is
     one query; null or empty queries, and those with a part without tokens, have
     no hits. ``k`` is 100 at most; reserved documents are dropped after it.
+    With ``digits`` scores which are equal when rounded so are ties, which the
+    path decides; a score is given unrounded.
     Nothing of the queries or of the hits is collected: postings meet parts,
     blocks and queries in joins.
     """
@@ -125,13 +128,13 @@ def search_batch(index: SearchIndex, queries: DataFrame, k: int = 12, block_bits
         return whole.filter(known).withColumn("title_match", F.col("titled")).unionByName(read)
 
     columns = ["query_id", "doc", "space_id", "path", "title_match", "score"]
-    early = materialize(_best(scored(seeds), k).select(*columns, "rank"), "early")
+    early = materialize(_best(scored(seeds), k, digits).select(*columns, "rank"), "early")
     last = early.filter(F.col("rank") == k).select("query_id", F.col("title_match").alias("last_match"), F.col("score").alias("last_score"))
-    reach = F.col("bound") * (1 + 1e-9) >= -F.col("last_score")
+    reach = F.col("bound") * (1 + 1e-9) + (0 if digits is None else 10.0**-digits) >= -F.col("last_score")
     open_ = F.col("last_score").isNull() | F.when(F.col("last_match"), F.col("titled") & reach).otherwise(F.col("titled") | reach)
     rest = materialize(bounds.join(seeds, ["query_id", "block"], "left_anti").join(last, "query_id", "left").filter(open_).select("query_id", "block"), "rest")
     both = early.select(columns).unionByName(scored(rest).select(columns))
-    best = materialize(_best(both, k).filter(~paths.is_reserved(F.col("path"))).select(columns), "best")
+    best = materialize(_best(both, k, digits).filter(~paths.is_reserved(F.col("path"))).select(columns), "best")
     hits = best.join(index.titles(m).select("doc", "title"), "doc").select("query_id", "space_id", "path", "title", "title_match", "score")
     seen = lambda d, n: d.select(*[F.lit(int(c == n)).alias(c) for c in ("candidate_blocks", "scored_blocks")])
     report = seen(bounds, "candidate_blocks").unionByName(seen(seeds, "scored_blocks")).unionByName(seen(rest, "scored_blocks")).agg(F.sum("candidate_blocks").alias("candidate_blocks"), F.sum("scored_blocks").alias("scored_blocks"))

@@ -24,17 +24,18 @@ def appended(keyword: DataFrame, semantic: DataFrame) -> DataFrame:
     return one.unionByName(two.select(one.columns)).withColumn("place", F.row_number().over(w)).select("query_id", "slug", "origin", "place")
 
 
-def hybrid_search(index: SearchIndex, queries: DataFrame, vectors: DataFrame, k: int = 12, above: float = 0.3, probes: int | None = None) -> DataFrame:
+def hybrid_search(index: SearchIndex, queries: DataFrame, vectors: DataFrame, k: int = 12, above: float = 0.3, probes: int | None = None, digits: int | None = None) -> DataFrame:
     """The hits of each of ``queries`` (query_id, query, embedding) as :func:`appended`; ``vectors`` are (vec_id, path, embedding) of pages.
 
     Keyword hits come from the stored index, semantic ones are the ``k`` nearest
     vectors above a cosine similarity. Pages that are hidden or reserved are no
     hits. A query without a usable vector, or without a keyword hit, has the
-    hits of the other side.
+    hits of the other side. Scores equal to so many ``digits`` are ties.
     """
     asked = materialize(queries.select("query_id", "query", "embedding"), "hybrid")
-    found = batch.search_batch(index, asked.select("query_id", "query"), k).hits
-    order = Window.partitionBy("query_id").orderBy(F.col("title_match").desc(), "score", "path", "space_id")
+    found = batch.search_batch(index, asked.select("query_id", "query"), k, digits=digits).hits
+    score = F.col("score") if digits is None else F.round("score", digits)
+    order = Window.partitionBy("query_id").orderBy(F.col("title_match").desc(), score, "path", "space_id")
     slug = display.concept_id(F.col("path")).alias("slug")
     words = found.filter(display.is_searchable(F.col("path"))).select("query_id", slug, F.row_number().over(order).alias("rank"))
     # a query is no page: ids of queries are kept apart from those of vectors

@@ -112,7 +112,7 @@ def batch_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.tokens(F.col("body"))
     asked = view(spark, sf_dir, "kb_page").filter("doc_id % 50 = 0").withColumn("t", t).filter(F.size("t") >= 5)
     queries = asked.select(F.col("doc_id").alias("query_id"), F.concat(F.col("t")[2], F.lit(" "), F.col("t")[4]).alias("query"))
-    return batch.search_batch(stored_index(spark, sf_dir), queries, 3).hits.withColumn("score", F.round("score", 6))
+    return batch.search_batch(stored_index(spark, sf_dir), queries, 3, digits=6).hits.withColumn("score", F.round("score", 6))
 
 
 _ASKED = "select doc_id as query_id, concat(bt[3], ' ', bt[5]) as query, [bt[3], bt[5]] as terms from tok where doc_id % 50 = 0 and len(bt) >= 5"
@@ -142,7 +142,7 @@ def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = pages.filter("doc_id % 50 = 0").withColumn("t", text.tokens(F.col("body"))).filter(F.size("t") >= 5)
     queries = asked.select(F.col("doc_id").alias("query_id"), F.concat(F.col("t")[2], F.lit(" "), F.col("t")[4]).alias("query"))
     own = view(spark, sf_dir, "kb_vec").select(F.col("vec_id").alias("query_id"), "embedding")
-    return hybrid.hybrid_search(stored_index(spark, sf_dir), queries.join(own, "query_id", "left"), vectors, 4, 0.3)
+    return hybrid.hybrid_search(stored_index(spark, sf_dir), queries.join(own, "query_id", "left"), vectors, 4, 0.3, digits=6)
 
 
 @query("search_whole_corpus", _SEARCH_SQL)

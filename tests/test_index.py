@@ -138,3 +138,14 @@ def test_long_titles_are_stored_once_not_with_every_posting(spark, tmp_path):
     assert sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet")) < 5 * text
     word = rows[("s", "p3.md")][0].split()[7]
     assert [(r["path"], r["title_match"]) for r in kept.search(word).collect()] == [("p3.md", True)]
+
+
+def test_scores_equal_when_rounded_are_ties_of_a_batch(spark, tmp_path):
+    filler = {("s", f"x{k}.md"): (None, "word", 1) for k in range(20)}
+    # "a" is longer, so its score is worse, but by less than the digits tell
+    rows = filler | {("s", "a.md"): (None, "alpha long", 1), ("s", "b.md"): (None, "alpha", 1)}
+    kept = index.SearchIndex(spark, str(tmp_path / "i"))
+    kept.rebuild(pages_of(spark, rows))
+    asked = spark.createDataFrame([(1, "alpha")], "query_id long, query string")
+    best = lambda d: [r["path"] for r in batch.search_batch(kept, asked, 1, block_bits=0, digits=d).hits.collect()]
+    assert best(None) == ["b.md"] and best(0) == ["a.md"]
