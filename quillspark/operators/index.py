@@ -51,14 +51,14 @@ def _key(space_id: str = "space_id", path: str = "path"):
 
 
 class SearchIndex:
-    """The index below ``path``. Pages are (space_id, path, title, body, modified_ns); (space_id, path) is their key.
+    """The index below ``path``; without ``texts`` its segments have pages and links only. Pages are (space_id, path, title, body, modified_ns); (space_id, path) is their key.
 
     Of repeated keys in one batch the page with the greatest time counts, then
     the greatest body. Null titles and bodies have no terms.
     """
 
-    def __init__(self, spark: SparkSession, path: str, range_tokens: int = RANGE_TOKENS, fan: int = FAN):
-        self.spark, self.path, self.range_tokens, self.fan = spark, path, range_tokens, fan
+    def __init__(self, spark: SparkSession, path: str, range_tokens: int = RANGE_TOKENS, fan: int = FAN, texts: bool = True):
+        self.spark, self.path, self.range_tokens, self.fan, self.texts = spark, path, range_tokens, fan, texts
 
     # --- what is valid ----------------------------------------------------------
 
@@ -111,6 +111,8 @@ class SearchIndex:
 
     def postings(self, terms: list[str] | None = None, m: dict | None = None) -> DataFrame:
         """Postings (term, doc, n_tokens, field, positions, tf) of all pages, of some terms or of all: only the ranges which can hold a term are read."""
+        if not self.texts:
+            raise ValueError("this index has no postings")
         m = m or self.manifest()
         wanted = f"{self.path}/postings"
         if terms is None:
@@ -153,7 +155,7 @@ class SearchIndex:
         ranges = max(1, -(-size["t"] // self.range_tokens))
         docs.repartitionByRange(ranges, "key").sortWithinPartitions("key").write.parquet(f"{self.path}/docs/{name}")
         stored = self._read("docs", _DOCS, [{"id": name}])
-        if True:
+        if self.texts:
             titles = stored.select([c.split()[0] for c in _TITLES.split(", ")])
             titles.repartitionByRange(ranges, "doc").sortWithinPartitions("doc").write.parquet(f"{self.path}/titles/{name}")
             if postings is None:
@@ -223,7 +225,7 @@ class SearchIndex:
                 return m["version"]
             if len(full) >= self.fan:
                 docs = self._valid(self._read("docs", _DOCS, full), m)
-                held = [self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{s['id']}") for s in full]
+                held = [self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/postings/{s['id']}") for s in full if self.texts]
                 postings = self._valid(reduce(DataFrame.unionByName, held).drop("range"), m) if held else None
                 links = self._valid(self._read("links", _LINKS, full), m)
                 made = self._write_segment(docs, postings, links) | {"level": level + 1}

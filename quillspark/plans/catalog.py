@@ -45,11 +45,11 @@ def _titled(spark: SparkSession, sf_dir: str, of: str = "kb_page") -> DataFrame:
 _indexes: dict[tuple, index.SearchIndex] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str, of: str = "kb_page") -> index.SearchIndex:
-    """The search index of a pages view, in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, of)
+def stored_index(spark: SparkSession, sf_dir: str, of: str = "kb_page", texts: bool = True) -> index.SearchIndex:
+    """The search index of a pages view, in the shared folder; without ``texts`` its link graph alone."""
+    key = (spark.sparkContext.applicationId, sf_dir, of, texts)
     if key not in _indexes:
-        made = index.SearchIndex(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}")
+        made = index.SearchIndex(spark, f"{shared_dir(spark)}/search-{uuid.uuid4().hex}", texts=texts)
         made.rebuild(_titled(spark, sf_dir, of))
         _indexes[key] = made
     return _indexes[key]
@@ -203,7 +203,7 @@ _NAMED = f"select e.space_id, e.source_path, concat('Page ', cast(p.doc_id as va
 
 @query("j2_backlinks", f"select space_id, target, source_path, source_title from ({_NAMED}) n")
 def backlinks(spark, sf_dir):
-    return stored_index(spark, sf_dir, "kb_page_linked").backlinks()
+    return stored_index(spark, sf_dir, "kb_page_linked", texts=False).backlinks()
 
 
 _LIVE = "select space_id, path as target from {kb_page} union select space_id, source as target from {kb_page}"
@@ -217,12 +217,12 @@ def live_targets(spark, sf_dir):
 
 @query("j3_broken_links", _BROKEN)
 def broken_links(spark, sf_dir):
-    return stored_index(spark, sf_dir, "kb_page_linked").broken_links()
+    return stored_index(spark, sf_dir, "kb_page_linked", texts=False).broken_links()
 
 
 @query("a3_broken_by_source", f"select space_id, source_path, string_agg(target, ',' order by target) as targets, count(*) as n from ({_BROKEN}) b group by space_id, source_path")
 def broken_by_source(spark, sf_dir):
-    return graph.grouped_by_source(stored_index(spark, sf_dir, "kb_page_linked").broken_links())
+    return graph.grouped_by_source(stored_index(spark, sf_dir, "kb_page_linked", texts=False).broken_links())
 
 
 @query("f1_titles", "select path, concat('Page ', cast(doc_id as varchar)) as title, 'Note' as type, concat('[s', cast(doc_id % 5 as varchar), '.md]') as sources, concat('Heading ', cast(doc_id as varchar)) as heading from {kb_page}")

@@ -149,3 +149,14 @@ def test_scores_equal_when_rounded_are_ties_of_a_batch(spark, tmp_path):
     asked = spark.createDataFrame([(1, "alpha")], "query_id long, query string")
     best = lambda d: [r["path"] for r in batch.search_batch(kept, asked, 1, block_bits=0, digits=d).hits.collect()]
     assert best(None) == ["b.md"] and best(0) == ["a.md"]
+
+
+def test_a_link_graph_without_postings(spark, tmp_path):
+    rows = {("s", "a.md"): ("A", "[[b]] and [[c]]", 1), ("s", "b.md"): ("B", "alpha", 1)}
+    kept = index.SearchIndex(spark, str(tmp_path / "i"), texts=False, fan=2)
+    for key, value in rows.items():
+        kept.upsert(pages_of(spark, {key: value}))
+    assert not (tmp_path / "i" / "postings").exists()
+    assert {r["target"] for r in kept.broken_links().collect()} == {r["target"] for r in graph.broken_links(pages_of(spark, rows), graph.edges(pages_of(spark, rows))).collect()}
+    with pytest.raises(ValueError):
+        kept.search("alpha")
