@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of the queries which are sent to the tasks at once.
 QUERY_BYTES = 64 << 20
+#: Queries and rows which meet in one product; the greatest id stands where there is no row yet.
+QUERIES, ROWS = 512, 2048
+_NONE = np.iinfo(np.int64).max
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,7 +42,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, above: float, query_byt
     usable = lambda df: df.filter("embedding is not null and exists(embedding, x -> x <> 0)").select("vec_id", "embedding")
     q = usable(queries)
     size = q.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    blocks = max(1, -(-(size["n"] or 0) * (size["d"] or 1) * 8 // query_bytes))
+    # a task holds the vector of each query, and the similarity and id of its best k
+    blocks = max(1, -(-(size["n"] or 0) * ((size["d"] or 1) * 8 + 16 * k) // query_bytes))
     q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     partial = None
     for b in range(blocks):
@@ -50,39 +54,38 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, above: float, query_byt
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, unit = shared.value
-            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            count = 0
-
-            def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                at, vec, s = (np.concatenate(x) for x in zip(*best, strict=True))
-                order = np.lexsort((vec, -s, at))
-                at, vec, s = at[order], vec[order], s[order]
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                ok = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k
-                return at[ok], vec[ok], s[ok]
-
+            # the best so far: a row a query, k wide, whatever the number of rows
+            top, who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), _NONE)
             for batch in batches:
                 vec = batch.column(0).to_numpy(zero_copy_only=False)
                 lists = batch.column(1)
                 if not len(vec):
                     continue
-                d = len(lists[0])
-                mine = _units(lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
-                for a in range(0, len(vec), max(1, (4 << 20) // max(1, len(ids)))):
-                    part = slice(a, a + max(1, (4 << 20) // max(1, len(ids))))
-                    s = unit @ mine[part].T
-                    at, row = np.nonzero(s > above)
-                    other = ids[at] != vec[part][row]
-                    at, row = at[other], row[other]
-                    if len(at):
-                        best.append((at, vec[part][row], s[at, row]))
-                        count += len(at)
-                    if count > 1 << 20:
-                        best = [kept()]
-                        count = len(best[0][0])
-            if best:
-                at, vec, s = kept()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec), pa.array(s)], ["query_id", "vec_id", "similarity"])
+                mine = _units(lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(lists[0])))
+                for r in range(0, len(vec), ROWS):
+                    own, some = vec[r : r + ROWS], mine[r : r + ROWS].T
+                    for q in range(0, len(ids), QUERIES):
+                        s = unit[q : q + QUERIES] @ some
+                        # only what may be among the best k is looked at; an equal one with a lesser id is
+                        at, row = np.nonzero((s > above) & (s >= top[q : q + QUERIES, -1:]))
+                        other = ids[q + at] != own[row]
+                        at, row = at[other], row[other]
+                        if not len(at):
+                            continue
+                        asked = np.unique(at)
+                        at = np.concatenate((at, np.repeat(asked, k)))
+                        sim = np.concatenate((s[at[: len(row)], row], top[q + asked].ravel()))
+                        name = np.concatenate((own[row], who[q + asked].ravel()))
+                        order = np.lexsort((name, -sim, at))
+                        at, sim, name = at[order], sim[order], name[order]
+                        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                        ok = place < k
+                        top[q + at[ok], place[ok]], who[q + at[ok], place[ok]] = sim[ok], name[ok]
+            for q in range(0, len(ids), QUERIES):
+                at, place = np.nonzero(top[q : q + QUERIES] > -np.inf)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q + at]), pa.array(who[q + at, place]), pa.array(top[q + at, place])], ["query_id", "vec_id", "similarity"])
 
         part = usable(rows).mapInArrow(run, "query_id long, vec_id long, similarity double")
         partial = part if partial is None else partial.unionByName(part)

@@ -234,3 +234,24 @@ def test_nearest_in_blocks(spark):
     whole = sorted(map(tuple, vector.nearest(q, df, 3, 0.5).collect()))
     assert whole == sorted(map(tuple, vector.nearest(q, df, 3, 0.5, query_bytes=50).collect())) and len(whole) == 60
     assert vector.nearest(q.limit(0), df, 3, 0.5).count() == 0
+
+
+def test_a_task_of_a_vector_search_holds_the_best_of_each_query_only(spark, monkeypatch):
+    import numpy as np
+    from quillspark.operators import vector
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (150, 3))  # many equal and parallel vectors, so ties are frequent
+    x[~x.any(1)] = 1
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = set()
+    for q in range(0, 150, 5):
+        s = np.round(unit @ unit[q], 6)
+        want |= {(q, int(v)) for v in sorted((v for v in range(150) if v != q and s[v] > 0.1), key=lambda v: (-s[v], v))[:4]}
+    monkeypatch.setattr(vector, "QUERIES", 7)
+    monkeypatch.setattr(vector, "ROWS", 11)
+    got = vector.nearest(df.filter("vec_id % 5 = 0"), df, 4, 0.1)
+    assert {(r["query_id"]) for r in got.collect()} == {q for q, _ in want}
+    exact = {(r["query_id"], r["similarity"]) for r in got.collect()}
+    assert exact == {(q, float(np.round(unit[v] @ unit[q], 6))) for q, v in want} and got.count() == len(want)
