@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,7 +146,7 @@ def matches(pairs: DataFrame) -> DataFrame:
     side = lambda k, c: pairs.select("key", F.lit(k).alias("side"), F.posexplode(c).alias("n", "line"))
     once = lambda k: F.count_if(F.col("side") == k) == 1
     at = lambda k: F.min(F.when(F.col("side") == k, F.col("n")))
-    unique = side(0, "x").unionByName(side(1, "y")).groupBy("key", "line").agg(at(0).alias("a"), at(1).alias("b"), (once(0) & once(1)).alias("ok")).filter("ok")
+    unique = side(0, "x").unionByName(side(1, "y")).groupBy("key", F.unhex(F.sha2("line", 256)).alias("line")).agg(at(0).alias("a"), at(1).alias("b"), (once(0) & once(1)).alias("ok")).filter("ok")
 
     @F.pandas_udf("array<int>")
     def ordered(b: pd.Series) -> pd.Series:
@@ -201,17 +203,29 @@ def merged(files: DataFrame) -> DataFrame:
     sides = materialize(files.select("key", lines(F.col("base")).alias("base"), lines(F.col("draft")).alias("draft"), lines(F.col("agent")).alias("agent")), "sides")
     pair = lambda s: matches(sides.select("key", F.col("base").alias("x"), F.col(s).alias("y")))
     kept = materialize(pair("draft").withColumnRenamed("b", "d").join(pair("agent").withColumnRenamed("b", "g"), ["key", "a"]), "kept")
-    parts = None
-    for side, n in (("base", "a"), ("draft", "d"), ("agent", "g")):
-        rows = _numbered(sides, side, n).join(kept.select("key", n, F.lit(True).alias("sync")), ["key", n], "left").withColumn("sync", F.coalesce("sync", F.lit(False)))
-        rows = rows.withColumn("region", _before(F.col("sync"), n, True)).select("key", "region", F.lit(side).alias("side"), F.col(n).alias("n"), "sync", "line")
-        parts = rows if parts is None else parts.unionByName(rows)
-    # a kept line opens its region; its text is the same on each side
-    text = lambda s: F.array_join(F.array_sort(F.collect_list(F.when((F.col("side") == s) & ~F.col("sync"), F.struct("n", "line"))))["line"], "")
-    head = F.coalesce(F.max(F.when(F.col("sync"), F.col("line"))), F.lit(""))
-    regions = parts.groupBy("key", "region").agg(text("base").alias("b"), text("draft").alias("d"), text("agent").alias("g"), head.alias("head"))
-    chosen = F.when((F.col("d") == F.col("g")) | (F.col("g") == F.col("b")), F.col("d")).when(F.col("d") == F.col("b"), F.col("g"))
-    made = regions.withColumn("chosen", chosen).groupBy("key").agg(F.count_if(F.col("chosen").isNull()).alias("conflicts"), F.array_sort(F.collect_list(F.struct("region", F.concat("head", "chosen").alias("t")))).alias("t"))
-    body = F.when(F.col("conflicts") == 0, F.array_join("t.t", ""))
-    # files without a line on any side have no rows
-    return files.select("key").join(made.select("key", body.alias("body"), F.lit(True).alias("any")), "key", "left").select("key", F.when(F.col("any").isNull(), "").otherwise(F.col("body")).alias("body"))
+    met = sides.join(kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "d", "g"))).alias("k")), "key", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                bodies = [_chosen(*row[:3], list(zip(*row[3:], strict=True)) if row[3] else []) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string())], ["key", "body"])
+
+    return met.select("key", "base", "draft", "agent", "k.a", "k.d", "k.g").mapInArrow(run, f"key {files.schema['key'].dataType.simpleString()}, body string")
+
+
+def _chosen(base: list[str], draft: list[str], agent: list[str], kept: list[tuple[int, int, int]]) -> str | None:
+    """The merge of one file by its kept lines, which stand at these places of each side; None if a region conflicts."""
+    out, i, j, k = [], 0, 0, 0
+    for a, d, g in [*kept, (len(base), len(draft), len(agent))]:
+        b, mine, other = base[i:a], draft[j:d], agent[k:g]
+        if mine == other or other == b:
+            out += mine
+        elif mine == b:
+            out += other
+        else:
+            return None
+        out += base[a : a + 1]  # a kept line is the same on each side
+        i, j, k = a + 1, d + 1, g + 1
+    return "".join(out)

@@ -109,3 +109,13 @@ def test_a_merge_of_trees(spark):
     f = lambda rows: spark.createDataFrame(rows, "path string, body string")
     base, draft, agent = f([("p", "a\nb\nc\n"), ("q", "a\nb\nc\n")]), f([("p", "A\nb\nc\n"), ("q", "A\nb\nc\n")]), f([("p", "a\nb\nC\n"), ("q", "a\nB\nc\n")])
     assert {r["path"]: (r["state"], r["body"]) for r in changes.merged(base, draft, agent).collect()} == {"p": ("merged", "A\nb\nC\n"), "q": ("conflict", "A\nb\nc\n")}
+
+
+def test_a_merge_moves_lines_once(spark):
+    rows = [(k, f"a\nb\nc\n{k}\n", f"A\nb\nc\n{k}\n", f"a\nb\nC\n{k}\n") for k in range(20)]
+    files = spark.createDataFrame(rows, "key long, base string, draft string, agent string")
+    made = linediff.merged(files)
+    assert {(r["key"], r["body"]) for r in made.collect()} == {(k, f"A\nb\nC\n{k}\n") for k in range(20)}
+    # texts met kept lines in three joins, three windows and a grouping
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") == 1
