@@ -192,7 +192,10 @@ class SearchIndex:
         if added is not None:
             tokens = lambda c: F.size(text.tokens(F.coalesce(F.col(c), F.lit(""))))
             newest = Window.partitionBy("space_id", "path").orderBy(F.col("modified_ns").desc(), F.col("body").desc())
-            once = added.select("space_id", "path", "title", "modified_ns", "body").withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
+            once = added.select("space_id", "path", "title", "modified_ns", "body")
+            # bodies are moved for this only if a key is repeated
+            if not once.groupBy("space_id", "path").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+                once = once.withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
             counted = once.withColumn("n_tokens", (tokens("title") + tokens("body")).cast("long")).withColumn("key", _key())
             docs = ranks.numbered(counted, m["next_doc"]).select([c.split()[0] for c in _DOCS.split(", ")])
             segment = self._write_segment(docs, None, None) | {"level": 0}
