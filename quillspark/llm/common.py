@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import join_by_key
 from quillspark.storage import discard, materialize, shared_dir
 
-__all__ = ["discard", "held_out", "join_by_key", "materialize", "read_table", "shared_dir"]
+__all__ = ["discard", "held_out", "join_by_key", "lean", "materialize", "release", "read_table", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +22,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves ``remainder``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
+
+
+def release() -> None:
+    """Hand memory which is held but not used back to the machine: a worker keeps it for its next task, beside that task's own."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # the GNU library's
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which its worker holds no more than it uses."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return whole

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, read_table
+from quillspark.llm.common import lean, materialize, read_table
 
 WINDOW = 10
 #: Item bytes broadcast at once; a larger benchmark is joined in blocks of about so many.
@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
             {"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())}
         )
 
-    total = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = docs.select("text").mapInArrow(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in total.collect()}
 
 
@@ -188,7 +188,7 @@ def _one_block(rows: DataFrame, items: list[tuple[str, list[bytes]]], window: in
             yield pa.RecordBatch.from_pydict(cols)
 
     schema = _RESULT.replace("doc_id long,", "doc_id long, row long,") if keep_row else _RESULT
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def _digest(items: list[str]) -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import held_out, read_table
+from quillspark.llm.common import held_out, lean, read_table
 
 #: Hashed n-gram dimensions, n-gram sizes, and code points hashed at once.
 DIM = 1 << 13
@@ -199,7 +199,7 @@ def fit(
                 }
             )
 
-    got = sample.select("lang", "text", "h").mapInArrow(sparse, "lang string, h long, at binary, tf binary").collect()
+    got = sample.select("lang", "text", "h").mapInArrow(lean(sparse), "lang string, h long, at binary, tf binary").collect()
     got.sort(key=lambda r: (r["lang"], r["h"]))
     return _fitted(got, centroids)
 
@@ -245,7 +245,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_pydict(cols)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(label, f"{fields}, lang_pred string, score double, cosine double, rejected boolean")
+    return kept.mapInArrow(lean(label), f"{fields}, lang_pred string, score double, cosine double, rejected boolean")
 
 
 def op7_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, held_out, materialize, read_table
+from quillspark.llm.common import discard, held_out, lean, materialize, read_table, release
 
 ORDER = 2
 MU = 200.0
@@ -176,13 +176,14 @@ def count_ngrams(texts: DataFrame, order: int, segments: int) -> DataFrame:
         h, c = _merged(h, c)
         largest = int(c.max(initial=0))
         levels = np.searchsorted(thresholds(largest), c, "right")
+        release()
         return pd.DataFrame(
             {"n": [key[0]], "segment": [key[1]], "hashes": [h.tobytes()], "counts": [c.tobytes()],
              "distinct": [len(h)], "total": [int(c.sum())], "entries": [int(levels.sum())], "largest": [largest]}
         )
 
     merged = _PARTS + ", distinct long, total long, entries long, largest long"
-    return materialize(texts.mapInArrow(run, _PARTS).groupBy("n", "segment").applyInPandas(merge, merged), "ngrams")
+    return materialize(texts.mapInArrow(lean(run), _PARTS).groupBy("n", "segment").applyInPandas(merge, merged), "ngrams")
 
 
 @dataclass
@@ -303,7 +304,10 @@ def _bit_filters(grams: DataFrame, segment_bits: int, levels: np.ndarray) -> Dat
                 m = member(h[q >= j], j)
                 for k in range(HASHES):
                     on[place(m, k, segment_bits)] = True
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+        packed = np.packbits(on, bitorder="little").tobytes()
+        del on
+        release()
+        return pd.DataFrame({"segment": [key[0]], "bits": [packed]})
 
     return materialize(grams.groupBy("segment").applyInPandas(build, "segment int, bits binary"), "filters")
 
@@ -365,8 +369,8 @@ def language_model_scores(
     for i, parts in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(block(*parts))
         if i == len(blocks) - 1:
-            return rows.mapInArrow(_pass(shared, True), _SCORES)
-        before, rows = rows, materialize(rows.mapInArrow(_pass(shared, False), _PASSED), "passed")
+            return rows.mapInArrow(lean(_pass(shared, True)), _SCORES)
+        before, rows = rows, materialize(rows.mapInArrow(lean(_pass(shared, False)), _PASSED), "passed")
         shared.destroy()
         if i:
             discard(before)

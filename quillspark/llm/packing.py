@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, read_table
+from quillspark.llm.common import lean, materialize, read_table
 from quillspark.llm.tokens import slices, tokenizer
 
 CAPACITY = 2048
@@ -181,7 +181,7 @@ def _pack_level(pieces: DataFrame, n: int, capacity: int, block: int, level: int
                 r |= {"genome": _genome(bins, len(r["sizes"])), "bins": len(bins), "bound": lower_bound(r["sizes"], capacity)}
                 yield _batch([r], ["block", "keys", "sizes", "genome", "bins", "bound"])
 
-    best = materialize(grouped.mapInArrow(first, _BLOCKS), "packed")
+    best = materialize(grouped.mapInArrow(lean(first), _BLOCKS), "packed")
     hard = best.filter("bins > bound")
     if not hard.isEmpty():
         islands = hard.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
@@ -198,7 +198,7 @@ def _pack_level(pieces: DataFrame, n: int, capacity: int, block: int, level: int
 
             # by number, so that small rows with much work are not put together again
             dealt = islands.repartition(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "island")
-            islands = materialize(dealt.mapInArrow(run, "block long, island int, " + _BLOCKS.split(", ", 1)[1]), "islands")
+            islands = materialize(dealt.mapInArrow(lean(run), "block long, island int, " + _BLOCKS.split(", ", 1)[1]), "islands")
             if epoch + 1 < EPOCHS:
                 elite = islands.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("genome").alias("migrant"))
                 islands = islands.filter("bins > bound").join(elite, ["block", "island"], "left").unionByName(
@@ -263,7 +263,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, **columns) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, read_table
+from quillspark.llm.common import lean, materialize, read_table
 
 TREES, DEPTH, SEED = 32, 8, 11
 #: At most so many labelled findings are fitted.
@@ -373,7 +373,7 @@ def scan(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in _FOUND.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"))
-    return rows.mapInArrow(run, _FOUND)
+    return rows.mapInArrow(lean(run), _FOUND)
 
 
 MASK = "[SECRET]"
@@ -398,7 +398,7 @@ def masked(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: st
                 out.append(text)
             yield b.set_column(b.schema.get_field_index(text_col), b.schema.field(text_col), pa.array(out, b.schema.field(text_col).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def trained_for(docs: DataFrame, text_col: str = "text") -> Forest:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import join_by_key, materialize, read_table
+from quillspark.llm.common import join_by_key, lean, materialize, read_table
 from quillspark.llm.graph import components
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def n_blocks(n: int, distance: int, bucket: int = 2) -> int:
@@ -168,7 +168,7 @@ def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blo
                     b.append(linked)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], ["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+    return members.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -264,7 +264,7 @@ def near_copies(rows: DataFrame, distance: int = WORD_DISTANCE, wide_distance: i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wide) + 1, WIDE_WORDS, dtype=np.int32)), pa.array(wide))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), lists], ["row", "doc_id", "fp", "wide"])
 
-    marked = materialize(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, fp long, wide array<long>"), "copy-fingerprints")
+    marked = materialize(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "row long, doc_id long, fp long, wide array<long>"), "copy-fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
     groups = materialize(marked.groupBy("fp", "wide").agg(best).withColumn("node", F.monotonically_increasing_id()), "groups")
     found = components(links(groups.select("node", "fp", "wide"), distance, bucket, wide_distance=wide_distance, fill=FILL))
