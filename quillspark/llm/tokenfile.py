@@ -24,12 +24,12 @@ from quillspark.llm import idcoder
 from quillspark.llm.common import materialize, read_table, shared_dir
 from quillspark.llm.tokens import slices, tokenizer
 
-MAGIC = b"QTOK2\n"
+MAGIC = b"QTOK3\n"
 BLOCK = idcoder.BLOCK
 #: Blocks of a segment at most, which bounds the memory of a task.
 LANES = 4096
 #: Bytes of text which make a file of the table.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 36 << 20
 #: Files whose totals are added up in one task.
 _GROUP = 1024
 

@@ -18,7 +18,7 @@ from array import array
 
 import numpy as np
 
-#: Pieces of a generation; a worker remembers two generations.
+#: Pieces of a generation, twice as many for a byte-level vocabulary; a worker remembers two generations.
 CACHE = 250_000
 #: Pieces which are encoded as one text.
 JOINED = 500
@@ -37,7 +37,7 @@ _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[\t\n\r -~{_L}]*").fullmatch
 _ENDING = "'(?:s|t|re|ve|m|ll|d)"
-_PIECES_WITH_BLANK = re.compile(rf"{_ENDING}| ?[{_L}]+| ?[0-9]+| ?[^{_L}0-9\s]+|\s+(?!\S)|\s+").findall
+_PIECES_WITH_BLANK = re.compile(rf" ?[{_L}]+|{_ENDING}| ?[0-9]+| ?[^{_L}0-9\s]+|\s+(?!\S)|\s+").findall
 _PIECES_WITHOUT = re.compile(rf"{_ENDING}|[{_L}]+|[0-9]|[^{_L}0-9\s]+").findall
 #: A piece which can be encoded beside others of its kind: no white space, but for the blank before it.
 _CLOSED = re.compile(r" ?\S+").fullmatch
@@ -124,7 +124,7 @@ class ChunkTokenizer:
 
     def _learn(self, pieces: set[str]) -> None:
         """Have the ids of all these pieces at hand."""
-        if len(self.known) + len(pieces) > CACHE:  # the older half goes, but what is still used moves up
+        if len(self.known) + len(pieces) > CACHE * (1 + self.keeps_blanks):  # the older half goes, but what is still used moves up
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         joined, alone = [], []
@@ -157,12 +157,14 @@ class ChunkTokenizer:
     def _ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = {i: self._encode_whole(t) for i, t in enumerate(texts) if t and self.has_added(t)}
         each = [self.pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        new: set[str] = set()
-        for x in each:
-            new.update(x)
-        self._learn(new)
-        at = self.known.__getitem__
-        return [whole[i] if i in whole else np.frombuffer(b"".join(map(at, x)), np.uint16) for i, x in enumerate(each)]
+        get = self.known.get
+        got = [list(map(get, x)) for x in each]
+        gaps = [[k for k, ids in enumerate(x) if ids is None] if None in x else [] for x in got]
+        self._learn({x[k] for x, g in zip(each, gaps, strict=True) for k in g})
+        for x, g, ids in zip(each, gaps, got, strict=True):
+            for k in g:
+                ids[k] = self.known[x[k]]
+        return [whole[i] if i in whole else np.frombuffer(b"".join(x), np.uint16) for i, x in enumerate(got)]
 
 
 def slices(column, rows: int = 1000, size: int = 4 << 20):

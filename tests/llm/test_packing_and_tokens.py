@@ -194,3 +194,24 @@ def test_queries_encode_as_the_unmodified_library(name, blanks):
     texts = [*ODD, "<|endoftext|>", *("".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(300))]
     want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert [g.tolist() for g in tokens.tokenizer(path, blanks).ids_of(texts)] == want
+
+
+def test_order_0_has_a_part_for_every_id():
+    rng = np.random.default_rng(4)
+    for ids in (np.zeros(5, np.uint16), np.append(np.zeros(1 << 18, np.uint16), np.arange(1 << 16).astype(np.uint16)), (rng.zipf(1.2, 90_000) % 50_000).astype(np.uint16)):
+        packed, codes = idcoder.encode(ids)
+        alphabet, _ = idcoder.Alphabet.from_bytes(packed, 0)
+        assert alphabet.share.min() >= 1 and alphabet.share.sum() <= 1 << idcoder.SHARES
+        assert (idcoder.decode(alphabet, codes, len(ids)) == ids).all()
+
+
+def test_pieces_of_a_byte_level_generation_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    chunk = ChunkTokenizer(public_tokenizers.path("byte_bpe_50k.json"), True)
+    encoded = []
+    encode = chunk._encode_joined
+    monkeypatch.setattr(chunk, "_encode_joined", lambda group: encoded.extend(group) or encode(group))
+    texts = ["".join(f" {chr(97 + a)}{chr(97 + b)}qz{chr(97 + c)}" for b in range(10) for c in range(10)) for a in range(6)]
+    want = [chunk.ids_of([t])[0].tolist() for t in texts]
+    assert [chunk.ids_of([t])[0].tolist() for t in texts] == want
+    assert len(encoded) == len(set(encoded)) == 600
