@@ -24,19 +24,32 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
-def release() -> None:
-    """Hand memory which is held but not used back to the machine: a worker keeps it for its next task, beside that task's own."""
+#: By name, what drops a store which a worker keeps from task to task.
+stores: dict[str, Callable[[], None]] = {}
+
+
+def release(uses: str = "") -> None:
+    """Hand memory which is held but not used back to the machine: a worker keeps it for its next task, beside that task's own.
+
+    So it keeps stores of other operators than ``uses``, which are dropped.
+    """
+    for name, drop in stores.items():
+        if name != uses:
+            drop()
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # the GNU library's
         trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, after which its worker holds no more than it uses."""
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which its worker holds no more than it uses.
+
+    ``uses``: the store which it leaves for the next task of its kind.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        release(uses)
         yield from run(batches)
-        release()
+        release(uses)
 
     return whole

@@ -263,7 +263,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(run, "tokens"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, **columns) -> DataFrame:

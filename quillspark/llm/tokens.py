@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from quillspark.llm.common import stores
+
 #: Pieces of a generation, twice as many for a byte-level vocabulary; a worker remembers two generations.
 CACHE = 250_000
 #: Pieces which are encoded as one text.
@@ -181,6 +183,7 @@ def slices(column, rows: int = 1000, size: int = 4 << 20):
 
 
 _open: dict[tuple[str, bool], ChunkTokenizer] = {}
+stores["tokens"] = _open.clear
 
 
 def tokenizer(path: str, keeps_blanks: bool) -> ChunkTokenizer:

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from quillspark.llm import language, pipeline, simhash
+from quillspark.llm import common, language, packing, pipeline, simhash, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +66,10 @@ def test_contaminated_rows_without_an_id_go(spark):
     docs = spark.createDataFrame([(d, t, "en", "src0", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = pipeline.decontaminate(spark, docs, SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, ""), (0, "one two"), (1, "three")]
+
+
+def test_a_stage_drops_what_another_has_kept():
+    """A worker goes from packing to the next run's language ID: pieces and vocabulary would stay beside that stage's own memory."""
+    tokens.tokenizer(packing.word_vocabulary(), False).ids_of(["a few words"])
+    assert list(common.lean(iter, "tokens")([])) == [] and tokens._open
+    assert list(common.lean(iter)([])) == [] and not tokens._open
