@@ -215,3 +215,19 @@ def test_pieces_of_a_byte_level_generation_are_encoded_once(monkeypatch):
     want = [chunk.ids_of([t])[0].tolist() for t in texts]
     assert [chunk.ids_of([t])[0].tolist() for t in texts] == want
     assert len(encoded) == len(set(encoded)) == 600
+
+
+@pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_plain_texts_are_cut_together_as_the_patterns_cut_them(name, blanks, monkeypatch):
+    r = random.Random(8)
+    signs = [*"abTSsdlmrve'  \n\t.,-<>/0129éÈñß×÷", "'s", "'ll", "'re ", " 's", "''", " don't", "\r\n", "'"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    texts = [t for t in texts if tokens._PLAIN(t)]
+    chunk = ChunkTokenizer(public_tokenizers.path(name), blanks)
+    asked = []
+    look = chunk._ids_of_pieces
+    monkeypatch.setattr(chunk, "_ids_of_pieces", lambda pieces: asked.append(pieces) or look(pieces))
+    got = chunk.ids_of(texts)
+    want = {p for t in texts for p in chunk.pieces(t)}
+    assert len(asked) == 1 and set(asked[0]) == want  # each distinct piece is looked up, not each piece
+    assert [g.tolist() for g in got] == [e.ids for e in chunk.tokenizer.encode_batch(texts, add_special_tokens=False)]
