@@ -11,7 +11,7 @@ the same links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,11 @@ DISTANCE = 4
 BUCKET = 4096
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 15
-#: Near copies: bits by words for the blocks, and 256 bits by distinct word shingles; of each at most so many differ.
+#: Near copies: bits by words, and 256 bits by distinct word shingles; of each at most so many differ.
 WORD_DISTANCE = 6
 WIDE_WORDS, WIDE_SHINGLE, WIDE_DISTANCE = 4, 5, 72
-#: Members of a block of near copies by chance, of which the second bound leaves none.
-FILL = 8
+#: Least shingle hashes of a text, of which near copies share one, and texts whose hashes are counted at once.
+LEAST, TEXTS = 24, 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -91,7 +91,7 @@ def block_keys(fp: Column, blocks: int, distance: int) -> Column:
     return F.array(*keys)
 
 
-def _forest(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray | None, distance: int, wide_distance: int) -> list[tuple[int, np.ndarray]]:
+def _forest(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray | None, distance: int, wide_distance: int | None) -> list[tuple[int, np.ndarray]]:
     """(root, linked nodes) for each component of the members which are near."""
     _, at = np.unique(nodes, return_index=True)
     nodes, fps = nodes[at], fps[at]
@@ -116,32 +116,51 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, wide: np.ndarray | None, distanc
     return out
 
 
-def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks: int | None = None, wide_distance: int = WIDE_DISTANCE, fill: int = 2) -> DataFrame:
+def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blocks: int | None = None) -> DataFrame:
     """Links (a, b) of nodes whose transitive closure is that of all near pairs of ``points`` (node, fp).
 
-    Near are fingerprints within ``distance``; where points also have ``wide``
-    (an array of further words of bits), those within ``wide_distance`` too.
-    A bucket gives a spanning forest, never its pairs. Buckets beyond
-    ``bucket`` members are cut into chunks by hash; every pair of chunks is one
-    group, so all pairs are still compared and no group outgrows a task. What
-    is known of a bucket reaches its members by :func:`join_by_key`, so a
-    frequent block is no hot key.
+    Near are fingerprints within ``distance``. What is known of a bucket
+    reaches its members by :func:`join_by_key`, so a frequent block is no hot key.
     """
     n = points.count()
-    blocks = blocks or n_blocks(n, distance, fill)
+    blocks = blocks or n_blocks(n, distance)
     keys = block_keys(F.col("fp"), blocks, distance)
     keyed = points.select("node", "fp", F.explode(keys).alias("key")).select("key.choice", "key.bits", "node", "fp")
-    shared = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cut", F.ceil(F.col("n") / bucket))
-    total = n * len(list(combinations(range(blocks), distance)))
-    held = join_by_key(keyed, shared, ["choice", "bits"], total)
-    columns = ["node", "fp"]
-    if "wide" in points.columns:
-        held, columns = held.join(points.select("node", "wide"), "node"), ["node", "fp", "wide"]
+    held = _shared(keyed, ["choice", "bits"], bucket, n * len(list(combinations(range(blocks), distance))))
+    return _compared(held, ["choice", "bits"], distance)
+
+
+def near_meetings(points: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(key, cut, node) of those of ``points`` (node, least) which have one of their least shingle hashes in common with another."""
+    keyed = points.select("node", F.explode("least").alias("key"))
+    return _shared(keyed, ["key"], bucket, LEAST * points.count())
+
+
+def near_links(points: DataFrame, distance: int = WORD_DISTANCE, wide_distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """As :func:`links`, of ``points`` (node, fp, wide, least) within both distances which share one of their ``least``."""
+    held = near_meetings(points, bucket).join(points.select("node", "fp", "wide"), "node")
+    return _compared(held, ["key"], distance, wide_distance)
+
+
+def _shared(keyed: DataFrame, keys: list[str], bucket: int, total: int) -> DataFrame:
+    """Rows of ``keyed`` whose key another row has too, with ``cut``, the chunks into which their bucket is cut."""
+    shared = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("cut", F.ceil(F.col("n") / bucket))
+    return join_by_key(keyed, shared, keys, total)
+
+
+def _compared(held: DataFrame, keys: list[str], distance: int, wide_distance: int | None = None) -> DataFrame:
+    """(a, b) of near members of the buckets of ``held`` (keys, cut, node, fp, and wide where there is a bound for it).
+
+    A bucket gives a spanning forest, never its pairs. Larger buckets are cut
+    into chunks by hash; every pair of chunks is one group, so all pairs are
+    still compared and no group outgrows a task.
+    """
+    columns = ["node", "fp"] + ([] if wide_distance is None else ["wide"])
     members = (
         held.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("cut")))
         # each chunk meets every chunk, itself included, once
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
-        .groupBy("choice", "bits", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+        .groupBy(*keys, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
         .agg(F.collect_list(F.struct(*columns)).alias("members"))
         .select("members")
     )
@@ -153,7 +172,7 @@ def links(points: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, blo
             values, ends = lists.values.slice(first, last - first), np.asarray(lists.offsets) - first
             node = np.asarray(values.field("node"))
             fp = np.asarray(values.field("fp")).view(np.uint64)
-            wide = np.asarray(values.field("wide").flatten()).view(np.uint64).reshape(len(node), -1) if len(columns) > 2 and len(node) else None
+            wide = np.asarray(values.field("wide").flatten()).view(np.uint64).reshape(len(node), -1) if wide_distance is not None and len(node) else None
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             size = np.diff(ends)
             two = ends[:-1][size == 2]
@@ -220,29 +239,65 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _majority(h: np.ndarray) -> int:
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, len(h), _STEP):
-        ones += np.unpackbits(h[i : i + _STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+def _majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The bits which most of a text's hashes have, for each text; ``first`` are the places of the texts' first hashes."""
+    size = np.diff(np.append(first, len(h)))
+    steps = -(-size // 255)  # so many ones at most fit a byte
+    begin = np.concatenate(([0], np.cumsum(steps)[:-1]))
+    at = np.repeat(first, steps) + 255 * (np.arange(steps.sum()) - np.repeat(begin, steps))
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)  # a byte for each bit
+    sums = np.add.reduceat(bits, at, axis=0).view(np.uint8).reshape(-1, BITS)
+    ones = np.add.reduceat(sums, begin, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > size[:, None], axis=1).view(">u8").astype(np.uint64).reshape(-1)
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
+def copy_marks(texts: list[str | None], shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the majority bits of its words, repeats included, and four times 64 of its distinct word shingles; no words: all 0.
+
+    Then the least ``LEAST`` hashes of its shingles (all, where there are
+    fewer), one text's after another's, and their numbers.
+    """
+    words = [text.encode("utf-8", "surrogatepass").lower().split() if text else [] for text in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    fps, wide, n_least = np.zeros(len(texts), np.uint64), np.zeros((len(texts), WIDE_WORDS), np.uint64), np.zeros(len(texts), np.int64)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return fps, wide, np.zeros(0, np.uint64), n_least
+    size, n = size[some], int(size.sum())
+    first = _starts(size)
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, n)
+    fps[some] = _majority(h, first)
+    # fewer words than a shingle make one shingle
+    within, text = np.minimum(size, shingle), np.repeat(np.arange(len(some)), size - np.minimum(size, shingle) + 1)
+    begin = first[text] + np.arange(len(text)) - _starts(size - within + 1)[text]
+    joined = np.zeros(len(text), np.uint64)
+    for k in range(shingle):
+        more = np.flatnonzero(within[text] > k)
+        joined[more] = _mixed(joined[more] * np.uint64(0xFF51AFD7ED558CCD) + h[begin[more] + k])
+    order = np.lexsort((joined, text))
+    joined, text = joined[order], text[order]
+    new = np.append(True, (joined[1:] != joined[:-1]) | (text[1:] != text[:-1]))
+    joined, text = joined[new], text[new]
+    distinct = np.bincount(text)
+    first = _starts(distinct)
+    for k in range(WIDE_WORDS):
+        wide[some, k] = _majority(_mixed(joined + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), first)
+    n_least[some] = np.minimum(distinct, LEAST)
+    return fps, wide, joined[np.arange(len(text)) - first[text] < LEAST], n_least
 
 
 def copy_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> tuple[int, list[int]]:
-    """Majority bits of the words, repeats included, and four times 64 of the distinct word shingles; no words: all 0.
+    """The bits by words and the bits by shingles of :func:`copy_marks`.
 
-    Edits move few of the bits by words, so near copies meet in a block; the
-    bits by shingles tell how much of the texts agrees.
+    Edits move few of the bits by words; the bits by shingles tell how much of
+    the texts agrees.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0, [0] * WIDE_WORDS
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - shingle + 1)
-    joined = np.zeros(n, np.uint64)
-    for k in range(min(shingle, len(h))):
-        joined = _mixed(joined * np.uint64(0xFF51AFD7ED558CCD) + h[k : k + n])
-    joined = np.unique(joined)
-    return _majority(h), [_majority(_mixed(joined + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) for k in range(WIDE_WORDS)]
+    fps, wide, _, _ = copy_marks([text], shingle)
+    return int(fps[0]), wide[0].tolist()
 
 
 def near_copies(rows: DataFrame, distance: int = WORD_DISTANCE, wide_distance: int = WIDE_DISTANCE, bucket: int = BUCKET) -> DataFrame:
@@ -251,23 +306,32 @@ def near_copies(rows: DataFrame, distance: int = WORD_DISTANCE, wide_distance: i
     Near are texts whose bits by words differ in at most ``distance`` and whose
     256 bits by five-word shingles in at most ``wide_distance``: 72 stands for
     a similarity of about 0.6, which a copy keeps whose words are changed by 2
-    to 6 %. Unrelated texts differ in about 128. The row with the least doc_id stays, then the least row; rows without
+    to 6 %. Unrelated texts differ in about 128. Texts are compared where they
+    share one of their 24 least shingle hashes: bits by words of long texts of
+    one language are alike, so blocks of them would hold a fixed part of all
+    texts. Texts with a similarity of s share none in about (1 - s)**24 of
+    cases, 6e-8 at 0.5; those of 24 shingles or fewer share all that there is.
+    The row with the least doc_id stays, then the least row; rows without
     a doc_id are judged too and stay if their group has no other. Null, empty
     and blank texts are one group. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [copy_fingerprint(x.as_py()) for x in b.column(2)]
-            fps = np.array([f for f, _ in got], np.uint64).view(np.int64)
-            wide = np.array([w for _, w in got], np.uint64).view(np.int64).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(wide) + 1, WIDE_WORDS, dtype=np.int32)), pa.array(wide))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), lists], ["row", "doc_id", "fp", "wide"])
-
-    marked = materialize(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "row long, doc_id long, fp long, wide array<long>"), "copy-fingerprints")
+        ends = lambda sizes: pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                fps, wide, least, n_least = copy_marks(b.column(2).to_pylist())
+                wides = pa.ListArray.from_arrays(ends(np.full(len(fps), WIDE_WORDS)), pa.array(wide.view(np.int64).reshape(-1)))
+                leasts = pa.ListArray.from_arrays(ends(n_least), pa.array(least.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), wides, leasts], ["row", "doc_id", "fp", "wide", "least"])
+
+    made = "row long, doc_id long, fp long, wide array<long>, least array<long>"
+    marked = materialize(rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), made), "copy-fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
-    groups = materialize(marked.groupBy("fp", "wide").agg(best).withColumn("node", F.monotonically_increasing_id()), "groups")
-    found = components(links(groups.select("node", "fp", "wide"), distance, bucket, wide_distance=wide_distance, fill=FILL))
+    same = marked.groupBy("fp", "wide").agg(best, F.min("least").alias("least"))
+    groups = materialize(same.withColumn("node", F.monotonically_increasing_id()), "groups")
+    found = components(near_links(groups, distance, wide_distance, bucket))
     named = groups.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     return named.groupBy("component").agg(F.min("best").alias("best")).select("best.row")
 

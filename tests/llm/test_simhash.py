@@ -105,3 +105,31 @@ def test_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5060)]
     got = {r["node"]: r["component"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5061)}
+
+
+def test_unrelated_texts_of_one_language_do_not_meet(spark):
+    """Long texts of common words have nearly the same bits by words; only texts with shingles in common are compared."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    often = 1 / np.arange(2, 3002)
+    often /= often.sum()
+    texts = [" ".join(rng.choice(vocabulary, 800, p=often)) for _ in range(300)]
+    texts += [texts[0].replace("w7 ", "x "), " ".join([*texts[1].split()[:-9], *["x"] * 9])]
+    fps, wide, least, n_least = simhash.copy_marks(texts)
+    alike = np.bitwise_count(fps[:300, None] ^ fps[None, :300]) <= simhash.WORD_DISTANCE
+    assert alike.mean() > 0.1
+    ends = np.cumsum(n_least)
+    rows = [(k, fps[k : k + 1].view(np.int64).item(), wide[k].view(np.int64).tolist(), least[e - n : e].view(np.int64).tolist()) for k, (e, n) in enumerate(zip(ends, n_least, strict=True))]
+    points = spark.createDataFrame(rows, "node long, fp long, wide array<long>, least array<long>")
+    assert {r["node"] for r in simhash.near_meetings(points).collect()} == {0, 1, 300, 301}
+    assert {(r["a"], r["b"]) for r in simhash.near_links(points).collect()} >= {(1, 301)}
+
+
+def test_marks_of_many_texts_are_those_of_each(sample):
+    texts = [r["text"] for r in sample.limit(40).collect()] + [None, "", " \n", "one", "one two", "a b c d e", "a b c d e a b c d e", "x " * 700]
+    fps, wide, least, n_least = simhash.copy_marks(texts)
+    assert [(int(f), w.tolist()) for f, w in zip(fps, wide, strict=True)] == [simhash.copy_fingerprint(t) for t in texts]
+    words = texts[0].encode().lower().split()
+    h = [simhash._hashes[w] for w in words]
+    assert int(fps[0]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert n_least[-8:].tolist() == [0, 0, 0, 1, 1, 1, 5, 1] and n_least.max() == simhash.LEAST and len(least) == n_least.sum()
