@@ -148,12 +148,14 @@ class SearchIndex:
             docs = docs.filter(F.col("key").isin(*{r["key"] for r in some})) if some else docs.limit(0)
         return self._valid(docs.join(keys.select("space_id", "path").distinct(), ["space_id", "path"], "left_semi"), m).select("doc", "n_tokens")
 
-    def _write_segment(self, docs: DataFrame, postings: DataFrame | None, links: DataFrame | None) -> dict:
-        """Write ``docs`` with their postings and links, made from the bodies where they are not given."""
+    def _write_segment(self, docs: DataFrame, postings: DataFrame | None, links: DataFrame | None, spent: bool = False) -> dict:
+        """Write ``docs`` with their postings and links, made from the bodies where they are not given. ``docs`` of their own table are deleted when ``spent``."""
         name = uuid.uuid4().hex
         size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
         ranges = max(1, -(-size["t"] // self.range_tokens))
         docs.repartitionByRange(ranges, "key").sortWithinPartitions("key").write.parquet(f"{self.path}/docs/{name}")
+        if spent:
+            discard(docs)
         stored = self._read("docs", _DOCS, [{"id": name}])
         if self.texts:
             titles = stored.select([c.split()[0] for c in _TITLES.split(", ")])
@@ -198,8 +200,7 @@ class SearchIndex:
                 once = once.withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
             counted = once.withColumn("n_tokens", (tokens("title") + tokens("body")).cast("long")).withColumn("key", _key())
             docs = ranks.numbered(counted, m["next_doc"]).select([c.split()[0] for c in _DOCS.split(", ")])
-            segment = self._write_segment(docs, None, None) | {"level": 0}
-            discard(docs)
+            segment = self._write_segment(docs, None, None, spent=True) | {"level": 0}
             new["next_doc"] += segment["n_docs"]
             new["n_docs"] += segment["n_docs"]
             new["n_tokens"] += segment["n_tokens"]

@@ -1,7 +1,9 @@
 """The segmented index against an index made anew, its reads, and batches of queries against single searches."""
 
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,23 @@ def test_a_link_graph_without_postings(spark, tmp_path):
     assert {r["target"] for r in kept.broken_links().collect()} == {r["target"] for r in graph.broken_links(pages_of(spark, rows), graph.edges(pages_of(spark, rows))).collect()}
     with pytest.raises(ValueError):
         kept.search("alpha")
+
+
+def test_a_batch_does_not_write_the_pages_which_match_its_queries(spark, tmp_path):
+    """All of 300 pages match each of 435 queries: what is written follows pages and queries, not their product."""
+    from quillspark.storage import shared_dir
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(30)]
+    rows = {("s", f"p{k}.md"): ("T", " ".join(rng.sample(words, 30) + rng.choices(words, k=20)), 1) for k in range(300)}
+    kept = index.SearchIndex(spark, str(tmp_path / "i"))
+    kept.rebuild(pages_of(spark, rows))
+    folder = Path(shared_dir(spark).removeprefix("file:")) / f"tables-{spark.sparkContext.applicationId}"
+    before = set(folder.rglob("*.parquet"))
+    pairs = [f"{a} {b}" for i, a in enumerate(words) for b in words[:i]]
+    asked = spark.createDataFrame([(k, q) for k, q in enumerate(pairs * 2)], "query_id long, query string")
+    hits = batch.search_batch(kept, asked, 3).hits.collect()
+    assert len(hits) == 2 * 3 * len(pairs)
+    best = {r["path"] for r in kept.search(pairs[7], 3).collect()}
+    assert {r["path"] for r in hits if r["query_id"] == 7} == {r["path"] for r in hits if r["query_id"] == 7 + len(pairs)} == best
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(folder.rglob("*.parquet")) - before) < 10_000
