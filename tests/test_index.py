@@ -182,3 +182,24 @@ def test_a_batch_does_not_write_the_pages_which_match_its_queries(spark, tmp_pat
     best = {r["path"] for r in kept.search(pairs[7], 3).collect()}
     assert {r["path"] for r in hits if r["query_id"] == 7} == {r["path"] for r in hits if r["query_id"] == 7 + len(pairs)} == best
     assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(folder.rglob("*.parquet")) - before) < 10_000
+
+
+def test_hybrid_hits_do_not_write_the_pages_which_match_their_words(spark, tmp_path):
+    from quillspark.operators import hybrid
+    from quillspark.storage import shared_dir
+
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(30)]
+    rows = {("s", f"p{k}.md"): ("T", " ".join(rng.sample(words, 30) + rng.choices(words, k=20)), 1) for k in range(300)}
+    kept = index.SearchIndex(spark, str(tmp_path / "i"))
+    kept.rebuild(pages_of(spark, rows))
+    folder = Path(shared_dir(spark).removeprefix("file:")) / f"tables-{spark.sparkContext.applicationId}"
+    before = set(folder.rglob("*.parquet"))
+    pairs = [f"{a} {b}" for i, a in enumerate(words) for b in words[:i]]
+    asked = spark.createDataFrame([(k, q, None) for k, q in enumerate(pairs)], "query_id long, query string, embedding array<double>")
+    vectors = spark.createDataFrame([(0, "p0.md", [1.0, 0.0])], "vec_id long, path string, embedding array<double>")
+    hits = hybrid.hybrid_search(kept, asked, vectors, 3).collect()
+    assert len(hits) == 3 * len(pairs) and {r["origin"] for r in hits} == {"keyword"}
+    best = [r["path"] for r in kept.search(pairs[7], 3).collect()]
+    assert [f"{r['slug']}.md" for r in sorted(hits, key=lambda r: r["place"]) if r["query_id"] == 7] == best
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in set(folder.rglob("*.parquet")) - before) < 10_000
